@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pre-tokens up to this many bytes are remembered, at most this many of them; longer ones are merged each time.
+#: Pre-tokens up to half this many characters are remembered, at most this many of them; longer ones are merged each time.
 CACHE_BYTES, CACHE_ENTRIES = 48, 250_000
 #: Characters of text whose new pre-tokens share a queue.
 SHARED_CHARS = 8 << 20
@@ -208,7 +208,7 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Fill the cache with pre-tokens that are short and new."""
-        new = [p for p in pieces if p not in self.cache and len(p) <= CACHE_BYTES // 4]
+        new = [p for p in pieces if p not in self.cache and len(p) <= CACHE_BYTES // 2]
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
         self.cache.update(zip(new, self.merge_shared([p.encode() for p in new]), strict=True))
@@ -219,7 +219,7 @@ class ByteBpe:
         if found is None:
             raw = piece.encode()
             found = " ".join(map(str, self.merge(raw)))
-            if len(raw) <= CACHE_BYTES:
+            if len(piece) <= CACHE_BYTES // 2:
                 if len(self.cache) >= CACHE_ENTRIES:
                     self.cache.clear()
                 self.cache[piece] = found

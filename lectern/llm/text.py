@@ -21,6 +21,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
+#: Everything in ASCII but letters and digits; bytes of other scripts count as letters.
+IS_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -82,8 +84,8 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         first = end
 
 
-def words(data: np.ndarray, rows: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of bytes other than ASCII white space, never across rows.
+def words(data: np.ndarray, rows: np.ndarray, lower: bool = True, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes other than ``breaks`` (ASCII white space), never across rows.
 
     Returns the words' hashes (of the bytes with A-Z lower-cased), starts, ends, and for each row the index of its first
     word (one entry more than rows).
@@ -94,7 +96,7 @@ def words(data: np.ndarray, rows: np.ndarray, lower: bool = True) -> tuple[np.nd
         return np.zeros(0, dtype=np.uint64), none, none, np.zeros(len(rows), dtype=np.int64)
     if lower:
         data = LOWER[data]
-    solid = ~IS_SPACE[data]
+    solid = ~breaks[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[rows] = True
     start = solid.copy()
