@@ -10,7 +10,6 @@ go to the language that sorts first; with no training rows every document is ``u
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.text import LOWER, U64, blocks
+from lectern.llm.text import LOWER, blocks
 
 #: Hash buckets of n-grams; the model is BUCKETS x bits float32, whatever the corpus holds.
 BUCKETS = 1 << 15
@@ -29,7 +28,6 @@ SIZES = (1, 2, 3, 4)
 #: Codeword losses closer than this share of the mean flag a document as ambiguous.
 AMBIGUOUS = 0.1
 HAS_LETTER = regex.compile(r"\p{L}").search
-PREDICTION_SCHEMA = "doc_id long, lang_pred string, score double, ambiguous boolean"
 
 
 def codewords(n: int) -> np.ndarray:
@@ -122,9 +120,7 @@ def train(rows: DataFrame) -> Model | None:
                 total += np.frombuffer(x.as_py(), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
 
-    from pyspark.sql.functions import spark_partition_id
-
-    parts = rows.mapInArrow(count, "lang long, counts binary").withColumn("part", spark_partition_id() % 16)
+    parts = rows.mapInArrow(count, "lang long, counts binary").withColumn("part", F.spark_partition_id() % 16)
     some = parts.groupBy("lang", "part").applyInArrow(add, "lang long, counts binary")
     sums = np.zeros((len(languages), len(SIZES), BUCKETS))
     for r in some.groupBy("lang").applyInArrow(add, "lang long, counts binary").collect():
@@ -149,44 +145,44 @@ def fit(languages: list[str], sums: np.ndarray) -> Model:
             trust[bit] = max(1e-3, float((drift * code[:, bit]).min()))
     use = sums.sum(axis=(0, 1))
     spread = np.sqrt((weights**2 * (use / max(1.0, use.sum()))[:, None]).sum(axis=0)) + 1e-6
-    return Model(languages, code, weights, 4.0 / spread / len(SIZES) * len(SIZES), trust / trust.max())
+    return Model(languages, code, weights, 4.0 / spread, trust / trust.max())
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score and ambiguous of every row of doc_id and text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits float32: at most a few MB
+PREDICTION = "lang_pred string, score double, ambiguous boolean"
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prediction(spark: SparkSession, model: Model | None, text: Column) -> Column:
+    """Struct column of lang_pred, score and ambiguous."""
+    shipped = spark.sparkContext.broadcast(model)  # BUCKETS x bits float32: at most a few MB
+
+    @F.arrow_udf(PREDICTION)
+    def of(texts: pa.Array) -> pa.Array:
         model = shipped.value
-        for batch in batches:
-            texts = batch.column(1)
-            lang, score, unsure = [], [], []
-            for first, end, data, offsets in blocks(texts):
-                letters = [x is not None and HAS_LETTER(x) is not None for x in texts.slice(first, end - first).to_pylist()]
-                if model is None:
-                    lang, score, unsure = lang + ["und"] * len(letters), score + [0.0] * len(letters), unsure + [True] * len(letters)
-                    continue
-                best, sure, close = model.decode(model.margins(data, offsets))
-                lang += [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters, strict=True)]
-                score += [s if ok else 0.0 for s, ok in zip(sure.tolist(), letters, strict=True)]
-                unsure += [c or not ok for c, ok in zip(close.tolist(), letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, PREDICTION_SCHEMA)
+        lang, score, unsure = [], [], []
+        for first, end, data, offsets in blocks(texts):
+            letters = [x is not None and HAS_LETTER(x) is not None for x in texts.slice(first, end - first).to_pylist()]
+            if model is None:
+                lang, score, unsure = lang + ["und"] * len(letters), score + [0.0] * len(letters), unsure + [True] * len(letters)
+                continue
+            best, sure, close = model.decode(model.margins(data, offsets))
+            lang += [model.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters, strict=True)]
+            score += [s if ok else 0.0 for s, ok in zip(sure.tolist(), letters, strict=True)]
+            unsure += [bool(c) or not ok for c, ok in zip(close.tolist(), letters, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["lang_pred", "score", "ambiguous"])
 
+    return of(text)
 
-def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred, score and ambiguous of every row of doc_id and text."""
+    return docs.select("doc_id", prediction(docs.sparkSession, model, F.col("text")).alias("_found")).select("doc_id", "_found.*")
 
-def crc(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
-
-
-__all__ = ["Model", "U64", "codewords", "crc", "held_out", "op8_language_id", "predict", "train"]
