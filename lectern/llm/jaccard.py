@@ -7,8 +7,9 @@ each subset with its content being one signature. A difference of h features tou
 sets share all but h signatures, and each needs to show only its h + 1 rarest ones under an order that is the same for all.
 Rarity comes from a count sketch over all documents of fixed size; empty partitions come last.
 
-Candidates are taken first between each signature's smallest set and the others; then, within signatures whose sets are not
-yet in one component, between all sets of different components. Every candidate is verified on the exact shingle sets.
+Candidates are taken first between each set and that one of its signatures' smallest sets with which it shares most; then,
+within signatures whose sets are not yet in one component, between all sets of different components. Parity bitmaps of the sets bound the difference from below
+and drop most false candidates; every other one is verified on the exact shingle sets.
 
 Defined results: null text, empty text and text without words have no shingles and link with nothing; a text of fewer than
 five words has its whole sequence as one shingle; equal sets link; extra columns are ignored.
@@ -32,7 +33,7 @@ WORDS = 5
 PERCENT = 75
 #: Buckets of the count sketch that orders signatures by rarity: 1 MB of counts, whatever the corpus holds.
 SKETCH = 1 << 18
-SET_SCHEMA = "doc_id long, n int, h1 long, h2 long, sketch binary"
+SET_SCHEMA = "doc_id long, n int, h1 long, h2 long, parity binary, sketch binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -73,27 +74,43 @@ def sketch_bucket(signature: np.ndarray) -> np.ndarray:
     return (signature >> U64(46)).astype(np.int64)
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set if an odd number of them has it; n to 2 n bits, 64 at least."""
+    m = max(64, 1 << len(values).bit_length())
+    return np.packbits(np.bincount((values & U64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1).tobytes()
+
+
+def least_different(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets from their parities; the longer one is folded."""
+    x, y = (np.frombuffer(p, np.uint8) for p in (a, b))
+    while len(x) != len(y):
+        x, y = (y, x) if len(x) < len(y) else (x, y)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
     """Size and two hashes of every document's set, and from each task one row with the sketch of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int32)
         for batch in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, odd = [], [], [], []
             for _, values in shingle_sets(batch.column(1)):
                 n.append(len(values))
+                odd.append(parity(values))
                 h1.append(int(mix(values).sum(dtype=np.uint64)) if len(values) else 0)
                 h2.append(int(mix(values ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) if len(values) else 0)
                 for band in bands(len(values)) if len(values) else ():
                     np.add.at(counts, sketch_bucket(signatures(values, band)), 1)
-            yield _set_batch(batch.column(0), n, h1, h2, [None] * len(n))
-        yield _set_batch(pa.nulls(1, pa.int64()), [0], [0], [0], [counts.tobytes()])
+            yield _set_batch(batch.column(0), n, h1, h2, odd, [None] * len(n))
+        yield _set_batch(pa.nulls(1, pa.int64()), [0], [0], [0], [None], [counts.tobytes()])
 
     return docs.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
 
 
-def _set_batch(doc_id: pa.Array, n: list, h1: list, h2: list, sketch: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(signed(np.array(h1, np.uint64))), pa.array(signed(np.array(h2, np.uint64))), pa.array(sketch, pa.binary())], names=["doc_id", "n", "h1", "h2", "sketch"])
+def _set_batch(doc_id: pa.Array, n: list, h1: list, h2: list, odd: list, sketch: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(signed(np.array(h1, np.uint64))), pa.array(signed(np.array(h2, np.uint64))), pa.array(odd, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "h1", "h2", "parity", "sketch"])
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -156,37 +173,44 @@ def _signature_batch(made: list[np.ndarray], names: list[tuple[int, int]]) -> pa
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of doc_ids, those that link, with intersection and union of their exact shingle sets."""
+    """Of distinct pairs (a, b) of doc_ids, those that link, with intersection and union of their exact shingle sets.
+
+    Each b's text travels to its a once; a task streams over an a's own row and then its partners, holding one set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            last, x = None, np.zeros(0, np.uint64)
-            shared, union = [], []
-            for i, a in enumerate(batch.column("a").to_pylist()):
-                if a != last:  # a hub's pairs often follow each other
-                    last, x = a, next(shingle_sets(batch.column("text_a").slice(i, 1)))[1]
-                y = next(shingle_sets(batch.column("text_b").slice(i, 1)))[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(both)
-                union.append(len(x) + len(y) - both)
-            keep = pa.array([100 * s >= PERCENT * u for s, u in zip(shared, union, strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int32()), pa.array(union, pa.int32())], names=["a", "b", "shared", "united"])
-            yield out.filter(keep)
-
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # distinct ids and texts are keyed alike, so the texts move once for both sides of the pairs
-    texts = kept(spark, docs.select("doc_id", "text").join(wanted, "doc_id"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared int, united int")
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            out = []
+            for i, y in shingle_sets(batch.column("text")):
+                if a[i] == b[i]:
+                    lead, x = a[i], y
+                elif lead == a[i]:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                        out.append((a[i], b[i], both, len(x) + len(y) - both))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["a", "b", "shared", "united"])
+
+    need = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
+    rows = docs.select(F.col("doc_id").alias("b"), "text").join(need, "b").select("a", (F.col("a") != F.col("b")).alias("other"), "b", "text")
+    return rows.repartition("a").sortWithinPartitions("a", "other").select("a", "b", "text").mapInArrow(run, "a long, b long, shared int, united int")
 
 
 def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of names as pairs of representatives' doc_ids whose sizes allow a link."""
-    side = lambda s: sets.select(F.col("h1").alias(f"name_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"))
+    """Pairs of names as pairs of representatives' doc_ids whose sizes and parities allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            apart = np.array([least_different(x, y) for x, y in zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), strict=True)], dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + PERCENT) <= n * (100 - PERCENT)))
+
+    side = lambda s: sets.select(F.col("h1").alias(f"name_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
     named = pairs.join(side("a"), "name_a").join(side("b"), "name_b")
     fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-    return named.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return named.where(fits).select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,20 +218,25 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = kept(spark, set_rows(docs))
     keys = rows.where("sketch is null and n > 0")
-    sets = kept(spark, keys.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    sets = kept(spark, keys.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
     shown = signature_rows(docs, rarity(rows))
     group = Window.partitionBy("signature")
     met = shown.select("signature", "name", F.min("name").over(group).alias("lead"), F.max("name").over(group).alias("last")).where("lead <> last")
     met = kept(spark, met.select("signature", "name", "lead"))
-    first = kept(spark, sized(met.where("name <> lead").select(F.col("lead").alias("name_a"), F.col("name").alias("name_b")).distinct(), sets))
+    # first, each set with the lead with which it shares most signatures
+    counted = met.where("name <> lead").groupBy("lead", "name").agg(F.count("*").alias("k"))
+    best = counted.groupBy(F.col("name").alias("name_b")).agg(F.max_by("lead", F.struct("k", "lead")).alias("name_a"))
+    first = kept(spark, sized(best, sets))
     links = kept(spark, verified(first, docs))
-    # what the leads have not settled: signatures whose sets still lie in different components
+    # then all pairs within signatures whose sets still lie in different components
     label = components(links)
-    by_name = sets.select(F.col("h1").alias("name"), F.col("rep").alias("id")).join(label, "id", "left").select("name", F.coalesce("component", "id").alias("component"))
+    by_name = sets.select(F.col("h1").alias("name"), F.col("rep").alias("id"), F.col("n")).join(label, "id", "left").select("name", "n", F.coalesce("component", "id").alias("component"))
     open_rows = met.select("signature", "name").distinct().join(by_name, "name")
-    spread = open_rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low <> high and k > 2").select("signature")
+    spread = open_rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
     left = kept(spark, open_rows.join(spread, "signature"))
-    pairs = left.alias("x").join(left.alias("y"), "signature").where("x.component <> y.component and x.name < y.name").select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name"))
+    fits = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    pairs = left.alias("x").join(left.alias("y"), "signature").where(apart & fits).select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
     second = kept(spark, sized(pairs, sets).join(first, ["a", "b"], "left_anti"))
     more = links if not second.limit(1).count() else links.unionByName(verified(second, docs))
     member = rows.where("sketch is null").join(sets.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
