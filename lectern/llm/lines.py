@@ -3,11 +3,11 @@
 A line is its set of distinct lower-cased words. Its tokens are ordered by rarity (a count sketch of fixed size over all
 documents, ties by hash), and only its prefix is indexed: with Jaccard of at least t, two lines share a token among their first
 n - ceil(t n) + 1. Postings meet once, sorted by token and by the lines' place in the corpus; length, positional and bitmap
-filters (a 64-bit parity bitmap bounds the symmetric difference from below) leave few candidates, which are verified on the
+filters (a 128-bit parity bitmap bounds the symmetric difference from below) leave few candidates, which are verified on the
 full token sets. A line goes if an earlier line, by (doc_id, line number), is similar, whether that one stays or not.
 
-In a token's group each line looks back from its nearest predecessor and stops after ``HITS`` candidates; a line that has
-stopped, but for which none of them was verified, is joined with all its earlier neighbours in a second round.
+In a token's group each line looks back from its nearest predecessor and stops after ``HITS`` strong candidates; a line that
+has stopped, but for which no candidate was verified, is joined with all its earlier neighbours in a second round.
 
 Defined results: lines are cut at line feeds; a line without words is never removed; null text counts as empty and stays
 null; a text whose lines all stay is returned as it is; extra columns are kept.
@@ -27,8 +27,8 @@ from lectern.llm.storage import kept
 from lectern.llm.text import U64, blocks, mix, signed, words
 
 PERCENT = 75
-HITS = 4
-POSTING = "token long, doc_id long, place long, bits long"
+HITS = 2
+POSTING = "token long, doc_id long, place long, low long, high long"
 #: ``place`` holds line number << 33 | set size << 17 | position in the set << 1 | (1: a whole-line row), sizes cut at 65535.
 MOST_SIZE = (1 << 16) - 1
 FOUND = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
@@ -91,7 +91,10 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 row = np.searchsorted(first, line, side="right") - 1
                 doc, number, n = doc_ids[first_row + row].astype(np.int64), line - first[row], size[line]
                 name = mix(np.add.reduceat(mix(tokens), cut[line]) + n.astype(np.uint64))
-                bits = np.bitwise_xor.reduceat(U64(1) << (tokens >> U64(58)), cut[line])
+                bit = U64(1) << (tokens >> U64(57) & U64(63))
+                upper = tokens >> U64(63) == 1
+                low = np.bitwise_xor.reduceat(np.where(upper, U64(0), bit), cut[line])
+                high = np.bitwise_xor.reduceat(np.where(upper, bit, U64(0)), cut[line])
                 fresh = np.zeros(len(line), dtype=bool)
                 for i, (key, d, l) in enumerate(zip(name.tolist(), doc.tolist(), number.tolist(), strict=True)):
                     if key not in seen or (d, l) < seen[key]:
@@ -104,23 +107,21 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 position = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
                 token = np.concatenate([name, tokens[cut[line][own] + position]])
                 place = np.concatenate([base | 1, base[own] | np.minimum(position, MOST_SIZE) << 1])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(np.concatenate([doc, doc[own]])), pa.array(place), pa.array(signed(np.concatenate([bits, bits[own]])))], names=["token", "doc_id", "place", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(np.concatenate([doc, doc[own]])), pa.array(place), pa.array(signed(np.concatenate([low, low[own]]))), pa.array(signed(np.concatenate([high, high[own]])))], names=["token", "doc_id", "place", "low", "high"])
 
     return docs.select("doc_id", "text").mapInArrow(run, POSTING)
 
 
-def passes(nx: np.ndarray, px: np.ndarray, bx: np.ndarray, ny: np.ndarray, py: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """Length, positional and bitmap filters on pairs that share a token."""
+def passes(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Length, positional and bitmap filters on pairs that share a token; ``apart`` bits of their bitmaps differ."""
     low, high = np.minimum(nx, ny), np.maximum(nx, ny)
     total = nx + ny
     need = -(-PERCENT * total // (100 + PERCENT))  # least intersection
-    rest = 1 + np.minimum(nx - px, ny - py) - 1
-    apart = np.bitwise_count(bx ^ by).astype(np.int64)
-    cut = high >= MOST_SIZE
-    return cut | ((100 * low >= PERCENT * high) & (rest >= need) & (apart * (100 + PERCENT) <= (100 - PERCENT) * total))
+    rest = np.minimum(nx - px, ny - py)
+    return (high >= MOST_SIZE) | ((100 * low >= PERCENT * high) & (rest >= need) & (apart * (100 + PERCENT) <= (100 - PERCENT) * total))
 
 
-def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: np.ndarray, begin: int) -> Iterator[pa.RecordBatch]:
+def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: tuple[np.ndarray, np.ndarray], begin: int) -> Iterator[pa.RecordBatch]:
     """Rows of ``FOUND`` for rows ``begin`` on, looking back in sorted postings; y_doc is null for an exact repeat."""
     line, n, pos, whole = place >> 33, place >> 17 & MOST_SIZE, place >> 1 & MOST_SIZE, place & 1
     same = np.zeros(len(token), dtype=bool)
@@ -135,9 +136,12 @@ def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: np.nda
     back = 1
     while len(active):
         other = active - back
-        good = (whole[other] == 0) & passes(n[active], pos[active], bits[active], n[other], pos[other], bits[other])
+        apart = sum(np.bitwise_count(b[active] ^ b[other]).astype(np.int64) for b in bits)
+        good = (whole[other] == 0) & passes(n[active], pos[active], n[other], pos[other], apart)
         x, y = active[good], other[good]
-        hits[x] += 1
+        # only candidates that differ in half of what is allowed at most let a line stop: long lines have many weak ones
+        strong = 2 * apart[good] * (100 + PERCENT) <= (100 - PERCENT) * (n[x] + n[y])
+        hits[x[strong]] += 1
         more = (hits[x] >= HITS) & (x - back > start[x])
         if len(x):
             yield _found(doc[x], line[x], doc[y], line[y], more)
@@ -155,7 +159,7 @@ def meet(rows: DataFrame) -> DataFrame:
     """Exact repeats and candidates from postings; memory holds the current token's rows and one Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 4
+        held = [np.zeros(0, dtype=np.int64)] * 5
         for batch in batches:
             new = [c.to_numpy() for c in batch.columns]
             if not len(new[0]):
@@ -163,7 +167,7 @@ def meet(rows: DataFrame) -> DataFrame:
             tail = int(np.searchsorted(held[0] == new[0][0], True)) if len(held[0]) and held[0][-1] == new[0][0] else len(held[0])
             carried = [h[tail:] for h in held]
             whole = [np.concatenate([h, x]) for h, x in zip(carried, new, strict=True)]
-            yield from _compare(whole[0], whole[1], whole[2], whole[3].view(np.uint64), len(carried[0]))
+            yield from _compare(whole[0], whole[1], whole[2], (whole[3].view(np.uint64), whole[4].view(np.uint64)), len(carried[0]))
             last = int(np.searchsorted(whole[0] == whole[0][-1], True)) if whole[0][0] != whole[0][-1] else 0
             held = [x[last:] for x in whole]
 
@@ -215,11 +219,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def second_round(docs: DataFrame, counts: np.ndarray, stopped: DataFrame) -> DataFrame:
     """Lines of ``stopped`` that have a similar earlier line among all that share a prefix token with them."""
     spark = docs.sparkSession
-    rows = postings(docs, counts).where("place & 1 = 0").select("token", "doc_id", (F.shiftright("place", 33)).cast("int").alias("line"), (F.shiftright("place", 17).bitwiseAND(MOST_SIZE)).alias("n"), "bits")
-    rows = kept(spark, rows)
-    probe = rows.join(stopped.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line")), ["doc_id", "line"]).select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "token", F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    rows = postings(docs, counts).where("place & 1 = 0").select("token", "doc_id", (F.shiftright("place", 33)).cast("int").alias("line"), (F.shiftright("place", 17).bitwiseAND(MOST_SIZE)).alias("n"), "low", "high")
+    probe = rows.join(stopped.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line")), ["doc_id", "line"]).select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "token", F.col("n").alias("nx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
     near = probe.join(rows, "token").where("(doc_id < x_doc or (doc_id = x_doc and line < x_line))")
-    fits = F.expr(f"greatest(n, nx) >= {MOST_SIZE} or (100 * least(n, nx) >= {PERCENT} * greatest(n, nx) and bit_count(bits ^ bx) * {100 + PERCENT} <= {100 - PERCENT} * (n + nx))")
+    fits = F.expr(f"greatest(n, nx) >= {MOST_SIZE} or (100 * least(n, nx) >= {PERCENT} * greatest(n, nx) and (bit_count(low ^ lx) + bit_count(high ^ hx)) * {100 + PERCENT} <= {100 - PERCENT} * (n + nx))")
     pairs = near.where(fits).select("x_doc", "x_line", F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")).distinct()
     return verified(kept(spark, pairs), docs)
 
