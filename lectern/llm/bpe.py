@@ -23,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pre-tokens up to half this many characters are remembered, at most this many of them; longer ones are merged each time.
-CACHE_BYTES, CACHE_ENTRIES = 48, 250_000
+CACHE_BYTES, CACHE_ENTRIES = 48, 600_000
 #: Characters of text whose new pre-tokens share a queue.
-SHARED_CHARS = 8 << 20
+SHARED_CHARS = 16 << 20
 #: Fixed value: the pattern for which text may be cut before single spaces, each part being split alone.
 SPACE_CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK_RUN = regex.compile(r"\s \s|  |\s $|^ \s")
