@@ -23,16 +23,18 @@ from lectern.llm.bpe import ByteBpe, codec, read_vocabulary
 #: Characters past its end that can decide where a pre-token ends: contractions look up to 3 ahead.
 CONTEXT = 3
 LEAF = 64
+#: Characters of text that are split ahead.
+GROUP_CHARS = 4 << 20
 SCHEMA = "doc_id long, n_edits int, n_tokens_before long, n_tokens_after long, n_chars_after long, n_reencoded long, n_pretokens long, edited_sha256 string"
 
 
 class CountTree:
     """Pre-tokens of one document with sums of characters and tokens."""
 
-    def __init__(self, text: str, bpe: ByteBpe) -> None:
+    def __init__(self, text: str, bpe: ByteBpe, pieces: list[str] | None = None) -> None:
         self.bpe = bpe
         self.encoded = 0
-        self._build(self._pieces(bpe.split(text)))
+        self._build(self._pieces(bpe.split(text) if pieces is None else pieces))
 
     def _pieces(self, pieces: list[str]) -> list[tuple[str, int]]:
         self.encoded += len(pieces)
@@ -182,9 +184,17 @@ def recount(docs: DataFrame, vocabulary: str, pattern: str, edits: str = "edits"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(shipped.value, pattern)
         for batch in batches:
-            rows = []
-            for doc_id, text, changes in zip(*batch.columns, strict=True):
-                tree = CountTree(text.as_py() or "", bpe)
+            rows, texts, split = [], [text or "" for text in batch.column(1).to_pylist()], {}
+            for k, (doc_id, text, changes) in enumerate(zip(batch.column(0), texts, batch.column(2), strict=True)):
+                if k not in split:  # split the next texts and merge their new pre-tokens together
+                    split, held = {}, 0
+                    for ahead in range(k, len(texts)):
+                        if split and held + len(texts[ahead]) > GROUP_CHARS:
+                            break
+                        split[ahead] = bpe.split(texts[ahead])
+                        held += len(texts[ahead])
+                    bpe.learn(set().union(*split.values()))
+                tree = CountTree(text, bpe, split.pop(k))
                 before, first = tree.n_tokens, tree.encoded
                 changes = [c for c in changes.as_py() or [] if c is not None]
                 for c in changes:
