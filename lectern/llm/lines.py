@@ -6,8 +6,10 @@ n - ceil(t n) + 1. Postings meet once, sorted by token and by the lines' place i
 filters (a 128-bit parity bitmap bounds the symmetric difference from below) leave few candidates, which are verified on the
 full token sets. A line goes if an earlier line, by (doc_id, line number), is similar, whether that one stays or not.
 
-In a token's group each line looks back from its nearest predecessor and stops after ``HITS`` strong candidates; a line that
-has stopped, but for which no candidate was verified, is joined with all its earlier neighbours in a second round.
+In a token's group each line looks back from its nearest predecessor and stops after ``HITS`` strong candidates. Each line's
+nearest candidate is verified first, the others only for lines that it leaves open; a line that has stopped, but for which no
+candidate was verified, is joined with all its earlier neighbours in a second round. Only lines that a bitmap of fixed size
+names leave the documents for verification; what it names in error drops out in the joins.
 
 Defined results: lines are cut at line feeds; a line without words is never removed; null text counts as empty and stays
 null; a text whose lines all stay is returned as it is; extra columns are kept.
@@ -31,7 +33,10 @@ HITS = 2
 POSTING = "token long, doc_id long, place long, low long, high long"
 #: ``place`` holds line number << 33 | set size << 17 | position in the set << 1 | (1: a whole-line row), sizes cut at 65535.
 MOST_SIZE = (1 << 16) - 1
-FOUND = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
+FOUND = "x_doc long, x_line int, y_doc long, y_line int, apart int, more boolean"
+#: Bits of the bitmap (1 MB) that names the lines or tokens asked for.
+FLAGS = 1 << 23
+LINE = ["x_doc", "x_line"]
 
 
 def line_offsets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +64,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sketch binary")
 
 
-def line_sets(data: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, rarest first; each line's first token; each row's first line."""
-    lines, first = line_offsets(data, rows)
+def line_sets(data: np.ndarray, lines: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of each line, rarest first; each line's first token."""
     hashes, _, _, at = words(data, lines)
     own = np.repeat(np.arange(len(lines) - 1), np.diff(at))
     order = np.lexsort((hashes, counts[sketch_bucket(hashes)], own))
@@ -71,7 +75,11 @@ def line_sets(data: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> tuple[n
     hashes, own = hashes[keep], own[keep]
     cut = np.zeros(len(lines), dtype=np.int64)
     np.cumsum(np.bincount(own, minlength=len(lines) - 1), out=cut[1:])
-    return hashes, cut, first
+    return hashes, cut
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return n - -(-PERCENT * n // 100) + 1
 
 
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -83,7 +91,8 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             doc_ids = batch.column(0).to_numpy()
             for first_row, _, data, rows in blocks(batch.column(1)):
-                tokens, cut, first = line_sets(data, rows, counts)
+                lines, first = line_offsets(data, rows)
+                tokens, cut = line_sets(data, lines, counts)
                 size = np.diff(cut)
                 if not len(tokens):
                     continue
@@ -102,7 +111,7 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                         fresh[i] = True
                 base = (number << 33) | (np.minimum(n, MOST_SIZE) << 17)
                 keep = np.flatnonzero(fresh)
-                length = n[keep] - -(-PERCENT * n[keep] // 100) + 1
+                length = prefix_length(n[keep])
                 own = np.repeat(keep, length)
                 position = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
                 token = np.concatenate([name, tokens[cut[line][own] + position]])
@@ -129,7 +138,8 @@ def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: tuple[
     exact = np.flatnonzero(same & (whole == 1) & (np.roll(whole, 1) == 1))
     exact = exact[exact >= begin]
     if len(exact):
-        yield _found(doc[exact], line[exact], None, None, np.zeros(len(exact), bool))
+        none = np.zeros(len(exact), dtype=np.int64)
+        yield _found(doc[exact], line[exact], None, None, none, none > 0)
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
     active = np.flatnonzero((np.arange(len(token)) >= begin) & (whole == 0) & (np.arange(len(token)) > start))
     hits = np.zeros(len(token), dtype=np.int8)
@@ -144,15 +154,15 @@ def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: tuple[
         hits[x[strong]] += 1
         more = (hits[x] >= HITS) & (x - back > start[x])
         if len(x):
-            yield _found(doc[x], line[x], doc[y], line[y], more)
+            yield _found(doc[x], line[x], doc[y], line[y], 1000 * apart[good] // (n[x] + n[y]), more)
         back += 1
         active = active[(hits[active] < HITS) & (active - back >= start[active])]
 
 
-def _found(xd: np.ndarray, xl: np.ndarray, yd: np.ndarray | None, yl: np.ndarray | None, more: np.ndarray) -> pa.RecordBatch:
+def _found(xd: np.ndarray, xl: np.ndarray, yd: np.ndarray | None, yl: np.ndarray | None, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(xd), pa.int64()), pa.nulls(len(xd), pa.int32())
     y = none if yd is None else (pa.array(yd), pa.array(yl.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(xd), pa.array(xl.astype(np.int32)), *y, pa.array(more)], names=["x_doc", "x_line", "y_doc", "y_line", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(xd), pa.array(xl.astype(np.int32)), *y, pa.array(apart.astype(np.int32)), pa.array(more)], names=["x_doc", "x_line", "y_doc", "y_line", "apart", "more"])
 
 
 def meet(rows: DataFrame) -> DataFrame:
@@ -174,30 +184,84 @@ def meet(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "doc_id", "place").mapInArrow(run, FOUND)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(x_doc, x_line) of the pairs whose lines' token sets are similar."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line")), F.struct(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line")))).alias("w")).select("w.*").distinct()
-    by_doc = wanted.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # at most a document's lines
+def line_name(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(doc.astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15) + line.astype(np.uint64))
+
+
+def flagged(flags: np.ndarray, names: np.ndarray) -> np.ndarray:
+    bucket = (names >> U64(41)).astype(np.int64)
+    return flags[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1 == 1
+
+
+def flags(rows: DataFrame) -> np.ndarray:
+    """Bitmap of FLAGS bits with those set that name a row's hash (a token) or its (doc_id, line); ORed in two rounds."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, some = np.zeros(FLAGS, dtype=bool), False
         for batch in batches:
-            ids, numbers, sets = [], [], []
-            for i in range(batch.num_rows):
-                text = (batch.column(1)[i].as_py() or "").split("\n")
-                for k in batch.column(2)[i].as_py():
-                    raw = np.frombuffer(text[k].encode(), np.uint8)
-                    ids.append(batch.column(0)[i].as_py())
-                    numbers.append(k)
-                    sets.append(signed(np.unique(words(raw, np.array([0, len(raw)]))[0])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line", "tokens"])
-
-    sets = kept(spark, docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "lines").mapInArrow(tokens, "doc_id long, line int, tokens array<long>"))
-    side = lambda s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("tokens").alias(f"{s}_tokens"))
-    both = pairs.join(side("x"), ["x_doc", "x_line"]).join(side("y"), ["y_doc", "y_line"])
+            columns = [c.to_numpy() for c in batch.columns]
+            names = line_name(*columns) if len(columns) == 2 else columns[0].view(np.uint64)
+            bits[(names >> U64(41)).astype(np.int64)] = True
+            some = some or len(names) > 0
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    def both(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FLAGS // 8, dtype=np.uint8)
+        for part in parts:
+            for x in part.column("bits"):
+                total |= np.frombuffer(x.as_py(), dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["bits"])
+
+    parts = rows.mapInArrow(own, "bits binary").select((F.spark_partition_id() % 16).alias("part"), "bits")
+    total = np.zeros(FLAGS // 8, dtype=np.uint8)
+    for r in parts.groupBy("part").applyInArrow(both, "bits binary").collect():  # at most 16 rows of 1 MB
+        total |= np.frombuffer(r["bits"], dtype=np.uint8)
+    return total
+
+
+def token_sets(docs: DataFrame, counts: np.ndarray, asked: np.ndarray, by_token: bool = False) -> DataFrame:
+    """(doc_id, line, tokens rarest first) of the lines that ``asked`` names, or that have a prefix token that it names."""
+    shipped = docs.sparkSession.sparkContext.broadcast((counts, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, asked = shipped.value
+        for batch in batches:
+            doc_ids = batch.column(0).to_numpy()
+            for first_row, _, data, rows in blocks(batch.column(1)):
+                lines, first = line_offsets(data, rows)
+                row = np.repeat(np.arange(len(rows) - 1), np.diff(first))
+                doc, number = doc_ids[first_row + row], np.arange(len(row)) - first[row]
+                if by_token:
+                    hashes, _, _, at = words(data, lines)
+                    hit = np.concatenate([[0], np.cumsum(flagged(asked, hashes))])
+                    some = np.flatnonzero(hit[at[1:]] > hit[at[:-1]])
+                else:
+                    some = np.flatnonzero(flagged(asked, line_name(doc, number)))
+                if not len(some):
+                    continue
+                piece = [data[lines[k] : lines[k + 1]] for k in some]
+                tokens, cut = line_sets(np.concatenate(piece), np.concatenate([[0], np.cumsum([len(x) for x in piece])]), counts)
+                if by_token:
+                    at = np.arange(len(tokens)) - np.repeat(cut[:-1], np.diff(cut))
+                    early = flagged(asked, tokens) & (at < np.repeat(prefix_length(np.diff(cut)), np.diff(cut)))
+                    hit = np.concatenate([[0], np.cumsum(early)])
+                    keep = hit[cut[1:]] > hit[cut[:-1]]
+                else:
+                    keep = np.diff(cut) > 0
+                sets = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(signed(tokens)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(number[some], pa.int32()), sets], names=["doc_id", "line", "tokens"]).filter(pa.array(keep))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, tokens array<long>")
+
+
+def similar(pairs: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """(x_doc, x_line) of the pairs whose lines' token sets are similar."""
+    side = lambda sets, s: sets.select(F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), F.col("tokens").alias(f"{s}_tokens"))
+    both = pairs.select(*LINE, "y_doc", "y_line").join(side(xs, "x"), LINE).join(side(ys, "y"), ["y_doc", "y_line"])
     shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
     union = F.size("x_tokens") + F.size("y_tokens") - shared
-    return both.where(100 * shared >= PERCENT * union).select("x_doc", "x_line").distinct()
+    return both.where(100 * shared >= PERCENT * union).select(*LINE).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -206,25 +270,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     counts = rarity(token_counts(docs))
     found = kept(spark, meet(postings(docs, counts)))
-    exact = found.where("y_doc is null").select("x_doc", "x_line")
-    pairs = found.where("y_doc is not null").join(exact, ["x_doc", "x_line"], "left_anti")
-    similar = kept(spark, verified(pairs.select("x_doc", "x_line", "y_doc", "y_line").distinct(), docs))
-    gone = exact.unionByName(similar)
-    stopped = kept(spark, pairs.where("more").select("x_doc", "x_line").distinct().join(similar, ["x_doc", "x_line"], "left_anti"))
+    exact = found.where("y_doc is null").select(*LINE)
+    distinct = found.where("y_doc is not null").groupBy(*LINE, "y_doc", "y_line").agg(F.min("apart").alias("apart"), F.max("more").alias("more"))
+    pairs = kept(spark, distinct.join(exact, LINE, "left_anti"))
+    end = lambda s: pairs.select(F.col(f"{s}_doc").alias("doc_id"), F.col(f"{s}_line").alias("line"))
+    sets = kept(spark, token_sets(docs, counts, flags(end("x").unionByName(end("y")))))
+    nearest = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", "y_doc", "y_line")).alias("y")).select(*LINE, "y.y_doc", "y.y_line")
+    first = kept(spark, similar(nearest, sets, sets))
+    others = similar(pairs.join(first, LINE, "left_anti"), sets, sets)
+    near = kept(spark, first.unionByName(others))
+    gone = exact.unionByName(near)
+    stopped = kept(spark, pairs.where("more").select(*LINE).distinct().join(near, LINE, "left_anti"))
     if stopped.limit(1).count():
-        gone = gone.unionByName(second_round(docs, counts, stopped))
+        own = sets.join(stopped.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line")), ["doc_id", "line"])
+        gone = gone.unionByName(second_round(docs, counts, kept(spark, own)))
     return gone.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line")).distinct()
 
 
-def second_round(docs: DataFrame, counts: np.ndarray, stopped: DataFrame) -> DataFrame:
-    """Lines of ``stopped`` that have a similar earlier line among all that share a prefix token with them."""
-    spark = docs.sparkSession
-    rows = postings(docs, counts).where("place & 1 = 0").select("token", "doc_id", (F.shiftright("place", 33)).cast("int").alias("line"), (F.shiftright("place", 17).bitwiseAND(MOST_SIZE)).alias("n"), "low", "high")
-    probe = rows.join(stopped.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line")), ["doc_id", "line"]).select(F.col("doc_id").alias("x_doc"), F.col("line").alias("x_line"), "token", F.col("n").alias("nx"), F.col("low").alias("lx"), F.col("high").alias("hx"))
-    near = probe.join(rows, "token").where("(doc_id < x_doc or (doc_id = x_doc and line < x_line))")
-    fits = F.expr(f"greatest(n, nx) >= {MOST_SIZE} or (100 * least(n, nx) >= {PERCENT} * greatest(n, nx) and (bit_count(low ^ lx) + bit_count(high ^ hx)) * {100 + PERCENT} <= {100 - PERCENT} * (n + nx))")
-    pairs = near.where(fits).select("x_doc", "x_line", F.col("doc_id").alias("y_doc"), F.col("line").alias("y_line")).distinct()
-    return verified(kept(spark, pairs), docs)
+def second_round(docs: DataFrame, counts: np.ndarray, own: DataFrame) -> DataFrame:
+    """Lines of ``own`` (doc_id, line, tokens) that have a similar earlier line among all that share a prefix token with them."""
+    n = F.size("tokens")
+    prefix = F.explode(F.slice("tokens", F.lit(1), n - F.ceil(n * PERCENT / 100).cast("int") + 1))
+    shown = lambda sets, s: sets.select(prefix.alias("token"), F.col("doc_id").alias(f"{s}_doc"), F.col("line").alias(f"{s}_line"), n.alias(f"{s}_n"))
+    others = kept(docs.sparkSession, token_sets(docs, counts, flags(shown(own, "x").select("token")), by_token=True))
+    earlier = "(y_doc < x_doc or (y_doc = x_doc and y_line < x_line))"
+    fits = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
+    return similar(shown(own, "x").join(shown(others, "y"), "token").where(f"{earlier} and {fits}").select(*LINE, "y_doc", "y_line").distinct(), own, others)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
