@@ -7,8 +7,8 @@ each subset with its content being one signature. A difference of h features tou
 sets share all but h signatures, and each needs to show only its h + 1 rarest ones under an order that is the same for all.
 Rarity comes from a count sketch over all documents of fixed size; empty partitions come last.
 
-Candidates are taken first between each set and that one of its signatures' smallest sets with which it shares most; then,
-within signatures whose sets are not yet in one component, between all sets of different components. Parity bitmaps of the sets bound the difference from below
+Candidates are taken first, in a few rounds, between each set and one set of another component, that lead of its signatures
+with which it shares most; then, within signatures whose sets are not yet in one component, between all sets of different components. Parity bitmaps of the sets bound the difference from below
 and drop most false candidates; every other one is verified on the exact shingle sets.
 
 Defined results: null text, empty text and text without words have no shingles and link with nothing; a text of fewer than
@@ -33,6 +33,8 @@ WORDS = 5
 PERCENT = 75
 #: Buckets of the count sketch that orders signatures by rarity: 1 MB of counts, whatever the corpus holds.
 SKETCH = 1 << 18
+#: Rounds of comparing sets with one other set of each signature, before all pairs of those still apart are compared.
+LEAD_ROUNDS = 2
 SET_SCHEMA = "doc_id long, n int, h1 long, h2 long, parity binary, sketch binary"
 
 
@@ -221,24 +223,36 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = kept(spark, keys.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
     shown = signature_rows(docs, rarity(rows))
     group = Window.partitionBy("signature")
-    met = shown.select("signature", "name", F.min("name").over(group).alias("lead"), F.max("name").over(group).alias("last")).where("lead <> last")
-    met = kept(spark, met.select("signature", "name", "lead"))
-    # first, each set with the lead with which it shares most signatures
-    counted = met.where("name <> lead").groupBy("lead", "name").agg(F.count("*").alias("k"))
-    best = counted.groupBy(F.col("name").alias("name_b")).agg(F.max_by("lead", F.struct("k", "lead")).alias("name_a"))
-    first = kept(spark, sized(best, sets))
-    links = kept(spark, verified(first, docs))
+    met = shown.select("signature", "name", F.min("name").over(group).alias("low"), F.max("name").over(group).alias("high")).where("low <> high")
+    met = kept(spark, met.select("signature", "name").distinct())
+    reps = sets.join(met.select(F.col("name").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id"))
+    texts = kept(spark, docs.select("doc_id", "text").join(reps, "doc_id", "left_semi"))  # of sets that share a signature
+    by_name = sets.select(F.col("h1").alias("name"), F.col("rep").alias("id"), F.col("n"))
+    open_rows, tried, links = met.join(by_name.withColumn("component", F.col("id")), "name"), None, None
+    # each set with the lead with which it shares most signatures, as long as that joins components
+    for round_number in range(LEAD_ROUNDS):
+        lead = F.min(F.struct("component", F.xxhash64("name", F.lit(round_number)).alias("at"), "name")).over(group)
+        with_lead = open_rows.withColumn("lead", lead).where(F.col("lead.component") != F.col("component"))
+        counted = with_lead.groupBy(F.col("lead.name").alias("name_a"), F.col("name").alias("name_b")).agg(F.count("*").alias("k"))
+        best = counted.groupBy("name_b").agg(F.max_by("name_a", F.struct("k", "name_a")).alias("name_a"))
+        fresh = sized(best, sets)
+        fresh = kept(spark, fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
+        found = kept(spark, verified(fresh, texts))
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        links = found if links is None else links.unionByName(found)
+        label = components(links)
+        named = by_name.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows_now = met.join(named, "name")
+        spread = rows_now.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+        open_rows = kept(spark, rows_now.join(spread, "signature", "left_semi"))
+        if not found.limit(1).count():
+            break
     # then all pairs within signatures whose sets still lie in different components
-    label = components(links)
-    by_name = sets.select(F.col("h1").alias("name"), F.col("rep").alias("id"), F.col("n")).join(label, "id", "left").select("name", "n", F.coalesce("component", "id").alias("component"))
-    open_rows = met.select("signature", "name").distinct().join(by_name, "name")
-    spread = open_rows.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-    left = kept(spark, open_rows.join(spread, "signature"))
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name"))
     fits = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-    pairs = left.alias("x").join(left.alias("y"), "signature").where(apart & fits).select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
-    second = kept(spark, sized(pairs, sets).join(first, ["a", "b"], "left_anti"))
-    more = links if not second.limit(1).count() else links.unionByName(verified(second, docs))
+    pairs = open_rows.alias("x").join(open_rows.alias("y"), "signature").where(apart & fits).select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
+    second = kept(spark, sized(pairs, sets).join(tried, ["a", "b"], "left_anti"))
+    more = links if not second.limit(1).count() else links.unionByName(verified(second, texts))
     member = rows.where("sketch is null").join(sets.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return member, kept(spark, more)
 
