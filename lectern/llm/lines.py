@@ -6,7 +6,8 @@ n - ceil(t n) + 1. Postings meet once, sorted by token and by the lines' place i
 filters (a 128-bit parity bitmap bounds the symmetric difference from below) leave few candidates, which are verified on the
 full token sets. A line goes if an earlier line, by (doc_id, line number), is similar, whether that one stays or not.
 
-In a token's group each line looks back from its nearest predecessor and stops after ``HITS`` strong candidates. Each line's
+In a token's group each line looks back from its nearest predecessor and stops after ``HITS`` strong candidates; the weak ones
+that it has met are then left to the second round. Each line's
 nearest candidate is verified first, the others only for lines that it leaves open; a line that has stopped, but for which no
 candidate was verified, is joined with all its earlier neighbours in a second round. Only lines that a bitmap of fixed size
 names leave the documents for verification; what it names in error drops out in the joins.
@@ -29,7 +30,9 @@ from lectern.llm.storage import kept
 from lectern.llm.text import U64, blocks, mix, signed, words
 
 PERCENT = 75
-HITS = 2
+HITS = 1
+#: Weak candidates that are held back until their line has, or has not, a strong one.
+HELD = 1 << 20
 POSTING = "token long, doc_id long, place long, low long, high long"
 #: ``place`` holds line number << 33 | set size << 17 | position in the set << 1 | (1: a whole-line row), sizes cut at 65535.
 MOST_SIZE = (1 << 16) - 1
@@ -142,21 +145,37 @@ def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: tuple[
         yield _found(doc[exact], line[exact], None, None, none, none > 0)
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(token))))
     active = np.flatnonzero((np.arange(len(token)) >= begin) & (whole == 0) & (np.arange(len(token)) > start))
-    hits = np.zeros(len(token), dtype=np.int8)
+    hits, passed = np.zeros(len(token), dtype=np.int8), np.zeros(len(token), dtype=bool)
+    weak: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def without_strong() -> Iterator[pa.RecordBatch]:
+        for x, y, score in weak:
+            left = hits[x] < HITS
+            if left.any():
+                yield _found(doc[x[left]], line[x[left]], doc[y[left]], line[y[left]], score[left], np.zeros(left.sum(), dtype=bool))
+        weak.clear()
+
     back = 1
     while len(active):
         other = active - back
         apart = sum(np.bitwise_count(b[active] ^ b[other]).astype(np.int64) for b in bits)
         good = (whole[other] == 0) & passes(n[active], pos[active], n[other], pos[other], apart)
-        x, y = active[good], other[good]
+        x, y, apart = active[good], other[good], apart[good]
+        score = 1000 * apart // (n[x] + n[y])
         # only candidates that differ in half of what is allowed at most let a line stop: long lines have many weak ones
-        strong = 2 * apart[good] * (100 + PERCENT) <= (100 - PERCENT) * (n[x] + n[y])
+        strong = 2 * apart * (100 + PERCENT) <= (100 - PERCENT) * (n[x] + n[y])
         hits[x[strong]] += 1
-        more = (hits[x] >= HITS) & (x - back > start[x])
-        if len(x):
-            yield _found(doc[x], line[x], doc[y], line[y], 1000 * apart[good] // (n[x] + n[y]), more)
+        if strong.any():
+            u, v = x[strong], y[strong]
+            yield _found(doc[u], line[u], doc[v], line[v], score[strong], (hits[u] >= HITS) & (passed[u] | (u - back > start[u])))
+        if not strong.all():
+            passed[x[~strong]] = True
+            weak.append((x[~strong], y[~strong], score[~strong]))
+            if sum(len(w[0]) for w in weak) > HELD:
+                yield from without_strong()
         back += 1
         active = active[(hits[active] < HITS) & (active - back >= start[active])]
+    yield from without_strong()
 
 
 def _found(xd: np.ndarray, xl: np.ndarray, yd: np.ndarray | None, yl: np.ndarray | None, apart: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
