@@ -12,6 +12,9 @@ nearest candidate is verified first, the others only for lines that it leaves op
 candidate was verified, is joined with all its earlier neighbours in a second round. Only lines that a bitmap of fixed size
 names leave the documents for verification; what it names in error drops out in the joins.
 
+Rows whose doc_id is null or repeated are named by their place in the order of (doc_id, nulls first; hash of the text; row), so
+that the first of equal rows keeps its lines and the others lose theirs as exact repeats.
+
 Defined results: lines are cut at line feeds; a line without words is never removed; null text counts as empty and stays
 null; a text whose lines all stay is returned as it is; extra columns are kept.
 """
@@ -284,7 +287,7 @@ def similar(pairs: DataFrame, xs: DataFrame, ys: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of every line that goes."""
+    """(doc_id, line) of every line that goes; doc_ids must not be null or repeated (see ``named``)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts = rarity(token_counts(docs))
@@ -317,11 +320,29 @@ def second_round(docs: DataFrame, counts: np.ndarray, own: DataFrame) -> DataFra
     return similar(shown(own, "x").join(shown(others, "y"), "token").where(f"{earlier} and {fits}").select(*LINE, "y_doc", "y_line").distinct(), own, others)
 
 
+def named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that names its rows in order: doc_id, or a kept ``_place`` where a doc_id is null or repeated.
+
+    Places are dealt by range over (doc_id, hash, row), so that no doc_id or text, however often it is repeated, fills one task.
+    """
+    spark = docs.sparkSession
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return docs, "doc_id"
+    docs = kept(spark, docs.withColumn("_row", F.monotonically_increasing_id()))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "_row")
+    # partition number << 33 | number in the partition, of rows sorted over all partitions
+    places = kept(spark, rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", F.monotonically_increasing_id().alias("_place")))
+    return kept(spark, docs.join(places, "_row").drop("_row")), "_place"
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less its removed lines, and ``n_lines``, ``n_removed_lines``."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line").alias("_gone"))  # at most a document's lines
+    docs, name = named(docs)
+    gone = removed_lines(docs.select(F.col(name).alias("doc_id"), "text"))
+    gone = gone.groupBy(F.col("doc_id").alias(name)).agg(F.collect_list("line").alias("_gone"))  # at most a document's lines
     none = F.expr("cast(array() as array<int>)")
-    both = docs.drop("n_lines", "n_removed_lines", "_gone").join(gone, "doc_id", "left").withColumn("_gone", F.coalesce("_gone", none)).withColumn("_lines", F.split("text", "\n", -1))
+    both = docs.drop("n_lines", "n_removed_lines", "_gone").join(gone, name, "left").drop("_place").withColumn("_gone", F.coalesce("_gone", none)).withColumn("_lines", F.split("text", "\n", -1))
     left = F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i)), "\n")
     return both.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(1)).cast("long")).withColumn("n_removed_lines", F.size("_gone").cast("long")).withColumn("text", F.when(F.col("text").isNull() | (F.size("_gone") == 0), F.col("text")).otherwise(left)).drop("_gone", "_lines")
 

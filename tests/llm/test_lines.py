@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from lectern.llm import lines
 
 
@@ -61,3 +62,22 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, hits):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert lines.op6_line_dedup(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    text, near = "alpha beta gamma delta\n\nepsilon zeta eta theta", "alpha beta gamma delta\niota kappa lambda mu"
+    rows = [(7, text), (7, text), (7, text), (8, "own words here now"), (9, near), (9, "one two three\none two three"), (None, "nu xi omicron pi"), (None, "nu xi omicron pi"), (None, None), (10, "nu xi omicron pi")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = lines.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed_lines"]
+    want = [
+        (7, text, 3, 0), (7, "", 3, 2), (7, "", 3, 2), (8, "own words here now", 1, 0), (9, "iota kappa lambda mu", 2, 1), (9, "one two three", 2, 1),
+        (None, "nu xi omicron pi", 1, 0), (None, "", 1, 1), (None, None, 1, 0), (10, "", 1, 1),
+    ]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert lines.op6_line_dedup(spark, str(tmp_path)).count() == len(rows)
+
+
+def test_repeated_rows_survive_the_stage(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma", 16), (1, "alpha beta gamma", 16), (2, "delta epsilon", 13)], "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, corpus_pipeline.line_stage(spark, docs, "").collect())) == [(1, "alpha beta gamma", 16), (2, "delta epsilon", 13)]
