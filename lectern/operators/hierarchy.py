@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.steps import kept
 
-def closure(edges: DataFrame, most_depth: int = 32) -> DataFrame:
-    """(node, ancestor, distance) from (child, parent), the node itself at distance 0; one join a level."""
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) from (child, parent), the node itself at distance 0; one join a level, until no ancestor is new.
+
+    An ancestor reached in several ways stands once, at its least distance, so cycles end too.
+    """
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-    out = level = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    for distance in range(1, most_depth + 1):
-        level = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor"), F.lit(distance).alias("distance"))
+    out = level = kept(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
+    distance = 0
+    while True:
+        distance += 1
+        up = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
+        level = kept(up.join(out.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)))
         if not level.limit(1).count():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def nearest(closed: DataFrame, values: DataFrame) -> DataFrame:
@@ -35,12 +42,20 @@ def neighbourhood(edges: DataFrame, start: str, hops: int, budget: int) -> DataF
     return seen.orderBy("hop", "node").limit(budget)
 
 
-def aliases(pairs: DataFrame, most_steps: int = 16) -> DataFrame:
-    """(name, canonical): each name of (name, target) followed to the end of its chain; cycles stop at their smallest name."""
-    closed = closure(pairs.select(F.col("name").alias("child"), F.col("target").alias("parent")), most_steps)
-    ends = closed.join(pairs.select(F.col("name").alias("ancestor")), "ancestor", "left_anti")
-    far = ends.groupBy("node").agg(F.max_by("ancestor", "distance").alias("canonical"))
-    return far.where("node <> canonical").select(F.col("node").alias("name"), "canonical")
+def aliases(pairs: DataFrame) -> DataFrame:
+    """(name, canonical): each name of (name, target) followed to the end of its chain, by pointer doubling; one row a name.
+
+    Names on a cycle, or leading into one, get the cycle's smallest name; of several targets of a name the smallest counts.
+    """
+    # low: the smallest name among those passed on the way to ``to``, the name itself included
+    jump = kept(pairs.where("name is not null and target is not null").groupBy("name").agg(F.min("target").alias("to")).withColumn("low", F.col("name")))
+    names, steps = jump.count(), 1
+    while True:
+        ahead = jump.select(F.col("name").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
+        both = jump.join(ahead, "to", "left")
+        if steps >= names or not both.where("far is not null").limit(1).count():  # what is still on its way now is on a cycle
+            return both.select("name", F.coalesce("far_low", "to").alias("canonical"))
+        jump, steps = kept(both.select("name", F.coalesce("far", "to").alias("to"), F.least("low", "far_low").alias("low"))), 2 * steps
 
 
 def running(rows: DataFrame, part: str, order: list[str], value: str) -> DataFrame:
