@@ -3,7 +3,8 @@
 Base kinds are fixed patterns. The method adds kind ``entropy``: candidate runs of key-like characters are passed through a
 sliding window whose Shannon entropy (over hexadecimal or mixed characters, by the run's class) is kept up to date from
 character counts, one character in and one out per step; a run is a secret if any window reaches its class's threshold,
-unless the allow list knows it or a base span already covers part of it.
+unless the allow list knows all its pieces or a base span already covers part of it. Pieces that the list knows (a UUID, a
+placeholder in a path) are cut out and the rest is judged; the span is that of the whole run.
 
 Positions count code points, end exclusive. Defined results: null text counts as empty; texts without a secret have counts
 0 and the SHA-256 of the empty string; duplicate rows are scanned alike; extra columns are ignored.
@@ -26,8 +27,16 @@ LEAST_VALUE = 8
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Window length and least entropy in bits a character, for hexadecimal and for mixed candidates.
 WINDOWS = {"hex": (16, 3.0), "mixed": (20, 3.7)}
-#: Candidates that are known to be no secrets: UUIDs, alphabets and counting runs, placeholders, one character over and over.
-ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|abcdefghijklm|0123456789|1234567890|example|placeholder|dummy|sample|^(.)\1+$|^[=_-]+|^[^0-9]*$|^[^A-Za-z]*$"
+# What a piece of a candidate (between separators) may be without being a secret: UUIDs, alphabets and counting runs, placeholders,
+# one character over and over, and words (also in camel case; longer than 15 letters of one case they are judged like the rest).
+SEPARATOR = "[/=_+-]"
+KNOWN = r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|(?:abcdefghijklmnopqrstuvwxyz|abcdefghijklm|0123456789|1234567890)++|example|placeholder|dummy|sample)"
+HUMP = "[A-Z][a-z]{2,14}|A(?![a-z])|Of|To|In|Is|By|On|At|Id|Or|As|An|If|No"
+WORD = rf"[A-Z]?[a-z]{{1,14}}(?:{HUMP})*+|[A-Z]{{1,15}}"
+#: Candidates that hold nothing but such pieces, or no letter.
+ALLOWED = rf"^{SEPARATOR}*+(?:(?:{KNOWN}|([A-Za-z0-9])\1*+|{WORD})(?:{SEPARATOR}++|$))*+$|^[^A-Za-z]*$"
+#: Where a candidate is cut: what is left is judged for itself.
+CUT = rf"(?<![A-Za-z0-9]){KNOWN}(?![A-Za-z0-9])"
 
 
 def spans(text: Column, pattern: str, kind: str, keep: Column | None = None, group: int | None = None) -> Column:
@@ -77,10 +86,12 @@ def window_entropy(value: Column, width: int) -> Column:
 
 
 def is_secret(value: Column) -> Column:
-    """Whether a candidate run's entropy reaches its class's threshold and the allow list doesn't know it."""
+    """Whether entropy reaches its class's threshold in what the allow list leaves of a candidate, or in a hexadecimal piece of it."""
     (hex_width, hex_bits), (width, bits) = WINDOWS["hex"], WINDOWS["mixed"]
-    high = F.when(value.rlike("^[0-9A-Fa-f]+$"), window_entropy(value, hex_width) >= hex_bits).otherwise(window_entropy(value, width) >= bits)
-    return F.when(value.rlike(ALLOWED), F.lit(False)).otherwise(high)
+    pieces = F.filter(F.split(value, SEPARATOR), lambda p: p.rlike("^[0-9A-Fa-f]{%d,}$" % hex_width))
+    high = lambda p: F.when(p.rlike("^[0-9A-Fa-f]+$"), window_entropy(p, hex_width) >= hex_bits).otherwise(window_entropy(p, width) >= bits)
+    parts = F.concat(F.split(value, CUT, -1), pieces)
+    return ~value.rlike(ALLOWED) & F.exists(parts, lambda p: F.when((F.length(p) < hex_width) | p.rlike(ALLOWED), F.lit(False)).otherwise(high(p)))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

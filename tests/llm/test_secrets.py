@@ -62,3 +62,20 @@ def test_no_python_in_the_plan(spark, tmp_path):
     df = secrets.op1_secret_scan(spark, str(tmp_path))
     assert df.count() == 0
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+KEY = "qT7pXw9LmZ2vKc4RbN8sYd1F"
+PLANTED = {
+    f"--key={KEY}": "entropy:0:30", f"cfg ={KEY} x": "entropy:4:29", f"-{KEY}": "entropy:0:25", f"_{KEY}": "entropy:0:25", "-qT7pXw9LmZ2vKc4RbN8": "entropy:0:20",
+    f"/srv/example/{KEY}": "entropy:0:37", f"a /sample/{KEY}/0123456789": "entropy:2:45", f"id={KEY}=": "entropy:0:28", "qTpXwLmZvKcRbNsYdFgHjk": "entropy:0:22",
+    "qwzrtplkxcvbnmasdfghyu": "entropy:0:22", "wJalrXUtnFE/K7MDENG/bPxRfiCYzz": "entropy:0:30", "/srv/x/DEADBEEF0192837465ABCDEF": "entropy:0:31",
+    "=" * 30: "", "-" * 24: "", "example_placeholder_dummy_sample": "", "/usr/share/sample/words_of_a_long_path": "", "someLongCamelCaseNameOfAFunction": "",
+    "/obj/123e4567-e89b-12d3-a456-426614174000/data": "", "_2024-11-28_2024-11-29_": "", "a_" * 9000: "", "/api/ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "",
+}
+
+
+def test_prefixes_and_pieces(spark, tmp_path):
+    texts = list(PLANTED)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {texts[r["doc_id"]]: r["spans"] for r in secrets.op1_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == PLANTED
