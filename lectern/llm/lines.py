@@ -22,6 +22,7 @@ null; a text whose lines all stay is returned as it is; extra columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ HITS = 1
 HELD = 1 << 20
 POSTING = "token long, doc_id long, place long, low long, high long"
 #: ``place`` holds line number << 33 | set size << 17 | position in the set << 1 | (1: a whole-line row), sizes cut at 65535.
+#: A whole-line row of size 0 is a repeat within its task, under a token of its own.
 MOST_SIZE = (1 << 16) - 1
 FOUND = "x_doc long, x_line int, y_doc long, y_line int, apart int, more boolean"
 #: Bits of the bitmap (1 MB) that names the lines or tokens asked for.
@@ -88,8 +90,20 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def whole_rows(token: np.ndarray | None, lines: list[tuple[int, int]], size: int) -> pa.RecordBatch:
+    """Postings of whole lines; without ``token`` each has a token of its own."""
+    doc, number = np.array(lines, dtype=np.int64).T
+    token = line_name(doc, number) if token is None else token
+    none = pa.array(np.zeros(len(doc), dtype=np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(doc), pa.array((number << 33) | (size << 17) | 1), none, none], names=["token", "doc_id", "place", "low", "high"])
+
+
 def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """A row for every line with words (token: hash of its set) and one for each prefix token of its set's earliest lines so far."""
+    """From each task a whole-line row for every distinct set (token: its hash; its earliest line) and for every repeat of it (token:
+    its own name), and a row for each prefix token of a set's earliest lines so far.
+
+    A set to which no other can be similar (one or two words) has no prefix rows.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,19 +124,29 @@ def postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 upper = tokens >> U64(63) == 1
                 low = np.bitwise_xor.reduceat(np.where(upper, U64(0), bit), cut[line])
                 high = np.bitwise_xor.reduceat(np.where(upper, bit, U64(0)), cut[line])
-                fresh = np.zeros(len(line), dtype=bool)
+                fresh, again = np.zeros(len(line), dtype=bool), []
                 for i, (key, d, l) in enumerate(zip(name.tolist(), doc.tolist(), number.tolist(), strict=True)):
-                    if key not in seen or (d, l) < seen[key]:
+                    first_so_far = seen.get(key)
+                    if first_so_far is None or (d, l) < first_so_far:
                         seen[key] = (d, l)
                         fresh[i] = True
+                        if first_so_far is not None:
+                            again.append(first_so_far)
+                    else:
+                        again.append((d, l))
+                if again:
+                    yield whole_rows(None, again, 0)
                 base = (number << 33) | (np.minimum(n, MOST_SIZE) << 17)
-                keep = np.flatnonzero(fresh)
+                keep = np.flatnonzero(fresh & (100 * n >= PERCENT * (n + 1)))
                 length = prefix_length(n[keep])
                 own = np.repeat(keep, length)
                 position = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-                token = np.concatenate([name, tokens[cut[line][own] + position]])
-                place = np.concatenate([base | 1, base[own] | np.minimum(position, MOST_SIZE) << 1])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(np.concatenate([doc, doc[own]])), pa.array(place), pa.array(signed(np.concatenate([low, low[own]]))), pa.array(signed(np.concatenate([high, high[own]])))], names=["token", "doc_id", "place", "low", "high"])
+                token = tokens[cut[line][own] + position]
+                place = base[own] | np.minimum(position, MOST_SIZE) << 1
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(doc[own]), pa.array(place), pa.array(signed(low[own])), pa.array(signed(high[own]))], names=["token", "doc_id", "place", "low", "high"])
+        names = iter(seen.items())
+        while some := list(islice(names, 1 << 16)):
+            yield whole_rows(np.array([key for key, _ in some], dtype=np.uint64), [at for _, at in some], 1)
 
     return docs.select("doc_id", "text").mapInArrow(run, POSTING)
 
@@ -141,7 +165,7 @@ def _compare(token: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: tuple[
     line, n, pos, whole = place >> 33, place >> 17 & MOST_SIZE, place >> 1 & MOST_SIZE, place & 1
     same = np.zeros(len(token), dtype=bool)
     same[1:] = token[1:] == token[:-1]
-    exact = np.flatnonzero(same & (whole == 1) & (np.roll(whole, 1) == 1))
+    exact = np.flatnonzero((whole == 1) & ((n == 0) | (same & (np.roll(whole, 1) == 1))))
     exact = exact[exact >= begin]
     if len(exact):
         none = np.zeros(len(exact), dtype=np.int64)
@@ -188,20 +212,32 @@ def _found(xd: np.ndarray, xl: np.ndarray, yd: np.ndarray | None, yl: np.ndarray
 
 
 def meet(rows: DataFrame) -> DataFrame:
-    """Exact repeats and candidates from postings; memory holds the current token's rows and one Arrow batch."""
+    """Exact repeats and candidates from postings; memory holds the current token's rows and as many new ones, or one Arrow batch.
+
+    A group is compared with what is held of it whenever it has doubled, so that work stays in proportion to its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 5
-        for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
-            if not len(new[0]):
-                continue
-            tail = int(np.searchsorted(held[0] == new[0][0], True)) if len(held[0]) and held[0][-1] == new[0][0] else len(held[0])
+        held, new = [np.zeros(0, dtype=np.int64)] * 5, []
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            own = [np.concatenate(c) for c in zip(*new, strict=True)]
+            new.clear()
+            tail = int(np.searchsorted(held[0] == own[0][0], True)) if len(held[0]) and held[0][-1] == own[0][0] else len(held[0])
             carried = [h[tail:] for h in held]
-            whole = [np.concatenate([h, x]) for h, x in zip(carried, new, strict=True)]
+            whole = [np.concatenate([h, x]) for h, x in zip(carried, own, strict=True)]
             yield from _compare(whole[0], whole[1], whole[2], (whole[3].view(np.uint64), whole[4].view(np.uint64)), len(carried[0]))
             last = int(np.searchsorted(whole[0] == whole[0][-1], True)) if whole[0][0] != whole[0][-1] else 0
-            held = [x[last:] for x in whole]
+            held = [x[last:].copy() for x in whole]
+
+        for batch in batches:
+            if batch.num_rows:
+                new.append([c.to_numpy() for c in batch.columns])
+            if sum(len(x[0]) for x in new) > len(held[0]):
+                yield from compared()
+        if new:
+            yield from compared()
 
     return rows.repartition("token").sortWithinPartitions("token", "doc_id", "place").mapInArrow(run, FOUND)
 

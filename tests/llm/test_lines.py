@@ -81,3 +81,21 @@ def test_repeated_and_null_ids(spark, tmp_path):
 def test_repeated_rows_survive_the_stage(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma", 16), (1, "alpha beta gamma", 16), (2, "delta epsilon", 13)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, corpus_pipeline.line_stage(spark, docs, "").collect())) == [(1, "alpha beta gamma", 16), (2, "delta epsilon", 13)]
+
+
+def test_a_line_that_is_everywhere_is_combined_in_its_task(spark):
+    docs = spark.range(0, 600, 1, 3).selectExpr("id as doc_id", "concat('all rights are reserved here\nown', id, ' w', id, ' x', id) as text")
+    rows = lines.postings(docs, lines.rarity(lines.token_counts(docs)))
+    whole = rows.where("place % 2 = 1").groupBy("token").count().agg({"count": "max"}).first()[0]
+    assert whole <= 3
+    assert sorted(map(tuple, lines.removed_lines(docs).collect())) == [(d, 0) for d in range(1, 600)]
+
+
+def test_groups_larger_than_a_batch(spark):
+    docs = spark.range(0, 300, 1, 3).selectExpr("id as doc_id", "concat('a b c d e f g h i j k w', id % 150, if(id % 3 = 0, concat(' v', id, ' u', id, ' t', id, ' s', id), '')) as text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in lines.dedup_lines(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute({r["doc_id"]: r["text"] for r in docs.collect()})
