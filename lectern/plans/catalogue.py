@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import search
 from lectern.functions import text as fx
-from lectern.operators import edits, files, hierarchy, votes
+from lectern.operators import edits, files, hierarchy, ranks, votes
 from lectern.sources.tables import table
 from lectern.streaming import windows
 
@@ -297,6 +297,32 @@ def natural_sort(spark, d):
     return first.select("s_name", F.row_number().over(Window.orderBy("a", "b")).alias("place"))
 
 
+# The queries above that keep the first rows only, over all rows.
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
+def sort_confidence_all(spark, d):
+    return ranks.place(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "place")
+
+
+@query("SELECT l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY min(abs(l_extendedprice - 20000)), l_suppkey) AS INTEGER) AS k FROM lineitem GROUP BY 1, 2")
+def rank_candidates_all(spark, d):
+    best = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.abs(F.col("l_extendedprice") - 20000)).alias("gap"))
+    return best.withColumn("k", F.row_number().over(Window.partitionBy("l_partkey").orderBy("gap", "l_suppkey"))).drop("gap")
+
+
+@query("SELECT *, row_number() OVER (ORDER BY gap, o_orderkey) AS place FROM (SELECT o_orderkey, CAST(round(abs(o_totalprice - 150000) * 100) AS BIGINT) AS gap FROM orders)")
+def runtime_closeness_all(spark, d):
+    return ranks.place(table(spark, d, "orders").select("o_orderkey", cents(F.abs(F.col("o_totalprice") - 150000)).alias("gap")), ["gap", "o_orderkey"])
+
+
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+$', ''), CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT), c_custkey) AS place FROM customer")
+def natural_sort_all(spark, d):
+    keys = F.regexp_replace("c_name", "[0-9]+$", ""), F.regexp_extract("c_name", "([0-9]+)$", 1).cast("long")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", keys[0].alias("a"), keys[1].alias("b"))
+    return ranks.place(rows, ["a", "b", "c_custkey"]).select("c_custkey", "c_name", "place")
+
+
 # --- windows over files and events
 
 
