@@ -279,6 +279,32 @@ def match_score(spark, d):
     return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), score.cast("long").alias("permille"))
 
 
+def part_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(p_partkey, p_size, w, id): each part's sorted token set, named by the first part of its size band that has it."""
+    tokens = F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_brand"), F.lower("p_type")), " ")))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", tokens.alias("w"))
+    return rows.join(rows.groupBy("p_size", "w").agg(F.min("p_partkey").alias("id")), ["p_size", "w"])
+
+
+PART_SETS_SQL = """t AS (SELECT p_partkey, p_size, list_sort(list_distinct(string_split(p_name || ' ' || lower(p_brand) || ' ' || lower(p_type), ' '))) AS w FROM part),
+s AS (SELECT p_size, w, min(p_partkey) AS id FROM t GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PART_SETS_SQL} SELECT p_partkey, id FROM t JOIN s ON t.p_size = s.p_size AND t.w = s.w")
+def match_score_members(spark, d):
+    return part_sets(spark, d).select("p_partkey", "id")
+
+
+@query(f"""WITH {PART_SETS_SQL} SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) * 1000 // len(list_distinct(list_concat(a.w, b.w))) AS BIGINT) AS permille
+FROM s a JOIN s b ON a.p_size = b.p_size AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) > 0""")
+def match_score_sets(spark, d):
+    """All pairs of distinct sets of a size band that share a token (others score 0); match_score_members names their parts."""
+    sets = part_sets(spark, d).where("p_partkey = id").select("p_size", "id", F.size("w").alias("n"), F.explode("w").alias("token"))
+    side = lambda s: sets.select("p_size", "token", F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
+    shared = side("a").join(side("b"), ["p_size", "token"]).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    return shared.select("a", "b", F.floor(F.col("shared") * 1000 / (F.col("n_a") + F.col("n_b") - F.col("shared"))).cast("long").alias("permille"))
+
+
 @query("SELECT l_partkey, l_suppkey, k FROM (SELECT l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY min(abs(l_extendedprice - 20000)), l_suppkey) AS INTEGER) AS k FROM lineitem GROUP BY 1, 2) WHERE k <= 3")
 def rank_candidates(spark, d):
     best = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.abs(F.col("l_extendedprice") - 20000)).alias("gap"))
