@@ -380,6 +380,15 @@ def jaccard_reassociate(spark, d):
     return files.shared_parts(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), "l_orderkey", "l_partkey", 30)
 
 
+@query("""WITH x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber % 7 <> 0), y AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber % 5 <> 0),
+sx AS (SELECT o, count(*) AS n FROM x GROUP BY 1), sy AS (SELECT o, count(*) AS n FROM y GROUP BY 1)
+SELECT x.o AS a, y.o AS b, count(*) AS shared, any_value(sx.n) + any_value(sy.n) - count(*) AS united FROM x JOIN y ON x.p = y.p JOIN sx ON sx.o = x.o JOIN sy ON sy.o = y.o GROUP BY 1, 2""")
+def jaccard_reassociate_all(spark, d):
+    """Every pair of an order of one snapshot and one of the other that shares a part, before the greedy one-to-one choice."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return files.shared_parts(rows.where("l_linenumber % 7 <> 0"), rows.where("l_linenumber % 5 <> 0"), "l_orderkey", "l_partkey", 0)
+
+
 SNAPSHOT_SQL = """a AS (SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM orders WHERE o_orderkey % 11 <> 0),
 b AS (SELECT o_orderkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS size FROM orders WHERE o_orderkey % 13 <> 0)"""
 
