@@ -216,7 +216,11 @@ def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): every document's (doc_id, n, rep), and the verified links between representatives of different sets."""
+    """(sets, links): every document's (doc_id, n, rep), and verified links between representatives of different sets.
+
+    The links are those that join components, not all: pairs inside a component are skipped once it is known. Their number says
+    nothing about the number of similar pairs. The texts of all partners of one lead pass through one task in a stream.
+    """
     spark = docs.sparkSession
     rows = kept(spark, set_rows(docs))
     keys = rows.where("sketch is null and n > 0")
