@@ -22,10 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-#: Pre-tokens up to half this many characters are remembered, at most this many of them; longer ones are merged each time.
-CACHE_BYTES, CACHE_ENTRIES = 48, 600_000
-#: Characters of text whose new pre-tokens share a queue.
-SHARED_CHARS = 16 << 20
+#: Pre-tokens and words up to this many characters are remembered; longer ones are merged each time.
+CACHE_CHARS = 24
+#: A worker's remembered pre-tokens and words take about this many bytes at most, as estimated by ``entry_bytes``; then it forgets them.
+CACHE_BYTES = 64 << 20
+#: Characters of text whose new pre-tokens share a queue; their words are in memory together.
+SHARED_CHARS = 3 << 20
 #: Fixed value: the pattern for which text may be cut before single spaces, each part being split alone.
 SPACE_CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK_RUN = regex.compile(r"\s \s|  |\s $|^ \s")
@@ -37,6 +39,11 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in content.splitlines() if line)}
 
 
+def entry_bytes(key: str, value: str) -> int:
+    """About what a dictionary entry of two short strings takes: their objects, and the table's share."""
+    return len(key) + len(value) + 210
+
+
 class RankQueue:
     """Buckets by merge rank under a two-level bitmap of the ranks that have one."""
 
@@ -82,15 +89,27 @@ class RankQueue:
         return rank, position
 
 
+class Spaced(dict):
+    """Ids of words by the word with its space; what isn't remembered is made anew."""
+
+    def __init__(self, bpe: ByteBpe) -> None:
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> str:
+        return " ".join(map(self.bpe.piece_ids, self.bpe.split(word)))
+
+
 class ByteBpe:
-    """Encoder and decoder over one vocabulary; holds a bounded cache of short pre-tokens."""
+    """Encoder and decoder over one vocabulary; what it remembers is bounded in bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.split = regex.compile(pattern, regex.V0).findall
         self.cache: dict[str, str] = {}
         self.bytes_of = {str(rank): token for token, rank in ranks.items()}
-        self.spaced: dict[str, str] | None = {} if pattern == SPACE_CUT_PATTERN else None
+        self.spaced: Spaced | None = Spaced(self) if pattern == SPACE_CUT_PATTERN else None
+        self.held = 0
         self.pairs: tuple[np.ndarray, np.ndarray] | None = None
 
     def merge(self, piece: bytes) -> list[int]:
@@ -139,7 +158,7 @@ class ByteBpe:
             order = np.argsort(keys)
             self.pairs = keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
         keys, ranks = self.pairs
-        want = (left << 32) | right
+        want = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         return np.where((keys[at] == want) & (left >= 0) & (right >= 0), ranks[at], -1)
 
@@ -149,15 +168,15 @@ class ByteBpe:
         todo = [p for p, w in zip(pieces, whole, strict=True) if w is None]
         joined: list[str] = []
         if todo:
-            byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+            byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
             raw = np.frombuffer(b"\0".join(todo) + b"\0", dtype=np.uint8)
             sizes = np.fromiter(map(len, todo), np.int64, len(todo))
             stops = np.cumsum(sizes + 1) - 1
             owner = np.repeat(np.arange(len(todo), dtype=np.int32), sizes + 1)
             ids = byte_ids[raw]
             ids[stops] = -1
-            after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
-            pair = np.full(len(ids), -1, dtype=np.int64)
+            after, before = np.arange(1, len(ids) + 1, dtype=np.int32), np.arange(-1, len(ids) - 1, dtype=np.int32)
+            pair = np.full(len(ids), -1, dtype=np.int32)
             pair[:-1] = self.pair_ranks(ids[:-1], ids[1:])
             queue = RankQueue()
 
@@ -170,7 +189,7 @@ class ByteBpe:
                 for rank, a, b in zip(ranks[[0, *cuts]].tolist() if len(ranks) else [], [0, *cuts], [*cuts, len(ranks)], strict=False):
                     queue.opened(rank).append(at[a:b])
 
-            push(pair, np.arange(len(ids)))
+            push(pair, np.arange(len(ids), dtype=np.int32))
             while queue.top:
                 rank = queue.lowest()
                 held = queue.close(rank)
@@ -206,23 +225,30 @@ class ByteBpe:
         rest = iter(joined)
         return [next(rest) if w is None else str(w) for w in whole]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Fill the cache with pre-tokens that are short and new."""
-        new = [p for p in pieces if p not in self.cache and len(p) <= CACHE_BYTES // 2]
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
+    def room(self) -> None:
+        """Forget everything once it takes more than its share."""
+        if self.held > CACHE_BYTES:
             self.cache.clear()
-        self.cache.update(zip(new, self.merge_shared([p.encode() for p in new]), strict=True))
+            if self.spaced is not None:
+                self.spaced.clear()
+            self.held = 0
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pre-tokens that are short and new."""
+        new = [p for p in pieces if p not in self.cache and len(p) <= CACHE_CHARS]
+        ids = self.merge_shared([p.encode() for p in new])
+        self.cache.update(zip(new, ids, strict=True))
+        self.held += sum(map(entry_bytes, new, ids))
 
     def piece_ids(self, piece: str) -> str:
         """Decimal ids of one pre-token, joined by spaces."""
         found = self.cache.get(piece)
         if found is None:
-            raw = piece.encode()
-            found = " ".join(map(str, self.merge(raw)))
-            if len(piece) <= CACHE_BYTES // 2:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
+            found = " ".join(map(str, self.merge(piece.encode())))
+            if len(piece) <= CACHE_CHARS:
+                self.room()
                 self.cache[piece] = found
+                self.held += entry_bytes(piece, found)
         return found
 
     def encode_joined(self, text: str) -> str:
@@ -241,6 +267,7 @@ class ByteBpe:
             begin = end
 
     def _encode_group(self, texts: list[str]) -> Iterator[str]:
+        self.room()
         if self.spaced is None:
             split = [self.split(t) for t in texts]
             self.learn(set().union(*split))
@@ -250,15 +277,17 @@ class ByteBpe:
         # Between a character that isn't white space and a single space, the pattern always has a boundary, and what
         # stands before it has no part in what follows; texts with runs of white space are split as a whole.
         cut = [None if BLANK_RUN.search(t) else t.split(" ") for t in texts]
-        if len(self.spaced) > CACHE_ENTRIES:
-            self.spaced.clear()
         first = {parts[0] for parts in cut if parts}
-        new = {" " + w for w in set().union(*(parts[1:] for parts in cut if parts)) if " " + w not in self.spaced} | {w for w in first if w and w not in self.spaced}
-        pieces_of = {w: self.split(w) for w in new}
+        new = {" " + w for w in set().union(*(parts[1:] for parts in cut if parts))} | {w for w in first if w}
+        new = [w for w in new if w not in self.spaced and len(w) <= CACHE_CHARS]
+        pieces_of = [self.split(w) for w in new]
         whole = [self.split(t) if parts is None else None for t, parts in zip(texts, cut, strict=True)]
-        self.learn(set().union(*pieces_of.values(), *(w for w in whole if w)))
+        self.learn(set().union(*pieces_of, *(w for w in whole if w)))
         ids = self.piece_ids
-        self.spaced.update((w, " ".join(map(ids, pieces))) for w, pieces in pieces_of.items())
+        joined = [" ".join(map(ids, pieces)) for pieces in pieces_of]
+        self.spaced.update(zip(new, joined, strict=True))
+        self.held += sum(map(entry_bytes, new, joined))
+        del new, pieces_of, joined
         found = self.spaced.__getitem__
         for parts, pieces in zip(cut, whole, strict=True):
             if parts is None:
