@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import kept
+from lectern.llm.storage import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) of every id of ``edges`` (a, b): the smallest id that links reach from it.
 
-    Repeated, reversed and self edges are harmless; no edges give no rows. Each round halves what a chain has left; a hub's
-    edges are pre-aggregated before they move.
+    Repeated, reversed and self edges are harmless; no edges give no rows. Each round halves what a chain has left. A hub is a
+    key with many rows in the join with its neighbours' labels, which the adaptive skew join splits; minima are taken before
+    rows move.
     """
-    spark = edges.sparkSession
+    scratch = scratch or Scratch(edges.sparkSession)
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    both = kept(spark, both.where("id <> other").distinct())
+    both = scratch.keep(both.where("id <> other").distinct())
     loops = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
-    label = kept(spark, both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component")))
+    label = scratch.keep(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("component"), F.lit(None).cast("long").alias("old")))
     while True:
-        near = both.join(label.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
-        step = label.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = kept(spark, step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
+        now = label.select("id", "component")
+        near = both.join(now.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("near"))
+        step = now.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        jump = now.select(F.col("id").alias("component"), F.col("component").alias("root"))
+        new = scratch.keep(step.join(jump, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
+        scratch.drop(label)
+        label = new
         if not new.where("component <> old").limit(1).count():
-            return new.select("id", "component").unionByName(loops.join(label, "id", "left_anti").distinct())
-        label = new.select("id", "component")
+            scratch.drop(both)
+            return new.select("id", "component").unionByName(loops.join(new, "id", "left_anti").distinct())

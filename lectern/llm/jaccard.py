@@ -1,18 +1,22 @@
 """N-gram Jaccard join of documents by PartEnum signatures.
 
 Two sets with sizes in one band and Jaccard similarity of at least t differ in at most (1 - t) / (1 + t) of their summed
-sizes. The feature domain (shingle hashes) is cut into 2^c second-level partitions for band c (sizes 2^c to 2^(c+1) - 1,
-and those smaller sets that may still link into it), two to a first-level partition; the one-element subsets are enumerated,
-each subset with its content being one signature. A difference of h features touches at most h partitions, so two similar
-sets share all but h signatures, and each needs to show only its h + 1 rarest ones under an order that is the same for all.
-Rarity comes from a count sketch over all documents of fixed size; empty partitions come last.
-
-Candidates are taken first, in a few rounds, between each set and one set of another component, that lead of its signatures
-with which it shares most; then, within signatures whose sets are not yet in one component, between all sets of different components. Parity bitmaps of the sets bound the difference from below
-and drop most false candidates; every other one is verified on the exact shingle sets.
+sizes, h features. The feature domain (shingle hashes) is cut into n1 = h // 2 + 1 first-level partitions and each of those into
+``PARTS`` = 3 second-level ones. Some first-level partition holds at most one difference; so of its subsets of two second-level
+partitions one is equal in both sets. All subsets of all first-level partitions are enumerated; a subset with its content is a
+signature. Where a set cannot use up all h differences, more subsets are shared for certain, and it shows only as many as
+are needed to meet one of them: the rarest under an order that is the same for all (a count sketch of fixed size over all
+documents; subsets without content last).
+
+Sets that share a signature are first compared with one of them, the lead with which they share most; what this links
+is one component. Then, within each signature, all sets of different components are compared: sizes and parity bitmaps
+bound their difference from below, and what passes is verified on the exact shingle sets. Large groups are dealt to several
+tasks as pairs of blocks. Shingles are compared by 64-bit hashes; two of m distinct shingles collide with odds of m^2 / 2^65.
 
 Defined results: null text, empty text and text without words have no shingles and link with nothing; a text of fewer than
-five words has its whole sequence as one shingle; equal sets link; extra columns are ignored.
+five words has its whole sequence as one shingle; equal sets link; rows with one doc_id count as documents of their own with
+that id; rows without a doc_id take the component of an equal set, if it has one, and link nothing else; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +29,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.graph import components
-from lectern.llm.storage import kept
+from lectern.llm.storage import Scratch
 from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, words
 
 WORDS = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
+#: Second-level partitions of a first-level one; subsets leave one of them out.
+PARTS = 3
 #: Buckets of the count sketch that orders signatures by rarity: 1 MB of counts, whatever the corpus holds.
 SKETCH = 1 << 18
-#: Rounds of comparing sets with one other set of each signature, before all pairs of those still apart are compared.
-LEAD_ROUNDS = 2
-SET_SCHEMA = "doc_id long, n int, h1 long, h2 long, parity binary, sketch binary"
+#: Sets of a signature that are compared in one task; larger groups are dealt out as pairs of blocks of about this size.
+BLOCK = 2048
+#: Partners of a set that are verified in one task.
+PARTNERS = 512
+#: Bits of the parity that travels with signatures; larger sets also have one of n to 2 n bits.
+SHORT = 512
+#: Names of shown sets that a task remembers, to show equal sets once.
+SEEN = 1 << 18
+SET_SCHEMA = "doc_id long, mark long, n int, h1 long, h2 long, short binary, parity binary, sketch binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,27 +70,49 @@ def bands(size: int, percent: int = PERCENT) -> range:
     return range(size.bit_length() - 1, (size * 100 // percent).bit_length())
 
 
-def signatures(values: np.ndarray, band: int) -> np.ndarray:
-    """Signatures of a set's non-empty partitions; ``values`` are sorted, so a partition is a run."""
-    part = values >> U64(64 - band) if band else np.zeros(len(values), dtype=np.uint64)
+def partitions(band: int, percent: int = PERCENT) -> int:
+    """First-level partitions for the sets of a band: more than half of what two of them can differ in."""
+    return (2 * ((2 << band) - 1) * (100 - percent) // (100 + percent)) // 2 + 1
+
+
+def shared_for_certain(n1: int, most: int) -> int:
+    """Subsets that two sets share at least if they differ in ``most`` features: the first difference in a first-level partition
+    costs two of its three subsets, the second, in another part, the last one."""
+    return PARTS * n1 - 2 * min(most, n1) - min(max(most - n1, 0), n1)
+
+
+def signatures(values: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set (sorted hashes) in a band, and which of them stand for a subset without content."""
+    n1 = partitions(band)
+    m = PARTS * n1
+    part = ((values >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
     begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    content = np.add.reduceat(mix(values), begin)
-    return mix(content + part[begin] * U64(0xD6E8FEB86659FD93) + U64(band))
+    content, filled = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.int8)
+    content[part[begin]] = np.add.reduceat(mix(values), begin)
+    filled[part[begin]] = 1
+    content, filled = content.reshape(n1, PARTS), filled.reshape(n1, PARTS)
+    rest = (content.sum(axis=1, dtype=np.uint64)[:, None] - content).ravel()
+    none = (filled.sum(axis=1)[:, None] == filled).ravel()
+    return mix(rest + np.arange(m, dtype=np.uint64) * U64(0xD6E8FEB86659FD93) + U64(band)), none
 
 
-def empty_signatures(values: np.ndarray, band: int) -> np.ndarray:
-    part = (values >> U64(64 - band)).astype(np.int64) if band else np.zeros(len(values), dtype=np.int64)
-    none = np.setdiff1d(np.arange(1 << band), part).astype(np.uint64)
-    return mix(none * U64(0xD6E8FEB86659FD93) + U64(band) + U64(0x5851F42D4C957F2D))
+def shown(values: np.ndarray, band: int, counts: np.ndarray) -> np.ndarray:
+    """The signatures that a set shows in a band: those that meet one of any similar set's, rarest first."""
+    own, none = signatures(values, band)
+    k = len(own) - shared_for_certain(len(own) // PARTS, most_different(len(values), band)) + 1
+    if k >= len(own):
+        return own
+    rank = np.where(none, np.iinfo(np.int64).max, counts[sketch_bucket(own)])
+    return own[np.lexsort((own, rank))[:k]]
 
 
 def sketch_bucket(signature: np.ndarray) -> np.ndarray:
     return (signature >> U64(46)).astype(np.int64)
 
 
-def parity(values: np.ndarray) -> bytes:
-    """A bit for each residue of the hashes, set if an odd number of them has it; n to 2 n bits, 64 at least."""
-    m = max(64, 1 << len(values).bit_length())
+def parity(values: np.ndarray, bits: int = 0) -> bytes:
+    """A bit for each residue of the hashes, set if an odd number of them has it; n to 2 n bits, 64 at least, or ``bits``."""
+    m = bits or max(64, 1 << len(values).bit_length())
     return np.packbits(np.bincount((values & U64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1).tobytes()
 
 
@@ -92,27 +126,37 @@ def least_different(a: bytes, b: bytes) -> int:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """Size and two hashes of every document's set, and from each task one row with the sketch of its signatures."""
+    """Size, two hashes and parities of every document's set, and from each task one row with the sketch of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int32)
         for batch in batches:
-            n, h1, h2, odd = [], [], [], []
-            for _, values in shingle_sets(batch.column(1)):
+            n, h1, h2, short, odd = [], [], [], [], []
+            made: list[np.ndarray] = []
+            for _, values in shingle_sets(batch.column(2)):
                 n.append(len(values))
-                odd.append(parity(values))
+                short.append(parity(values, SHORT))
+                odd.append(parity(values) if len(values) > SHORT else None)
                 h1.append(int(mix(values).sum(dtype=np.uint64)) if len(values) else 0)
                 h2.append(int(mix(values ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) if len(values) else 0)
-                for band in bands(len(values)) if len(values) else ():
-                    np.add.at(counts, sketch_bucket(signatures(values, band)), 1)
-            yield _set_batch(batch.column(0), n, h1, h2, odd, [None] * len(n))
-        yield _set_batch(pa.nulls(1, pa.int64()), [0], [0], [0], [None], [counts.tobytes()])
+                made += [signatures(values, band)[0] for band in bands(len(values))] if len(values) else []
+            if made:
+                counts += np.bincount(sketch_bucket(np.concatenate(made)), minlength=SKETCH).astype(np.int32)
+            yield _set_batch(batch.column(0), batch.column(1), n, h1, h2, short, odd, [None] * len(n))
+        yield _set_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], [0], [None], [None], [counts.tobytes()])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
+    return marked(docs).mapInArrow(run, SET_SCHEMA)
 
 
-def _set_batch(doc_id: pa.Array, n: list, h1: list, h2: list, odd: list, sketch: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(signed(np.array(h1, np.uint64))), pa.array(signed(np.array(h2, np.uint64))), pa.array(odd, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "h1", "h2", "parity", "sketch"])
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash of the text, text): what tells rows with one doc_id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+
+
+def _set_batch(doc_id: pa.Array, mark: pa.Array, n: list, h1: list, h2: list, short: list, odd: list, sketch: list) -> pa.RecordBatch:
+    names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
+    hashes = [pa.array(signed(np.array(h, np.uint64))) for h in (h1, h2)]
+    return pa.RecordBatch.from_arrays([doc_id, mark, pa.array(n, pa.int32()), *hashes, *(pa.array(x, pa.binary()) for x in (short, odd, sketch))], names=names)
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -134,7 +178,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
 
 
 def signature_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(signature, set): the rarest signatures of each set; a task shows equal sets once. The set's name is its first hash."""
+    """(signature, name): the signatures that each set shows; a task shows equal sets once, or seldom more often. A set's name is its first hash."""
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,31 +186,23 @@ def signature_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             made: list[np.ndarray] = []
             names: list[tuple[int, int]] = []
-            for _, values in shingle_sets(batch.column(1)):
-                if not len(values):
-                    continue
-                name = int(mix(values).sum(dtype=np.uint64))
-                if name in seen:
+            for _, values in shingle_sets(batch.column(0)):
+                name = int(mix(values).sum(dtype=np.uint64)) if len(values) else None
+                if name is None or name in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(name)
                 for band in bands(len(values)):
-                    most = most_different(len(values), band)
-                    own = signatures(values, band)
-                    if len(own) > most:
-                        own = own[np.lexsort((own, counts[sketch_bucket(own)]))[: most + 1]]
-                    else:
-                        none = empty_signatures(values, band)
-                        none.sort()
-                        own = np.concatenate([own, none[: most + 1 - len(own)]])
-                    made.append(own)
-                    names.append((name, len(own)))
+                    made.append(shown(values, band, counts))
+                    names.append((name, len(made[-1])))
                 if len(made) >= 2048:
                     yield _signature_batch(made, names)
                     made, names = [], []
             if made:
                 yield _signature_batch(made, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "signature long, name long")
+    return docs.select("text").mapInArrow(run, "signature long, name long")
 
 
 def _signature_batch(made: list[np.ndarray], names: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -174,18 +210,42 @@ def _signature_batch(made: list[np.ndarray], names: list[tuple[int, int]]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(made))), pa.array(signed(ids))], names=["signature", "name"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of doc_ids, those that link, with intersection and union of their exact shingle sets.
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, text) of the wanted sets (rep, mark, name); a bitmap of about 16 bits a set, 32 MB at most, stops most other texts before they move."""
+    size = 1 << min(28, max(20, (16 * wanted.count()).bit_length()))
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) & U64(size - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), pa.array(signed(U64(1) << (at & U64(63))))], names=["word", "bits"])
+
+    table = wanted.select("mark").mapInArrow(bits_of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 32 MB of bits
+    bitmap = np.zeros(size >> 6, dtype=np.uint64)
+    bitmap[table["word"].to_numpy(dtype=np.int64)] = table["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = mix(batch.column(1).to_numpy().view(np.uint64)) & U64(size - 1)
+            yield batch.filter(pa.array(shipped.value[at >> U64(6)] >> (at & U64(63)) & U64(1) == 1))
+
+    some = marked(docs).mapInArrow(named, "doc_id long, mark long, text string")
+    return some.join(wanted.select(F.col("rep").alias("doc_id"), "mark", "name"), ["doc_id", "mark"]).select("name", "text")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) of names, those that link, with intersection and union of their exact shingle sets.
 
-    Each b's text travels to its a once; a task streams over an a's own row and then its partners, holding one set.
+    Each b's text travels to its a once. An a with many partners has them dealt to several tasks, and its own text to each; a
+    task streams over an a's own row and then its partners, holding one set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            for i, y in shingle_sets(batch.column("text")):
+            for i, y in shingle_sets(batch.column(2)):
                 if a[i] == b[i]:
                     lead, x = a[i], y
                 elif lead == a[i]:
@@ -195,78 +255,127 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["a", "b", "shared", "united"])
 
-    need = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    rows = docs.select(F.col("doc_id").alias("b"), "text").join(need, "b").select("a", (F.col("a") != F.col("b")).alias("other"), "b", "text")
-    return rows.repartition("a").sortWithinPartitions("a", "other").select("a", "b", "text").mapInArrow(run, "a long, b long, shared int, united int")
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("tasks"))
+    dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"))
+    own = tasks.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    rows = texts.select(F.col("name").alias("b"), "text").join(dealt.unionByName(own), "b").select("a", "task", (F.col("a") != F.col("b")).alias("other"), "b", "text")
+    return rows.repartition("a", "task").sortWithinPartitions("a", "task", "other").select("a", "b", "text").mapInArrow(run, "a long, b long, shared int, united int").distinct()
 
 
 def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of names as pairs of representatives' doc_ids whose sizes and parities allow a link."""
+    """Distinct pairs (a, b) of names, a < b, whose sizes and parities allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            apart = np.array([least_different(x, y) for x, y in zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), strict=True)], dtype=np.int64)
+            some = zip(*(batch.column(c).to_pylist() for c in ("short_a", "short_b", "parity_a", "parity_b")), strict=True)
+            apart = np.array([least_different(p or x, q or y) for x, y, p, q in some], dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + PERCENT) <= n * (100 - PERCENT)))
 
-    side = lambda s: sets.select(F.col("h1").alias(f"name_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
-    named = pairs.join(side("a"), "name_a").join(side("b"), "name_b")
-    fits = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
-    return named.where(fits).select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda s: sets.select(F.col("name").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "short", "parity")))
+    both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+    named = both.join(side("a"), "a").join(side("b"), "b").where(fits)
+    return named.select("a", "b", "n_a", "n_b", "short_a", "short_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+
+
+def leads(met: DataFrame) -> DataFrame:
+    """Each set (b) with that lead (a) of its signatures with which it shares most of them; a signature's lead is its smallest name."""
+    lead = met.groupBy("signature").agg(F.min("name").alias("a"))
+    counted = met.join(lead, "signature").where("a <> name").groupBy("a", F.col("name").alias("b")).agg(F.count("*").alias("k"))
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
+
 
+def within(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one signature and different components that may link, from (signature, name, component, n, short).
 
-def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): every document's (doc_id, n, rep), and verified links between representatives of different sets.
+    A group of more than ``BLOCK`` sets is cut into blocks, and each pair of blocks is compared in a task of its own.
+    """
+
+    def pairs(lo: int, hi: int, slot: np.ndarray, name: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
+        step = max(1, 65536 // len(n))
+        for i in range(0, len(n), step):
+            x = slice(i, i + step)
+            total = n[x, None] + n
+            ok = (component[x, None] != component) & (name[x, None] < name) & (100 * np.minimum(n[x, None], n) >= PERCENT * np.maximum(n[x, None], n))
+            if lo != hi:
+                ok &= slot[x, None] != slot
+            u, w = np.nonzero(ok)
+            apart = np.bitwise_count(bits[i + u] ^ bits[w]).sum(axis=1, dtype=np.int64)
+            keep = apart * (100 + PERCENT) <= (100 - PERCENT) * total[u, w]
+            yield np.stack([name[i + u[keep]], name[w[keep]]], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def done(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key = np.stack(columns[:3], axis=1)
+            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
+            found = [p for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b - a > 1 for p in pairs(columns[1][a], columns[2][a], *(c[a:b] for c in columns[3:]))]
+            found = np.unique(np.concatenate([p for p in found if len(p)] or [np.zeros((0, 2), np.int64)]), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(k).to_numpy().astype(np.int64) for k in range(7)] + [np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SHORT // 64)]
+            held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
+            if len(last):  # all groups but the last are whole
+                yield from done([x[: last[-1] + 1] for x in held])
+                held = [x[last[-1] + 1 :] for x in held]
+        if held is not None:
+            yield from done(held)
+
+    size = rows.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(size, "signature").withColumn("slot", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("signature", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "name", "component", "n", "short")
+    return cells.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
+def link(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sets, links): every row of ``docs`` (doc_id, mark, n, h1), the distinct sets (name, rep, n) and verified links (a, b) between names.
 
     The links are those that join components, not all: pairs inside a component are skipped once it is known. Their number says
-    nothing about the number of similar pairs. The texts of all partners of one lead pass through one task in a stream.
+    nothing about the number of similar pairs.
     """
-    spark = docs.sparkSession
-    rows = kept(spark, set_rows(docs))
-    keys = rows.where("sketch is null and n > 0")
-    sets = kept(spark, keys.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
-    shown = signature_rows(docs, rarity(rows))
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = scratch.keep(set_rows(docs))
+    first = F.min(F.struct("doc_id", "mark"))
+    one = rows.where("sketch is null and n > 0 and doc_id is not null").groupBy(F.col("h1").alias("name"), "n").agg(first.alias("first"), F.first("short").alias("short"), F.first("parity").alias("parity"))
+    sets = scratch.keep(one.select("name", "n", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "short", "parity"))
     group = Window.partitionBy("signature")
-    met = shown.select("signature", "name", F.min("name").over(group).alias("low"), F.max("name").over(group).alias("high")).where("low <> high")
-    met = kept(spark, met.select("signature", "name").distinct())
-    reps = sets.join(met.select(F.col("name").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id"))
-    texts = kept(spark, docs.select("doc_id", "text").join(reps, "doc_id", "left_semi"))  # of sets that share a signature
-    by_name = sets.select(F.col("h1").alias("name"), F.col("rep").alias("id"), F.col("n"))
-    open_rows, tried, links = met.join(by_name.withColumn("component", F.col("id")), "name"), None, None
-    # each set with the lead with which it shares most signatures, as long as that joins components
-    for round_number in range(LEAD_ROUNDS):
-        lead = F.min(F.struct("component", F.xxhash64("name", F.lit(round_number)).alias("at"), "name")).over(group)
-        with_lead = open_rows.withColumn("lead", lead).where(F.col("lead.component") != F.col("component"))
-        counted = with_lead.groupBy(F.col("lead.name").alias("name_a"), F.col("name").alias("name_b")).agg(F.count("*").alias("k"))
-        best = counted.groupBy("name_b").agg(F.max_by("name_a", F.struct("k", "name_a")).alias("name_a"))
-        fresh = sized(best, sets)
-        fresh = kept(spark, fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"))
-        found = kept(spark, verified(fresh, texts))
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
-        named = by_name.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rows_now = met.join(named, "name")
-        spread = rows_now.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-        open_rows = kept(spark, rows_now.join(spread, "signature", "left_semi"))
-        if not found.limit(1).count():
-            break
-    # then all pairs within signatures whose sets still lie in different components
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.name") < F.col("y.name"))
-    fits = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-    pairs = open_rows.alias("x").join(open_rows.alias("y"), "signature").where(apart & fits).select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
-    second = kept(spark, sized(pairs, sets).join(tried, ["a", "b"], "left_anti"))
-    more = links if not second.limit(1).count() else links.unionByName(verified(second, texts))
-    member = rows.where("sketch is null").join(sets.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return member, kept(spark, more)
+    both = signature_rows(docs, rarity(rows)).withColumn("low", F.min("name").over(group)).withColumn("high", F.max("name").over(group))
+    met = scratch.keep(both.where("low <> high").select("signature", "name").distinct())
+    wanted = sets.join(met.select("name").distinct(), "name", "left_semi").select("rep", "mark", "name")
+    texts = scratch.keep(texts_of(docs, scratch.keep(wanted)))  # of sets that share a signature
+    fresh = scratch.keep(sized(leads(met), sets))
+    links = scratch.keep(verified(fresh, texts))
+    label = components(links, scratch).withColumnRenamed("id", "name")
+    parts = met.join(label, "name", "left").select("signature", "name", F.coalesce("component", "name").alias("component"))
+    parts = scratch.keep(parts)
+    mixed = parts.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+    open_rows = parts.join(mixed, "signature", "left_semi").join(sets.select("name", "n", "short"), "name")
+    second = scratch.keep(sized(within(open_rows), sets).join(fresh, ["a", "b"], "left_anti"))
+    links = scratch.keep(links.unionByName(verified(second, texts)))
+    scratch.only(rows, sets, links)
+    return rows.where("sketch is null").select("doc_id", "mark", "n", "h1"), sets, links
 
 
 def group(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, representative of equal sets, component_id of every document."""
-    member, links = link(docs)
-    label = components(links).select(F.col("id").alias("rep"), "component")
-    return member.join(label, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "rep")
+    """doc_id, n_shingles, component_id, representative of equal sets and hash of the text of every row of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
+    rows, sets, links = link(docs, scratch)
+    label = sets.join(components(links, scratch).withColumnRenamed("id", "name"), "name", "left").select("name", "rep", F.coalesce("component", "name").alias("component"))
+    least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = label.join(least, "component").select(F.col("name").alias("h1"), "rep", "component_id")
+    found = rows.join(named, "h1", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("rep", "doc_id").alias("rep"), "mark")
+    out = scratch.keep(found)
+    scratch.only(out)
+    return out
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("mark")

@@ -51,8 +51,10 @@ def corpus(seed, n=260):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "block", "partners"), [(1, 2048, 512), (2, 3, 2)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, block, partners):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PARTNERS", partners)
     texts = corpus(seed)
     spark.createDataFrame([(i, t, i, 0) for i, t in texts.items()], "doc_id long, text string, component_id long, n int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.op10_ngram_jaccard(spark, str(tmp_path)).collect()}
@@ -64,22 +66,19 @@ def test_empty_table(spark, tmp_path):
     assert jaccard.op10_ngram_jaccard(spark, str(tmp_path)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(7, text), (7, text), (7, "other words than these stand here"), (9, text + " end"), (None, text), (None, "alone among all others"), (8, None)]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 36, 7), (7, 2, 7), (9, 37, 7), (None, 36, 7), (None, 1, None), (8, 0, 8)}
+
+
 def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(4)
     counts = rng.integers(0, 50, jaccard.SKETCH).astype(np.int32)
 
     def shown(values):
-        out = set()
-        for band in jaccard.bands(len(values)):
-            most = jaccard.most_different(len(values), band)
-            own = jaccard.signatures(values, band)
-            if len(own) > most:
-                own = own[np.lexsort((own, counts[jaccard.sketch_bucket(own)]))[: most + 1]]
-            else:
-                none = np.sort(jaccard.empty_signatures(values, band))
-                own = np.concatenate([own, none[: most + 1 - len(own)]])
-            out |= set(own.tolist())
-        return out
+        return {x for band in jaccard.bands(len(values)) for x in jaccard.shown(values, band, counts).tolist()}
 
     for _ in range(3000):
         n = int(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 13, 20, 31, 33, 64, 100]))
