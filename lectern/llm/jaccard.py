@@ -102,7 +102,7 @@ def shown(values: np.ndarray, band: int, counts: np.ndarray) -> np.ndarray:
     k = len(own) - shared_for_certain(len(own) // PARTS, most_different(len(values), band)) + 1
     if k >= len(own):
         return own
-    rank = np.where(none, np.iinfo(np.int64).max, counts[sketch_bucket(own)])
+    rank = np.where(none, np.int64(1 << 40), counts[sketch_bucket(own)].astype(np.int64))
     return own[np.lexsort((own, rank))[:k]]
 
 
