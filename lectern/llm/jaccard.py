@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.bitmaps import bitmap, holds
 from lectern.llm.graph import components
 from lectern.llm.storage import Scratch
 from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, words
@@ -211,26 +212,15 @@ def _signature_batch(made: list[np.ndarray], names: list[tuple[int, int]]) -> pa
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, text) of the wanted sets (rep, mark, name); a bitmap of about 16 bits a set, 32 MB at most, stops most other texts before they move."""
-    size = 1 << min(28, max(20, (16 * wanted.count()).bit_length()))
+    """(name, text) of the wanted sets (rep, mark, name); a bitmap stops most other texts before they move."""
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("mark")))  # 32 MB at most
 
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = mix(batch.column(0).to_numpy().view(np.uint64)) & U64(size - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), pa.array(signed(U64(1) << (at & U64(63))))], names=["word", "bits"])
+            yield batch.filter(pa.array(holds(shipped.value, batch.column(1).to_numpy())))
 
-    table = wanted.select("mark").mapInArrow(bits_of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 32 MB of bits
-    bitmap = np.zeros(size >> 6, dtype=np.uint64)
-    bitmap[table["word"].to_numpy(dtype=np.int64)] = table["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = mix(batch.column(1).to_numpy().view(np.uint64)) & U64(size - 1)
-            yield batch.filter(pa.array(shipped.value[at >> U64(6)] >> (at & U64(63)) & U64(1) == 1))
-
-    some = marked(docs).mapInArrow(named, "doc_id long, mark long, text string")
-    return some.join(wanted.select(F.col("rep").alias("doc_id"), "mark", "name"), ["doc_id", "mark"]).select("name", "text")
+    asked = marked(docs).mapInArrow(some, "doc_id long, mark long, text string")
+    return asked.join(wanted.select(F.col("rep").alias("doc_id"), "mark", "name"), ["doc_id", "mark"]).select("name", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

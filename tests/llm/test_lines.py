@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -45,10 +46,11 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("hits", [1, 2])
-def test_equals_brute_force(spark, tmp_path, monkeypatch, hits):
-    monkeypatch.setattr(lines, "HITS", hits)
-    docs = corpus(hits)
+@pytest.mark.parametrize(("seed", "group", "chunk"), [(1, 1 << 14, 1 << 18), (2, 5, 40)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, group, chunk):
+    monkeypatch.setattr(lines, "GROUP", group)
+    monkeypatch.setattr(lines, "CHUNK", chunk)
+    docs = corpus(seed)
     spark.createDataFrame([(d, t, "x") for d, t in docs.items()], "doc_id long, text string, line string").orderBy("text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     want = brute(docs)
     for r in lines.dedup_lines(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect():
@@ -59,6 +61,27 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, hits):
         assert (r["n_lines"], r["n_removed_lines"], r["kept_sha256"]) == (len((docs[r["doc_id"]] or "").split("\n")), gone, hashlib.sha256((text or "").encode()).hexdigest())
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c\na b c", 7, 8, 9, 1), (1, "a b c", 7, 8, 9, 1)], "doc_id long, text string, _row int, _place int, _gone int, n_lines int")
+    got = lines.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_row", "_place", "_gone", "n_lines", "n_removed_lines"]
+    assert {r[2:5] for r in got.collect()} == {(7, 8, 9)} and sum(r["n_removed_lines"] for r in got.collect()) == 2  # which row is first is up to the text's hash
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (3, 30, 33, 60, 70, 130, 300, 700):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)])
+        sets, cut = np.concatenate([a, b]), np.array([0, len(a)])
+        low, high, wide = lines.parities(sets, cut, np.array([len(a), len(b)]))
+        apart = len(np.setxor1d(a, b))
+        place = np.array([len(a) << 17, len(b) << 17])
+        group = lines.Group(np.zeros(2, np.int64), np.arange(2), place, low.view(np.int64), high.view(np.int64), np.array(wide, dtype=object))
+        _, _, got = group.candidates(np.array([1]), np.array([0]))
+        assert len(got) == 1 and got[0] <= apart and got[0] >= apart // 3
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert lines.op6_line_dedup(spark, str(tmp_path)).count() == 0
