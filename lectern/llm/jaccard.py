@@ -8,8 +8,8 @@ signature. Where a set cannot use up all h differences, more subsets are shared
 are needed to meet one of them: the rarest under an order that is the same for all (a count sketch of fixed size over all
 documents; subsets without content last).
 
-Sets that share a signature are first compared with one of them, the lead with which they share most; what this links
-is one component. Then, within each signature, all sets of different components are compared: sizes and parity bitmaps
+Sets that share a signature are first compared, in two rounds, with one of them, the lead with which they share most; what
+this links is one component. Then, within each signature, all sets of different components are compared: sizes and parity bitmaps
 bound their difference from below, and what passes is verified on the exact shingle sets. Large groups are dealt to several
 tasks as pairs of blocks. Shingles are compared by 64-bit hashes; two of m distinct shingles collide with odds of m^2 / 2^65.
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bitmaps import bitmap, holds
 from lectern.llm.graph import components
+from lectern.llm.sketch import packed, rarity
 from lectern.llm.storage import Scratch
 from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, words
 
@@ -38,12 +39,14 @@ WORDS = 5
 PERCENT = 75
 #: Second-level partitions of a first-level one; subsets leave one of them out.
 PARTS = 3
-#: Buckets of the count sketch that orders signatures by rarity: 1 MB of counts, whatever the corpus holds.
-SKETCH = 1 << 18
+#: Buckets of the count sketch that orders signatures by rarity: 8 MB of counts, whatever the corpus holds.
+BUCKETS = 1 << 22
 #: Sets of a signature that are compared in one task; larger groups are dealt out as pairs of blocks of about this size.
 BLOCK = 2048
 #: Partners of a set that are verified in one task.
 PARTNERS = 512
+#: Rounds of comparing sets with leads before all of a signature's components are compared.
+LEAD_ROUNDS = 2
 #: Bits of the parity that travels with signatures; larger sets also have one of n to 2 n bits.
 SHORT = 512
 #: Names of shown sets that a task remembers, to show equal sets once.
@@ -103,12 +106,12 @@ def shown(values: np.ndarray, band: int, counts: np.ndarray) -> np.ndarray:
     k = len(own) - shared_for_certain(len(own) // PARTS, most_different(len(values), band)) + 1
     if k >= len(own):
         return own
-    rank = np.where(none, np.int64(1 << 40), counts[sketch_bucket(own)].astype(np.int64))
+    rank = np.where(none, np.int64(1 << 40), counts[bucket(own)].astype(np.int64))
     return own[np.lexsort((own, rank))[:k]]
 
 
-def sketch_bucket(signature: np.ndarray) -> np.ndarray:
-    return (signature >> U64(46)).astype(np.int64)
+def bucket(signature: np.ndarray) -> np.ndarray:
+    return (signature >> U64(42)).astype(np.int64)
 
 
 def parity(values: np.ndarray, bits: int = 0) -> bytes:
@@ -130,7 +133,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     """Size, two hashes and parities of every document's set, and from each task one row with the sketch of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int32)
+        counts = np.zeros(BUCKETS, dtype=np.int32)
         for batch in batches:
             n, h1, h2, short, odd = [], [], [], [], []
             made: list[np.ndarray] = []
@@ -141,10 +144,13 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 h1.append(int(mix(values).sum(dtype=np.uint64)) if len(values) else 0)
                 h2.append(int(mix(values ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) if len(values) else 0)
                 made += [signatures(values, band)[0] for band in bands(len(values))] if len(values) else []
+                if len(made) >= 256:
+                    np.add.at(counts, bucket(np.concatenate(made)), 1)
+                    made = []
             if made:
-                counts += np.bincount(sketch_bucket(np.concatenate(made)), minlength=SKETCH).astype(np.int32)
+                np.add.at(counts, bucket(np.concatenate(made)), 1)
             yield _set_batch(batch.column(0), batch.column(1), n, h1, h2, short, odd, [None] * len(n))
-        yield _set_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], [0], [None], [None], [counts.tobytes()])
+        yield _set_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], [0], [None], [None], [packed(counts)])
 
     return marked(docs).mapInArrow(run, SET_SCHEMA)
 
@@ -160,24 +166,6 @@ def _set_batch(doc_id: pa.Array, mark: pa.Array, n: list, h1: list, h2: list, sh
     return pa.RecordBatch.from_arrays([doc_id, mark, pa.array(n, pa.int32()), *hashes, *(pa.array(x, pa.binary()) for x in (short, odd, sketch))], names=names)
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Summed sketch of all tasks: SKETCH counts, added up in two rounds."""
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.int32)
-        for part in parts:
-            for x in part.column("sketch"):
-                total += np.frombuffer(x.as_py(), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sketch"])
-
-    own = rows.where("sketch is not null").select((F.spark_partition_id() % 16).alias("part"), "sketch")
-    some = own.groupBy("part").applyInArrow(add, "part int, sketch binary")
-    total = np.zeros(SKETCH, dtype=np.int64)
-    for r in some.collect():  # at most 16 rows of 1 MB
-        total += np.frombuffer(r["sketch"], dtype=np.int32)
-    return np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
-
-
 def signature_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(signature, name): the signatures that each set shows; a task shows equal sets once, or seldom more often. A set's name is its first hash."""
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
@@ -269,10 +257,20 @@ def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return named.select("a", "b", "n_a", "n_b", "short_a", "short_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
 
 
-def leads(met: DataFrame) -> DataFrame:
-    """Each set (b) with that lead (a) of its signatures with which it shares most of them; a signature's lead is its smallest name."""
-    lead = met.groupBy("signature").agg(F.min("name").alias("a"))
-    counted = met.join(lead, "signature").where("a <> name").groupBy("a", F.col("name").alias("b")).agg(F.count("*").alias("k"))
+def degrees(met: DataFrame) -> DataFrame:
+    """(signature, name, degree): with each set the sum of its signatures' sizes, which is largest in the middle of a group of near copies."""
+    sizes = met.groupBy("signature").agg(F.count("*").alias("size"))
+    degree = met.join(sizes, "signature").groupBy("name").agg(F.sum("size").alias("degree"))
+    return met.join(degree, "name").select("signature", "name", "degree")
+
+
+def leads(parts: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Each set (b) with that lead (a) of another component with which it shares most signatures, untried; a signature's lead has the largest degree."""
+    lead = parts.groupBy("signature").agg(F.max(F.struct("degree", "name", "component")).alias("lead"))
+    counted = parts.join(lead, "signature").where("lead.component <> component").groupBy(F.col("lead.name").alias("a"), F.col("name").alias("b")).agg(F.count("*").alias("k"))
+    if tried is not None:
+        both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        counted = counted.join(both, ["a", "b"], "left_anti")
     return counted.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
 
 
@@ -337,18 +335,23 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, Da
     one = rows.where("sketch is null and n > 0 and doc_id is not null").groupBy(F.col("h1").alias("name"), "n").agg(first.alias("first"), F.first("short").alias("short"), F.first("parity").alias("parity"))
     sets = scratch.keep(one.select("name", "n", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "short", "parity"))
     group = Window.partitionBy("signature")
-    both = signature_rows(docs, rarity(rows)).withColumn("low", F.min("name").over(group)).withColumn("high", F.max("name").over(group))
+    both = signature_rows(docs, rarity(rows, BUCKETS)).withColumn("low", F.min("name").over(group)).withColumn("high", F.max("name").over(group))
     met = scratch.keep(both.where("low <> high").select("signature", "name").distinct())
     wanted = sets.join(met.select("name").distinct(), "name", "left_semi").select("rep", "mark", "name")
     texts = scratch.keep(texts_of(docs, scratch.keep(wanted)))  # of sets that share a signature
-    fresh = scratch.keep(sized(leads(met), sets))
-    links = scratch.keep(verified(fresh, texts))
-    label = components(links, scratch).withColumnRenamed("id", "name")
-    parts = met.join(label, "name", "left").select("signature", "name", F.coalesce("component", "name").alias("component"))
-    parts = scratch.keep(parts)
-    mixed = parts.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-    open_rows = parts.join(mixed, "signature", "left_semi").join(sets.select("name", "n", "short"), "name")
-    second = scratch.keep(sized(within(open_rows), sets).join(fresh, ["a", "b"], "left_anti"))
+    parts = degrees(met).withColumn("component", F.col("name"))
+    tried = links = None
+    for _ in range(LEAD_ROUNDS):
+        parts = scratch.keep(parts)
+        fresh = scratch.keep(sized(leads(parts, tried), sets))
+        found = scratch.keep(verified(fresh, texts))
+        tried, links = (fresh, found) if tried is None else (tried.unionByName(fresh), links.unionByName(found))
+        label = components(links, scratch).select(F.col("id").alias("name"), F.col("component").alias("label"))
+        parts = parts.join(label, "name", "left").select("signature", "name", "degree", F.coalesce("label", "name").alias("component"))
+        mixed = parts.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+        parts = parts.join(mixed, "signature", "left_semi")
+    open_rows = parts.select("signature", "name", "component").join(sets.select("name", "n", "short"), "name")
+    second = scratch.keep(sized(within(open_rows), sets).join(tried, ["a", "b"], "left_anti"))
     links = scratch.keep(links.unionByName(verified(second, texts)))
     scratch.only(rows, sets, links)
     return rows.where("sketch is null").select("doc_id", "mark", "n", "h1"), sets, links

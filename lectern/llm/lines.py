@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.bitmaps import bitmap, holds
-from lectern.llm.jaccard import SKETCH, rarity, sketch_bucket
+from lectern.llm.sketch import packed, rarity
 from lectern.llm.storage import Scratch
 from lectern.llm.text import U64, blocks, mix, signed, words
 
 PERCENT = 75
+#: Buckets of the count sketch that orders tokens by rarity: 2 MB of counts, whatever the corpus holds.
+SKETCH = 1 << 20
 #: ``place`` holds line number << 33 | set size << 17 | position in the set << 1 | (1: a whole-line row), sizes cut at 65535.
 #: A whole-line row of size 0 is a repeat within its task, under a token of its own.
 MOST_SIZE = (1 << 16) - 1
@@ -63,6 +65,10 @@ def line_offsets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.append(starts, len(data)), first
 
 
+def sketch_bucket(token: np.ndarray) -> np.ndarray:
+    return (token >> U64(44)).astype(np.int64)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """From each task one row with the sketch of its words' counts."""
 
@@ -70,8 +76,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
         counts = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
-                counts += np.bincount(sketch_bucket(words(data, offsets)[0]), minlength=SKETCH)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 1 << 30).astype(np.int32).tobytes()], pa.binary())], names=["sketch"])
+                np.add.at(counts, sketch_bucket(words(data, offsets)[0]), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([packed(counts)], pa.binary())], names=["sketch"])
 
     return docs.select("text").mapInArrow(run, "sketch binary")
 
@@ -464,7 +470,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    counts = rarity(token_counts(docs))
+    counts = rarity(token_counts(docs), SKETCH)
     all_found = met(postings(docs, counts), scratch)
     exact = all_found.where("y_name is null").select(*LINE)
     best = all_found.where("y_name is not null").groupBy(*LINE).agg(F.min(F.struct("score", "y_name")).alias("best"), (F.max("more") | (F.min("y_name") != F.max("y_name"))).alias("more"))

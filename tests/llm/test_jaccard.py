@@ -75,7 +75,7 @@ def test_repeated_and_null_ids(spark):
 
 def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(4)
-    counts = rng.integers(0, 50, jaccard.SKETCH).astype(np.int32)
+    counts = rng.integers(0, 50, jaccard.BUCKETS).astype(np.uint16)
 
     def shown(values):
         return {x for band in jaccard.bands(len(values)) for x in jaccard.shown(values, band, counts).tolist()}

@@ -108,7 +108,7 @@ def test_repeated_rows_survive_the_stage(spark):
 
 def test_a_line_that_is_everywhere_is_combined_in_its_task(spark):
     docs = spark.range(0, 600, 1, 3).selectExpr("id as doc_id", "concat('all rights are reserved here\nown', id, ' w', id, ' x', id) as text")
-    rows = lines.postings(docs, lines.rarity(lines.token_counts(docs)))
+    rows = lines.postings(docs, lines.rarity(lines.token_counts(docs), lines.SKETCH))
     whole = rows.where("place % 2 = 1").groupBy("token").count().agg({"count": "max"}).first()[0]
     assert whole <= 3
     assert sorted(map(tuple, lines.removed_lines(docs).collect())) == [(d, 0) for d in range(1, 600)]
