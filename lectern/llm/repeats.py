@@ -11,6 +11,10 @@ windows are compared themselves, once per distinct phrase. That is the equality
 between neighbours (a common prefix of at least ``LENGTH``); ranks are replaced by hash names, because a global suffix order
 needs the dictionary in one place.
 
+Besides, ``shares_passage`` says which documents hold a passage of over 50 words that another document holds, too. That is the same
+parse over words instead of bytes: triggers cut the words into phrases, and where phrases with equal cores differ, their
+windows of 51 words are compared.
+
 Defined results: null text counts as empty; texts under ``LENGTH`` bytes lose nothing; overlapping occurrences in one
 document count; strings are judged on the input; extra columns are ignored.
 """
@@ -25,31 +29,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.storage import kept
-from lectern.llm.text import U64, blocks, rolling, signed, window_hash
+from lectern.llm.bitmaps import bitmap, holds
+from lectern.llm.storage import Scratch, kept
+from lectern.llm.text import U64, blocks, powers, rolling, signed, window_hash, words
 
 LENGTH, GRAM, REACH = 400, 16, 192
 #: Bytes from the trigger on that every window with this trigger holds.
 SHARED = LENGTH - REACH + 1
+#: A passage's words, the words of its triggers, and where in it these may begin.
+PASSAGE, GRAM_WORDS = 51, 12
+REACH_WORDS = PASSAGE - GRAM_WORDS + 1
+#: Kinds of phrases that a task remembers, to show the windows of equal ones once.
+SEEN = 1 << 18
 #: Windows of a phrase are first compared in runs of this many, aligned to the trigger.
 RUN = 16
 PHRASE = "doc_id long, first long, n int, after long, phrase long, trigger long"
 RUNS = "after long, core long, head binary, tail binary, doc_id long, first long, n int, shift int"
-DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+DIGEST_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int, kept binary"
 
 
-def triggers(prefix: np.ndarray, n: int) -> np.ndarray:
-    """Trigger position of every window start 0 .. n - LENGTH of a block, document borders aside."""
-    at = np.arange(n - GRAM + 1)
-    key = (window_hash(prefix, at, at + GRAM) >> U64(32) << U64(32)) | at.astype(np.uint64)
-    size = -(-len(key) // REACH) * REACH
+def leftmost_smallest(hashes: np.ndarray, reach: int, n: int) -> np.ndarray:
+    """For starts 0 .. n - 1 the position of the leftmost smallest hash (of its upper half) among the next ``reach``."""
+    key = (hashes >> U64(32) << U64(32)) | np.arange(len(hashes)).astype(np.uint64)
+    size = -(-len(key) // reach) * reach
     padded = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
     padded[: len(key)] = key
-    grid = padded.reshape(-1, REACH)
+    grid = padded.reshape(-1, reach)
     ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    start = np.arange(n - LENGTH + 1)
-    return (np.minimum(behind[start], ahead[start + REACH - 1]) & U64(0xFFFFFFFF)).astype(np.int64)
+    start = np.arange(n)
+    return (np.minimum(behind[start], ahead[start + reach - 1]) & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def triggers(prefix: np.ndarray, n: int) -> np.ndarray:
+    """Trigger position of every window start 0 .. n - LENGTH of a block, document borders aside."""
+    at = np.arange(n - GRAM + 1)
+    return leftmost_smallest(window_hash(prefix, at, at + GRAM), REACH, n - LENGTH + 1)
 
 
 def parse(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,9 +152,80 @@ def repeated(docs: DataFrame) -> DataFrame:
     return whole.unionByName(equal_runs).unionByName(alike.select("doc_id", "first", F.lit(1).alias("n")))
 
 
+def word_phrases(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Row, first and last window start (in words), hashes of core and phrase of each phrase of words, and the words' prefix sums."""
+    hashes, _, _, first = words(data, rows)
+    n = len(hashes)
+    if n < PASSAGE:
+        return None
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(n), out=prefix[1:])
+    at = np.arange(n - GRAM_WORDS + 1)
+    trigger = leftmost_smallest(window_hash(prefix, at, at + GRAM_WORDS), REACH_WORDS, n - PASSAGE + 1)
+    start = np.arange(len(trigger))
+    row = np.searchsorted(first, start, side="right") - 1
+    inside = start + PASSAGE <= first[row + 1]
+    start, trigger, row = start[inside], trigger[inside], row[inside]
+    if not len(start):
+        return None
+    cut = np.flatnonzero((trigger[1:] != trigger[:-1]) | (row[1:] != row[:-1])) + 1
+    begin, end = np.concatenate([[0], cut]), np.append(cut, len(start)) - 1
+    own = trigger[begin]
+    return row[begin], start[begin], start[end], window_hash(prefix, own, own + GRAM_WORDS), window_hash(prefix, start[begin], start[end] + PASSAGE), prefix
+
+
+def sharing(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id) of the documents with a passage of ``PASSAGE`` words that a document of another id holds."""
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first_row, _, data, rows in blocks(batch.column(1)):
+                if (found := word_phrases(data, rows)) is not None:
+                    row, _, _, core, phrase, _ = found
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first_row)), pa.array(signed(core)), pa.array(signed(phrase))], names=["doc_id", "core", "phrase"])
+
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    ends = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    kinds = scratch.keep(docs.mapInArrow(cores, "doc_id long, core long, phrase long").groupBy("core", "phrase").agg(*ends))
+    known = kinds.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("core")
+    whole = kinds.where("low < high").select("phrase")
+    shipped = docs.sparkSession.sparkContext.broadcast((bitmap(known), bitmap(whole)))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, whole = shipped.value
+        seen: set[int] = set()
+        for batch in batches:
+            for first_row, _, data, rows in blocks(batch.column(1)):
+                if (found := word_phrases(data, rows)) is None:
+                    continue
+                row, first, last, core, phrase, prefix = found
+                some = holds(known, core)
+                repeated = some & holds(whole, phrase)
+                # documents with a repeated phrase; of its windows one show in a task is enough
+                fresh = np.zeros(len(row), dtype=bool)
+                for k in np.flatnonzero(repeated).tolist():
+                    fresh[k] = int(phrase[k]) not in seen
+                    seen.add(int(phrase[k]))
+                if len(seen) > SEEN:
+                    seen.clear()
+                use = np.flatnonzero((some & ~repeated) | fresh)
+                many = last[use] - first[use] + 1
+                start = np.repeat(first[use], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                ids = batch.column(0).take(pa.array(np.concatenate([row[repeated], np.repeat(row[use], many)]) + first_row))
+                hashes = np.concatenate([phrase[repeated], window_hash(prefix, start, start + PASSAGE)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(signed(hashes))], names=["doc_id", "hash"])
+
+    shown = scratch.keep(docs.mapInArrow(windows, "doc_id long, hash long").distinct())
+    twice = shown.groupBy("hash").agg(*ends).where("low < high").select("hash")
+    out = scratch.keep(shown.join(twice, "hash", "left_semi").select("doc_id").distinct())
+    scratch.drop(kinds, shown)
+    return out
+
+
 def remove(docs: DataFrame) -> DataFrame:
-    """Per document: bytes, removed bytes, maximal removed runs, digest and bytes of what is kept."""
+    """Per document: bytes, removed bytes, maximal removed runs, digest of what is kept, 1 if it shares a passage, and what is kept."""
     by_doc = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("starts"))  # at most a document's windows
+    by_doc = by_doc.join(sharing(docs, Scratch(docs.sparkSession)).withColumn("shares", F.lit(1)), "doc_id", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +242,9 @@ def remove(docs: DataFrame) -> DataFrame:
                     gone = np.cumsum(depth)[:-1] > 0
                     removed, spans = int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
                     left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([removed], pa.int64()), pa.array([spans], pa.int64()), pa.array([hashlib.sha256(left).hexdigest()]), pa.array([left], pa.binary())], names=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([removed], pa.int64()), pa.array([spans], pa.int64()), pa.array([hashlib.sha256(left).hexdigest()]), pa.array([batch.column(3)[i].as_py() or 0], pa.int32()), pa.array([left], pa.binary())], names=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(run, DIGEST_SCHEMA)
+    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "text", "starts", "shares").mapInArrow(run, DIGEST_SCHEMA)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,25 @@ def test_equals_brute_force(spark, tmp_path, seed):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert repeats.op2_suffix_dedup(spark, str(tmp_path)).count() == 0
+
+
+def test_shared_passages(spark):
+    rnd = random.Random(8)
+    vocab = [f"w{k}" for k in range(5000)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    docs = {}
+    for k in range(40):
+        passage = some(rnd.choice([49, 50, 51, 52, 60, 130]))
+        for j in range(rnd.choice([1, 2, 3])):
+            docs[100 * k + j] = " ".join(some(rnd.randrange(90)) + passage + some(rnd.randrange(90)))
+        docs[100 * k + 50] = " ".join(own := some(60)) + "\n" + " ".join(own)
+    docs |= {9000: None, 9001: "", 9002: docs[50], 9003: docs[50].upper()}
+    windows = {}
+    for d, t in docs.items():
+        w = (t or "").lower().split()
+        for k in range(len(w) - 50):
+            windows.setdefault(tuple(w[k : k + 51]), set()).add(d)
+    want = {d for ids in windows.values() if len(ids) > 1 for d in ids}
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["shares_passage"] for r in repeats.remove(rows).collect()}
+    assert {d for d, x in got.items() if x} == want and set(got) == set(docs)
