@@ -22,12 +22,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.text import blocks
+
 #: Pre-tokens and words up to this many characters are remembered; longer ones are merged each time.
 CACHE_CHARS = 24
-#: A worker's remembered pre-tokens and words take about this many bytes at most, as estimated by ``entry_bytes``; then it forgets them.
-CACHE_BYTES = 64 << 20
+#: A worker's remembered pre-tokens and words take about this many bytes, as estimated by ``entry_bytes``, and those of one more
+#: group at most; then it forgets them.
+CACHE_BYTES = 48 << 20
 #: Characters of text whose new pre-tokens share a queue; their words are in memory together.
-SHARED_CHARS = 3 << 20
+SHARED_CHARS = 4 << 20
 #: Fixed value: the pattern for which text may be cut before single spaces, each part being split alone.
 SPACE_CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK_RUN = regex.compile(r"\s \s|  |\s $|^ \s")
@@ -41,7 +44,7 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
 
 def entry_bytes(key: str, value: str) -> int:
     """About what a dictionary entry of two short strings takes: their objects, and the table's share."""
-    return len(key) + len(value) + 210
+    return len(key) + len(value) + 150
 
 
 class RankQueue:
@@ -226,7 +229,7 @@ class ByteBpe:
         return [next(rest) if w is None else str(w) for w in whole]
 
     def room(self) -> None:
-        """Forget everything once it takes more than its share."""
+        """Forget everything once it takes more than its share; only between groups, which use what they have just learnt."""
         if self.held > CACHE_BYTES:
             self.cache.clear()
             if self.spaced is not None:
@@ -245,8 +248,7 @@ class ByteBpe:
         found = self.cache.get(piece)
         if found is None:
             found = " ".join(map(str, self.merge(piece.encode())))
-            if len(piece) <= CACHE_CHARS:
-                self.room()
+            if len(piece) <= CACHE_CHARS and self.held <= CACHE_BYTES:
                 self.cache[piece] = found
                 self.held += entry_bytes(piece, found)
         return found
@@ -266,6 +268,11 @@ class ByteBpe:
             yield from self._encode_group(texts[begin:end])
             begin = end
 
+    def encode_column(self, column: pa.Array) -> Iterator[str]:
+        """``encode_many`` of an Arrow array (null: empty text), of which a few rows are Python strings at a time."""
+        for first, end, _, _ in blocks(column, SHARED_CHARS):
+            yield from self._encode_group([x or "" for x in column.slice(first, end - first).to_pylist()])
+
     def _encode_group(self, texts: list[str]) -> Iterator[str]:
         self.room()
         if self.spaced is None:
@@ -366,7 +373,7 @@ def round_trip_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFra
         bpe = codec(shipped.value, pattern)
         for batch in batches:
             count, encoded, decoded = [], [], []
-            for joined in bpe.encode_many([value or "" for value in batch.column(1).to_pylist()]):
+            for joined in bpe.encode_column(batch.column(1)):
                 count.append(joined.count(" ") + 1 if joined else 0)
                 encoded.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode_joined(joined)).hexdigest())

@@ -8,8 +8,8 @@ signature. Where a set cannot use up all h differences, more subsets are shared
 are needed to meet one of them: the rarest under an order that is the same for all (a count sketch of fixed size over all
 documents; subsets without content last).
 
-Sets that share a signature are first compared, in two rounds, with one of them, the lead with which they share most; what
-this links is one component. Then, within each signature, all sets of different components are compared: sizes and parity bitmaps
+Sets that share a signature are first compared with one of them, the lead with which they share most; what this links is one
+component. Then, within each signature, all sets of different components are compared: sizes and parity bitmaps
 bound their difference from below, and what passes is verified on the exact shingle sets. Large groups are dealt to several
 tasks as pairs of blocks. Shingles are compared by 64-bit hashes; two of m distinct shingles collide with odds of m^2 / 2^65.
 
@@ -45,8 +45,6 @@ BUCKETS = 1 << 22
 BLOCK = 2048
 #: Partners of a set that are verified in one task.
 PARTNERS = 512
-#: Rounds of comparing sets with leads before all of a signature's components are compared.
-LEAD_ROUNDS = 2
 #: Bits of the parity that travels with signatures; larger sets also have one of n to 2 n bits.
 SHORT = 512
 #: Names of shown sets that a task remembers, to show equal sets once.
@@ -199,16 +197,23 @@ def _signature_batch(made: list[np.ndarray], names: list[tuple[int, int]]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(made))), pa.array(signed(ids))], names=["signature", "name"])
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, text) of the wanted sets (rep, mark, name); a bitmap stops most other texts before they move."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("mark")))  # 32 MB at most
+def texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(name, text) of the sets whose first document's text has one of ``marks``, once a task or seldom more often; a bitmap stops most others."""
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(marks))  # 32 MB at most
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            yield batch.filter(pa.array(holds(shipped.value, batch.column(1).to_numpy())))
+            mark = batch.column(0).to_numpy()
+            asked = np.flatnonzero(holds(shipped.value, mark))
+            fresh = [i for i, m in zip(asked.tolist(), mark[asked].tolist(), strict=True) if m not in seen and not seen.add(m)]
+            if len(seen) > SEEN:
+                seen.clear()
+            texts = batch.column(1).take(pa.array(fresh, pa.int64()))
+            names = np.array([int(mix(values).sum(dtype=np.uint64)) for _, values in shingle_sets(texts)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(names)), texts], names=["name", "text"])
 
-    asked = marked(docs).mapInArrow(some, "doc_id long, mark long, text string")
-    return asked.join(wanted.select(F.col("rep").alias("doc_id"), "mark", "name"), ["doc_id", "mark"]).select("name", "text")
+    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(some, "name long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -236,7 +241,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("tasks"))
     dealt = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"))
     own = tasks.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    rows = texts.select(F.col("name").alias("b"), "text").join(dealt.unionByName(own), "b").select("a", "task", (F.col("a") != F.col("b")).alias("other"), "b", "text")
+    dealt = dealt.unionByName(own)
+    shipped = texts.sparkSession.sparkContext.broadcast(bitmap(dealt.select("b")))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(holds(shipped.value, batch.column(0).to_numpy())))
+
+    rows = texts.select(F.col("name").alias("b"), "text").mapInArrow(needed, "b long, text string").join(dealt, "b").select("a", "task", (F.col("a") != F.col("b")).alias("other"), "b", "text")
     return rows.repartition("a", "task").sortWithinPartitions("a", "task", "other").select("a", "b", "text").mapInArrow(run, "a long, b long, shared int, united int").distinct()
 
 
@@ -259,18 +271,13 @@ def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def degrees(met: DataFrame) -> DataFrame:
     """(signature, name, degree): with each set the sum of its signatures' sizes, which is largest in the middle of a group of near copies."""
-    sizes = met.groupBy("signature").agg(F.count("*").alias("size"))
-    degree = met.join(sizes, "signature").groupBy("name").agg(F.sum("size").alias("degree"))
-    return met.join(degree, "name").select("signature", "name", "degree")
-
-
-def leads(parts: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Each set (b) with that lead (a) of another component with which it shares most signatures, untried; a signature's lead has the largest degree."""
-    lead = parts.groupBy("signature").agg(F.max(F.struct("degree", "name", "component")).alias("lead"))
-    counted = parts.join(lead, "signature").where("lead.component <> component").groupBy(F.col("lead.name").alias("a"), F.col("name").alias("b")).agg(F.count("*").alias("k"))
-    if tried is not None:
-        both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        counted = counted.join(both, ["a", "b"], "left_anti")
+    return met.join(met.groupBy("name").agg(F.sum("size").alias("degree")), "name").select("signature", "name", "degree")
+
+
+def leads(parts: DataFrame) -> DataFrame:
+    """Each set (b) with that lead (a) with which it shares most signatures; a signature's lead is its set of the largest degree."""
+    lead = parts.groupBy("signature").agg(F.max(F.struct("degree", "name")).alias("lead"))
+    counted = parts.join(lead, "signature").where("lead.name <> name").groupBy(F.col("lead.name").alias("a"), F.col("name").alias("b")).agg(F.count("*").alias("k"))
     return counted.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
 
 
@@ -335,21 +342,18 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, Da
     one = rows.where("sketch is null and n > 0 and doc_id is not null").groupBy(F.col("h1").alias("name"), "n").agg(first.alias("first"), F.first("short").alias("short"), F.first("parity").alias("parity"))
     sets = scratch.keep(one.select("name", "n", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "short", "parity"))
     group = Window.partitionBy("signature")
-    both = signature_rows(docs, rarity(rows, BUCKETS)).withColumn("low", F.min("name").over(group)).withColumn("high", F.max("name").over(group))
-    met = scratch.keep(both.where("low <> high").select("signature", "name").distinct())
-    wanted = sets.join(met.select("name").distinct(), "name", "left_semi").select("rep", "mark", "name")
-    texts = scratch.keep(texts_of(docs, scratch.keep(wanted)))  # of sets that share a signature
-    parts = degrees(met).withColumn("component", F.col("name"))
-    tried = links = None
-    for _ in range(LEAD_ROUNDS):
-        parts = scratch.keep(parts)
-        fresh = scratch.keep(sized(leads(parts, tried), sets))
-        found = scratch.keep(verified(fresh, texts))
-        tried, links = (fresh, found) if tried is None else (tried.unionByName(fresh), links.unionByName(found))
-        label = components(links, scratch).select(F.col("id").alias("name"), F.col("component").alias("label"))
-        parts = parts.join(label, "name", "left").select("signature", "name", "degree", F.coalesce("label", "name").alias("component"))
-        mixed = parts.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-        parts = parts.join(mixed, "signature", "left_semi")
+    both = signature_rows(docs, rarity(rows, BUCKETS)).withColumn("low", F.min("name").over(group)).withColumn("high", F.max("name").over(group)).withColumn("size", F.count("*").over(group))
+    met = scratch.keep(both.where("low <> high").select("signature", "name", "size").distinct())
+    marks = scratch.keep(sets.join(met.select("name").distinct(), "name", "left_semi").select("mark"))
+    texts = scratch.keep(texts_of(docs, marks))  # of sets that share a signature
+    parts = degrees(met)
+    parts = scratch.keep(parts)
+    tried = scratch.keep(sized(leads(parts), sets))
+    links = scratch.keep(verified(tried, texts))
+    label = components(links, scratch).select(F.col("id").alias("name"), F.col("component").alias("label"))
+    parts = scratch.keep(parts.join(label, "name", "left").select("signature", "name", F.coalesce("label", "name").alias("component")))
+    mixed = parts.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+    parts = parts.join(mixed, "signature", "left_semi")
     open_rows = parts.select("signature", "name", "component").join(sets.select("name", "n", "short"), "name")
     second = scratch.keep(sized(within(open_rows), sets).join(tried, ["a", "b"], "left_anti"))
     links = scratch.keep(links.unionByName(verified(second, texts)))
