@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.text import U64, mix
+from lectern.llm.text import U64, mix, tidy
 
 #: Bits for each entry, and the largest bitmap's bits (32 MB) in powers of two. Beyond some 10^8 entries it passes nearly all.
 PER_ENTRY, MOST = 16, 28
@@ -28,7 +28,7 @@ def bitmap(rows: DataFrame) -> np.ndarray:
             at = _at(batch.column(0).to_numpy(), size)
             yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), pa.array((U64(1) << (at & U64(63))).view(np.int64))], names=["word", "bits"])
 
-    table = rows.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 4 M words
+    table = rows.mapInArrow(tidy(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 4 M words
     bits = np.zeros(size >> 6, dtype=np.uint64)
     bits[table["word"].to_numpy(dtype=np.int64)] = table["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return bits

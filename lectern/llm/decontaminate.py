@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.jaccard import WORDS, shingle_sets
 from lectern.llm.storage import kept
-from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, words
+from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, tidy, words
 
 HASHES = 40
 PERCENT = 75
@@ -137,7 +137,7 @@ def _with_broadcast(docs: DataFrame, items: Items) -> DataFrame:
             if out:
                 yield _hits(out)
 
-    return docs.mapInArrow(run, HIT_SCHEMA)
+    return docs.mapInArrow(tidy(run), HIT_SCHEMA)
 
 
 def _with_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:

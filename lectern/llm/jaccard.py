@@ -32,7 +32,7 @@ from lectern.llm.bitmaps import bitmap, holds
 from lectern.llm.graph import components
 from lectern.llm.sketch import packed, rarity
 from lectern.llm.storage import Scratch
-from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, words
+from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, tidy, words
 
 WORDS = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -150,7 +150,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
             yield _set_batch(batch.column(0), batch.column(1), n, h1, h2, short, odd, [None] * len(n))
         yield _set_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], [0], [None], [None], [packed(counts)])
 
-    return marked(docs).mapInArrow(run, SET_SCHEMA)
+    return marked(docs).mapInArrow(tidy(run), SET_SCHEMA)
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def signature_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if made:
                 yield _signature_batch(made, names)
 
-    return docs.select("text").mapInArrow(run, "signature long, name long")
+    return docs.select("text").mapInArrow(tidy(run), "signature long, name long")
 
 
 def _signature_batch(made: list[np.ndarray], names: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -213,7 +213,7 @@ def texts_of(docs: DataFrame, marks: DataFrame) -> DataFrame:
             names = np.array([int(mix(values).sum(dtype=np.uint64)) for _, values in shingle_sets(texts)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(signed(names)), texts], names=["name", "text"])
 
-    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(some, "name long, text string")
+    return docs.select(F.xxhash64("text").alias("mark"), "text").mapInArrow(tidy(some), "name long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -248,8 +248,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(holds(shipped.value, batch.column(0).to_numpy())))
 
-    rows = texts.select(F.col("name").alias("b"), "text").mapInArrow(needed, "b long, text string").join(dealt, "b").select("a", "task", (F.col("a") != F.col("b")).alias("other"), "b", "text")
-    return rows.repartition("a", "task").sortWithinPartitions("a", "task", "other").select("a", "b", "text").mapInArrow(run, "a long, b long, shared int, united int").distinct()
+    rows = texts.select(F.col("name").alias("b"), "text").mapInArrow(tidy(needed), "b long, text string").join(dealt, "b").select("a", "task", (F.col("a") != F.col("b")).alias("other"), "b", "text")
+    return rows.repartition("a", "task").sortWithinPartitions("a", "task", "other").select("a", "b", "text").mapInArrow(tidy(run), "a long, b long, shared int, united int").distinct()
 
 
 def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     named = both.join(side("a"), "a").join(side("b"), "b").where(fits)
-    return named.select("a", "b", "n_a", "n_b", "short_a", "short_b", "parity_a", "parity_b").mapInArrow(run, "a long, b long")
+    return named.select("a", "b", "n_a", "n_b", "short_a", "short_b", "parity_a", "parity_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def degrees(met: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def within(rows: DataFrame) -> DataFrame:
     dealt = rows.join(size, "signature").withColumn("slot", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("signature", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "name", "component", "n", "short")
-    return cells.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

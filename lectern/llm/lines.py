@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bitmaps import bitmap, holds
 from lectern.llm.sketch import packed, rarity
 from lectern.llm.storage import Scratch
-from lectern.llm.text import U64, blocks, mix, signed, words
+from lectern.llm.text import U64, blocks, mix, signed, tidy, words
 
 PERCENT = 75
 #: Buckets of the count sketch that orders tokens by rarity: 2 MB of counts, whatever the corpus holds.
@@ -79,7 +79,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 np.add.at(counts, sketch_bucket(words(data, offsets)[0]), 1)
         yield pa.RecordBatch.from_arrays([pa.array([packed(counts)], pa.binary())], names=["sketch"])
 
-    return docs.select("text").mapInArrow(run, "sketch binary")
+    return docs.select("text").mapInArrow(tidy(run), "sketch binary")
 
 
 def line_sets(data: np.ndarray, lines: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def postings(docs: DataFrame, counts: np.ndarray, asked: np.ndarray | None = Non
                     yield from whole()
         yield from whole()
 
-    return docs.select("doc_id", "text").mapInArrow(run, POSTING)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), POSTING)
 
 
 def wider(x: bytes, y: bytes) -> int:
@@ -354,7 +354,7 @@ def meet(rows: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
         if held:
             yield from compared(True)
 
-    return rows.repartition("token").sortWithinPartitions("token", "doc_id", "place").mapInArrow(run, FOUND)
+    return rows.repartition("token").sortWithinPartitions("token", "doc_id", "place").mapInArrow(tidy(run), FOUND)
 
 
 def meet_in_blocks(rows: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
@@ -389,7 +389,7 @@ def meet_in_blocks(rows: DataFrame, asked: np.ndarray | None = None) -> DataFram
     dealt = rows.join(size, "token").withColumn("slot", F.pmod(F.xxhash64("doc_id", "place"), "blocks").cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(*(x.split()[0] for x in POSTING.split(", ")), "slot", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"))
-    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "doc_id", "place").mapInArrow(run, FOUND)
+    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "doc_id", "place").mapInArrow(tidy(run), FOUND)
 
 
 def met(rows: DataFrame, scratch: Scratch, asked: np.ndarray | None = None) -> DataFrame:
@@ -417,7 +417,7 @@ def texts_of_lines(docs: DataFrame, names: DataFrame) -> DataFrame:
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(signed(name[some])), pa.array([data[lines[k] : lines[k + 1]].tobytes() for k in some.tolist()], pa.binary())], names=["name", "line"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "name long, line binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "name long, line binary")
 
 
 def shared_counts(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -452,7 +452,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     side = lambda s: texts.select(F.col("name").alias(f"{s}_name"), F.col("line").alias(s))
     both = pairs.select(*LINE, "x_name", "y_name").join(side("x"), "x_name").join(side("y"), "y_name")
-    return both.select(*LINE, "x", "y").mapInArrow(run, "x_doc long, x_line int").distinct()
+    return both.select(*LINE, "x", "y").mapInArrow(tidy(run), "x_doc long, x_line int").distinct()
 
 
 def with_name(rows: DataFrame) -> DataFrame:
@@ -501,7 +501,7 @@ def second_round(docs: DataFrame, counts: np.ndarray, left: DataFrame, texts: Da
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(tokens[early] >> U64(24))))], names=["token"])
 
     own = texts.join(left.select(F.col("x_name").alias("name")).distinct(), "name", "left_semi").select("line")
-    tokens = bitmap(scratch.keep(own.mapInArrow(prefixes, "token long").distinct()))
+    tokens = bitmap(scratch.keep(own.mapInArrow(tidy(prefixes), "token long").distinct()))
     names = bitmap(left.select("x_name"))
     every = met(postings(docs, counts, tokens), scratch, names).select(*LINE, "y_name").distinct()
     pairs = scratch.keep(every.join(left.select(*LINE, "x_name"), LINE).join(left.select(*LINE, "y_name"), [*LINE, "y_name"], "left_anti"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bitmaps import bitmap, holds
 from lectern.llm.storage import Scratch, kept
-from lectern.llm.text import U64, blocks, powers, rolling, signed, window_hash, words
+from lectern.llm.text import U64, blocks, powers, rolling, signed, tidy, window_hash, words
 
 LENGTH, GRAM, REACH = 400, 16, 192
 #: Bytes from the trigger on that every window with this trigger holds.
@@ -97,7 +97,7 @@ def phrases(docs: DataFrame) -> DataFrame:
                     base = rows[row]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first_row)), pa.array(first - base), pa.array((last - first + 1).astype(np.int32)), pa.array(signed(after)), pa.array(signed(phrase)), pa.array(trigger - base)], names=["doc_id", "first", "n", "after", "phrase", "trigger"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PHRASE)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PHRASE)
 
 
 def runs_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def runs_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 tail = [raw[b + LENGTH : e - 1 + LENGTH] for b, e in zip(base.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(after[own]), pa.array(signed(core)), pa.array(head, pa.binary()), pa.array(tail, pa.binary()), pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(begin), pa.array((end - begin).astype(np.int32)), pa.array((begin - base).astype(np.int32))], names=["after", "core", "head", "tail", "doc_id", "first", "n", "shift"])
 
-    return docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "stretches").mapInArrow(run, RUNS)
+    return docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "stretches").mapInArrow(tidy(run), RUNS)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def sharing(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     ends = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    kinds = scratch.keep(docs.mapInArrow(cores, "doc_id long, core long, phrase long").groupBy("core", "phrase").agg(*ends))
+    kinds = scratch.keep(docs.mapInArrow(tidy(cores), "doc_id long, core long, phrase long").groupBy("core", "phrase").agg(*ends))
     known = kinds.groupBy("core").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("core")
     whole = kinds.where("low < high").select("phrase")
     shipped = docs.sparkSession.sparkContext.broadcast((bitmap(known), bitmap(whole)))
@@ -215,7 +215,7 @@ def sharing(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 hashes = np.concatenate([phrase[repeated], window_hash(prefix, start, start + PASSAGE)])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(hashes))], names=["doc_id", "hash"])
 
-    shown = scratch.keep(docs.mapInArrow(windows, "doc_id long, hash long").distinct())
+    shown = scratch.keep(docs.mapInArrow(tidy(windows), "doc_id long, hash long").distinct())
     twice = shown.groupBy("hash").agg(*ends).where("low < high").select("hash")
     out = scratch.keep(shown.join(twice, "hash", "left_semi").select("doc_id").distinct())
     scratch.drop(kinds, shown)
@@ -244,7 +244,7 @@ def remove(docs: DataFrame) -> DataFrame:
                     left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([removed], pa.int64()), pa.array([spans], pa.int64()), pa.array([hashlib.sha256(left).hexdigest()]), pa.array([batch.column(3)[i].as_py() or 0], pa.int32()), pa.array([left], pa.binary())], names=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "text", "starts", "shares").mapInArrow(run, DIGEST_SCHEMA)
+    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "text", "starts", "shares").mapInArrow(tidy(run), DIGEST_SCHEMA)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ All helpers work on a *block*: the UTF-8 bytes of some rows laid end to end plus
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +148,18 @@ def distinct(values: np.ndarray) -> np.ndarray:
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark longs."""
     return x.view(np.int64)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving what it has freed back to the machine at its end: Spark keeps Python workers for later tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.storage import Scratch
-from lectern.llm.text import IS_BREAK, U64, blocks, words
+from lectern.llm.text import IS_BREAK, U64, blocks, tidy, words
 
 #: Most labelled documents that train the model, on the average; their ids and labels (24 bytes each) are broadcast.
 SAMPLE = 100_000
@@ -128,7 +128,7 @@ def train(rows: DataFrame) -> list[Model | None]:
         used = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(h[used]) for h in held)], names=["bucket", "a", "b", "c", "d"])
 
-    found = rows.select("fold", "clean", "toxic", "text").mapInArrow(count, "bucket long, a long, b long, c long, d long")
+    found = rows.select("fold", "clean", "toxic", "text").mapInArrow(tidy(count), "bucket long, a long, b long, c long, d long")
     table = found.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in "abcd")).toPandas()  # at most BUCKETS rows
     counts = np.zeros((4, BUCKETS))
     for i, x in enumerate("abcd"):
@@ -178,7 +178,7 @@ def out_of_fold(rows: DataFrame, halves: list[Model | None]) -> DataFrame:
                 made = [(len(starts), [model.rate * s for _, _, s in found] if model else []) for _, starts, _, found in _scan(own.column(3), model)] if own.num_rows else []
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array([n for n, _ in made], pa.int32()), pa.array([x for _, x in made], pa.list_(pa.float64()))], names=["clean", "toxic", "tokens", "scaled"])
 
-    return rows.select("fold", "clean", "toxic", "text").mapInArrow(run, "clean long, toxic long, tokens int, scaled array<double>")
+    return rows.select("fold", "clean", "toxic", "text").mapInArrow(tidy(run), "clean long, toxic long, tokens int, scaled array<double>")
 
 
 def starting_rate(rows: DataFrame) -> float:
@@ -203,7 +203,7 @@ def features(docs: DataFrame, model: Model | None) -> DataFrame:
             if rows:
                 yield _pack(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), FEATURE_SCHEMA)
 
 
 def _pack(rows: list[tuple]) -> pa.RecordBatch:
@@ -227,7 +227,7 @@ def passages(docs: DataFrame, model: Model | None, most_evalue: float = 0.05) ->
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64()), ("evalue", pa.float64()), ("passage", pa.string())]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, SEGMENT_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SEGMENT_SCHEMA)
 
 
 def calibrate(rows: DataFrame, k: float) -> tuple[float, float]:
