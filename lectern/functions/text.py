@@ -1,26 +1,56 @@
-"""Column functions over names, codes, people lists, durations and paths. All stay in the JVM."""
+"""Column functions over names, codes, people lists, durations and paths. All stay in the JVM, but for accents in ``entity_key``."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Fixed value: words that a title keeps in lower case except first, last and after a colon or dash.
+SMALL_WORDS = (
+    "a", "an", "the",
+    "and", "or", "but", "nor", "for", "yet", "so",
+    "of", "in", "on", "at", "to", "by", "up", "as", "off", "per", "via", "from", "into", "with", "over",
+    "vs", "vs.",
+)
+# Fixed value: name particles that stay joined to the capital after them.
+PARTICLES = ("mc", "mac", "o", "de", "di", "du", "la", "le", "van", "von", "der", "den", "st", "fitz")
+
 
-# Fixed value: words that a title keeps in lower case except first and last.
-SMALL_WORDS = ("a", "an", "the", "and", "but", "or", "nor", "for", "of", "in", "on", "at", "to", "by", "with", "from", "as")
+@F.arrow_udf(StringType())
+def _without_accents(name: pa.Array) -> pa.Array:
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    return pa.array([None if x is None else plain(x) for x in name.to_pylist()], pa.string())
 
 
 def entity_key(name: Column) -> Column:
-    """Comparison key of a name: ``Last, First`` turned round, camel case split, punctuation to spaces, lower case (ASCII)."""
-    turned = F.regexp_replace(name, r"^([^,]*),\s*(.*)$", "$2 $1")
-    spaced = F.regexp_replace(turned, r"([a-z])([A-Z])", "$1 $2")
-    return F.trim(F.lower(F.regexp_replace(spaced, r"[^A-Za-z0-9]+", " ")))
+    """Comparison key of a name: ``Last, First`` turned round, accents dropped, camel case split except after a particle,
+    punctuation to spaces, single letters in a row joined, lower case. Letters of any script stay; null gives null.
+
+    Only names with characters beyond ASCII pass through Python.
+    """
+    turned = F.regexp_replace(F.trim(name), r"^([^,]*),\s*(.*)$", "$2 $1")
+    other = turned.rlike(r"[^\x00-\x7F]")
+    plain = F.when(other, _without_accents(F.when(other, turned))).otherwise(turned)
+    spaced = F.regexp_replace(plain, rf"(?<=\p{{Ll}})(?<!(?i:\b(?:{'|'.join(PARTICLES)})))(?=\p{{Lu}})", " ")
+    words = F.trim(F.lower(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " ")))
+    return F.regexp_replace(words, r"(?<![\p{L}\p{N}])([\p{L}\p{N}]) (?=[\p{L}\p{N}](?![\p{L}\p{N}]))", "$1")
 
 
 def title_case(text: Column) -> Column:
-    """Capitalised words, small ones in lower case except first and last."""
-    words = F.split(F.trim(F.regexp_replace(text, r"[_\s]+", " ")), " ")
-    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000)))
-    small = lambda w, i: F.lower(w).isin(*SMALL_WORDS) & (i > 0) & (i < F.size(words) - 1)
+    """Capitalised words, small ones in lower case except first, last and after a colon or dash.
+
+    Underscores and hyphens inside words become spaces, a hyphen beside white space a dash, commas get one space after them.
+    """
+    dashed = F.regexp_replace(F.replace(F.trim(text), F.lit("_"), F.lit(" ")), r"\s+-\s*|-\s+", "\u0001")
+    plain = F.replace(F.replace(dashed, F.lit("-"), F.lit(" ")), F.lit("\u0001"), F.lit(" - "))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s*,\s*", ", "), r"\s+", " ")), " ")
+    cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+    before = lambda i: F.coalesce(F.get(words, i - 1), F.lit(":"))
+    small = lambda w, i: F.lower(w).isin(*SMALL_WORDS) & (i < F.size(words) - 1) & ~before(i).endswith(":") & (before(i) != "-")
     return F.array_join(F.transform(words, lambda w, i: F.when(small(w, i), F.lower(w)).otherwise(cap(w))), " ")
 
 
@@ -32,8 +62,14 @@ def isbn13(nine: Column) -> Column:
 
 
 def people(value: Column) -> Column:
-    """Array of people from a list joined by ``&``, ``and`` or ``;``; blanks go."""
-    return F.filter(F.transform(F.split(value, r"\s*(?:&|;|\band\b)\s*"), F.trim), lambda p: p != "")
+    """Array of people from a list joined by ``&``, ``and`` between blanks, or ``;``; blanks go.
+
+    A part is cut at its commas, too, if there are at least two names between them and each has an inner blank.
+    """
+    some = lambda x, by: F.filter(F.transform(F.split(x, by), lambda p: F.trim(p)), lambda p: p != "")
+    full = lambda names: (F.size(names) >= 2) & F.forall(names, lambda n: n.contains(" "))
+    parts = some(value, r"\s*&\s*|\s+and\s+|\s*;\s*")
+    return F.flatten(F.transform(parts, lambda p: F.when(full(some(p, ",")), some(p, ",")).otherwise(F.array(p))))
 
 
 def description(html: Column) -> Column:
@@ -52,8 +88,8 @@ def timecode(seconds: Column) -> Column:
 
 
 def seconds_of(code: Column) -> Column:
-    """Whole seconds of H:MM:SS, M:SS or S."""
-    return F.aggregate(F.split(code, ":"), F.lit(0).cast("long"), lambda acc, x: acc * 60 + x.cast("long"))
+    """Whole seconds of H:MM:SS, M:SS or S; null for anything else."""
+    return F.when(code.rlike(r"^\d{1,9}(:\d{1,9}){0,2}$"), F.aggregate(F.split(code, ":"), F.lit(0).cast("long"), lambda acc, x: acc * 60 + x.try_cast("long")))
 
 
 def path_id(path: Column) -> Column:

@@ -14,11 +14,23 @@ def changes(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> Da
     return a.join(b, key, "full_outer").select(key, kind.alias("change"))
 
 
+#: Fewest numbers that make a sequence, and the largest first number before which others are taken to be missing.
+LEAST, LEADING = 3, 3
+
+
 def gaps(rows: DataFrame, part: str, number: str) -> DataFrame:
-    """(part, missing): numbers absent between 1 and the part's largest; parts without a gap are left out."""
-    held = rows.groupBy(part).agg(F.array_sort(F.collect_set(number)).alias("_held"))
-    lost = F.array_except(F.sequence(F.lit(1), F.array_max("_held")), "_held")
-    return held.select(part, lost.alias("_lost")).where(F.size("_lost") > 0).select(part, F.size("_lost").alias("n_missing"), F.array_join("_lost", ",").alias("missing"))
+    """(part, n_missing, missing): numbers absent from the part's sequence; parts without a sure gap are left out.
+
+    Holes lie between the least and the largest number, and before the least one if that is 2 or 3. Parts of fewer than three
+    numbers, or with more holes than numbers, have none; so no list grows beyond what the part holds. Nulls don't count.
+    """
+    held = rows.where(F.col(number).isNotNull()).groupBy(part).agg(F.array_sort(F.collect_set(number)).alias("held"))  # at most a part's numbers
+    low, high, n = F.array_min("held"), F.array_max("held"), F.size("held")
+    first = F.when((low > 1) & (low <= LEADING), F.lit(1).cast(dict(rows.dtypes)[number])).otherwise(low)
+    holes = high - first + 1 - n
+    sure = held.where((n >= LEAST) & (holes > 0) & (holes <= n))
+    lost = F.array_except(F.sequence(first, high), "held")
+    return sure.select(part, F.size(lost).alias("n_missing"), F.array_join(lost, ",").alias("missing"))
 
 
 def shared_parts(left: DataFrame, right: DataFrame, owner: str, part: str, least_percent: int) -> DataFrame:

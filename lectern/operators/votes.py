@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 
 def elect(votes: DataFrame, subject: str, key: str, weight: Column, tie: Column | None = None) -> DataFrame:
-    """Winner of each subject: most weight, ties by ``tie`` (default: the key); with its weight, the total, and the number of keys.
+    """Winner of each subject by most weight, its weight, the total, the number of keys and the winner's share.
 
-    Votes are summed by key before they move; each subject then ranks its keys only.
+    Ties go to the key with the strongest single vote, or, where ``tie`` gives a fixed order, to the least of it; then to the
+    key. The share is rounded half to even to two places, 0 where nothing has weight. Null keys and weights don't vote. Votes are summed by key
+    before they move; each subject then ranks its keys only.
     """
-    sums = votes.groupBy(subject, key).agg(F.sum(weight).alias("weight"), F.min(tie if tie is not None else F.col(key)).alias("_tie"))
+    held = votes.withColumn("_weight", weight).where(F.col(key).isNotNull() & F.col("_weight").isNotNull())
+    strongest = F.min(tie) if tie is not None else -F.max("_weight")
+    sums = held.groupBy(subject, key).agg(F.sum("_weight").alias("weight"), strongest.alias("_tie"))
     rank = Window.partitionBy(subject).orderBy(F.desc("weight"), "_tie", key)
     over = Window.partitionBy(subject)
     ranked = sums.withColumns({"rank": F.row_number().over(rank), "total": F.sum("weight").over(over), "candidates": F.count("*").over(over)})
-    return ranked.where("rank = 1").select(subject, F.col(key).alias("winner"), "weight", "total", "candidates")
+    share = F.when(F.col("total") == 0, 0.0).otherwise(F.bround(F.col("weight") / F.col("total"), 2))
+    return ranked.where("rank = 1").select(subject, F.col(key).alias("winner"), "weight", "total", "candidates", share.alias("share"))
 
 
 def consensus(rows: DataFrame, subject: str, key: str, percent: int) -> DataFrame:

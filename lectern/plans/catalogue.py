@@ -234,8 +234,8 @@ def series_order(spark, d):
 # --- elections
 
 
-@query("""SELECT user_id, event_type AS winner, w AS weight, CAST(t AS BIGINT) AS total, c AS candidates FROM (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS w,
-row_number() OVER (PARTITION BY user_id ORDER BY sum(CAST(round(value * 100) AS BIGINT)) DESC, event_type) AS k, sum(sum(CAST(round(value * 100) AS BIGINT))) OVER (PARTITION BY user_id) AS t,
+@query("""SELECT user_id, event_type AS winner, w AS weight, CAST(t AS BIGINT) AS total, c AS candidates, CASE WHEN t = 0 THEN 0.0 ELSE round_even(w / t, 2) END AS share FROM (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS w,
+row_number() OVER (PARTITION BY user_id ORDER BY sum(CAST(round(value * 100) AS BIGINT)) DESC, max(CAST(round(value * 100) AS BIGINT)) DESC, event_type) AS k, sum(sum(CAST(round(value * 100) AS BIGINT))) OVER (PARTITION BY user_id) AS t,
 count(*) OVER (PARTITION BY user_id) AS c FROM events GROUP BY 1, 2) WHERE k = 1""")
 def election(spark, d):
     return votes.elect(table(spark, d, "events"), "user_id", "event_type", cents("value"))
@@ -245,13 +245,13 @@ def election(spark, d):
 sum(sum(x)) OVER (PARTITION BY user_id) AS t, count(*) OVER (PARTITION BY user_id) AS c FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 100 ELSE 1 END AS x FROM events) GROUP BY 1, 2) WHERE k = 1""")
 def election_ordered_ties(spark, d):
     weight = F.when(F.col("event_id") % 97 == 0, 100).otherwise(1)
-    return votes.elect(table(spark, d, "events"), "user_id", "event_type", weight, tie=F.col("event_id"))
+    return votes.elect(table(spark, d, "events"), "user_id", "event_type", weight, tie=F.col("event_id")).drop("share")
 
 
 @query("""SELECT c_nationkey, c_mktsegment AS winner, n AS weight, CAST(t AS BIGINT) AS total, c AS candidates FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS k,
 sum(count(*)) OVER (PARTITION BY c_nationkey) AS t, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer GROUP BY 1, 2) WHERE k = 1 AND n * 100 >= t * 25""")
 def artist_consensus(spark, d):
-    return votes.consensus(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", 25)
+    return votes.consensus(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", 25).drop("share")
 
 
 @query("""SELECT lower(p_type) AS key, arg_min(p_type, p_partkey) AS display, count(*) AS n FROM part GROUP BY 1""")
@@ -423,8 +423,9 @@ def prune_dangling(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(nodes, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("""WITH h AS (SELECT l_orderkey, list_distinct(list(l_linenumber)) AS s, max(l_linenumber) AS m FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, list_filter(range(1, m + 1), lambda i: NOT list_contains(s, i)) AS lost FROM h)
-SELECT l_orderkey, CAST(len(lost) AS INTEGER) AS n_missing, array_to_string(lost, ',') AS missing FROM g WHERE len(lost) > 0""")
+@query("""WITH h AS (SELECT l_orderkey, list_distinct(list(l_linenumber)) AS s, min(l_linenumber) AS low, max(l_linenumber) AS high, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1),
+g AS (SELECT l_orderkey, n, list_filter(range(CASE WHEN low > 1 AND low <= 3 THEN 1 ELSE low END, high + 1), lambda i: NOT list_contains(s, i)) AS lost FROM h WHERE n >= 3)
+SELECT l_orderkey, CAST(len(lost) AS INTEGER) AS n_missing, array_to_string(lost, ',') AS missing FROM g WHERE len(lost) > 0 AND len(lost) <= n""")
 def track_gaps(spark, d):
     return files.gaps(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
