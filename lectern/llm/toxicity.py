@@ -7,7 +7,7 @@ clean training documents); the best one to ``COMBINED`` give one tail probabilit
 label 1. (Sums of more segments were worse on held-out rows of check_s: 115 errors of 4061 with all, 31 with three.)
 
 The model is fitted on a sample of at most about ``SAMPLE`` labelled documents (all, if there are no more), taken by a hash of
-doc_id. K and the calibration are fitted out of fold: on documents scored by a model of the other half.
+doc_id. K and the calibration are fitted out of fold: on documents scored by a model of the other folds.
 
 Defined results: null or empty text has no segments and gets the calibrated score of evidence 0; repeated labels of a
 document all count, and so do repeated rows of it; null labels and labels of a null doc_id don't train; without training rows
@@ -34,6 +34,8 @@ SAMPLE = 100_000
 BUCKETS = 1 << 18
 #: Weight of the prior in tokens, least z for a token to count, bounds of a token's score, drift of the others.
 PRIOR, LEAST_Z, MOST, DRIFT = 5_000.0, 3.5, 8.0, -0.5
+#: Folds of the calibration: few would calibrate models of much less data than the one that is used.
+FOLDS = 5
 #: Segments that are summed at most; ``n_segments`` and ``passages`` know all.
 COMBINED = 3
 #: Bins of log(1 + evidence) for the calibration and their upper end.
@@ -103,37 +105,40 @@ def evidence(scaled: np.ndarray, n: int, k: float) -> tuple[float, int]:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, clean, toxic, fold) for the sampled labelled documents: counts of their labels, and a half by hash."""
+    """(doc_id, clean, toxic, fold) for the sampled labelled documents: counts of their labels, and a fold by hash."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.sum((F.col("toxic") == 0).cast("long")).alias("clean"), F.sum((F.col("toxic") != 0).cast("long")).alias("toxic"))
     share = min(1.0, 0.95 * SAMPLE / max(known.count(), 1))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    return known.where(place < int(share * (1 << 30)) + 1).withColumn("fold", (F.shiftright(place, 7) % 2).cast("int"))
+    return known.where(place < int(share * (1 << 30)) + 1).withColumn("fold", (F.shiftright(place, 7) % FOLDS).cast("int"))
 
 
 def train(rows: DataFrame) -> list[Model | None]:
-    """Models of fold 0's rows, fold 1's rows and all rows of ``fold, clean, toxic, text``; only bucket counts reach the driver."""
+    """Models of all rows but each fold's, and last of all rows, of ``fold, clean, toxic, text``; only bucket counts reach the driver."""
+    names = [f"c{k}" for k in range(2 * FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, BUCKETS), dtype=np.int64)
+        held = np.zeros((2 * FOLDS, BUCKETS), dtype=np.int64)
         for batch in batches:
             fold, clean, toxic = (batch.column(k).to_numpy() for k in range(3))
             for first, end, data, offsets in blocks(batch.column(3)):
                 bucket, _, _, at = buckets(data, offsets)
                 own = np.repeat(np.arange(first, end), np.diff(at))
                 for kind, weight in enumerate((clean, toxic)):
-                    for half in (0, 1):
-                        mine = (fold[own] == half) & (weight[own] > 0)
-                        held[2 * half + kind] += np.bincount(bucket[mine], weights=weight[own[mine]], minlength=BUCKETS).astype(np.int64)
+                    for part in range(FOLDS):
+                        mine = (fold[own] == part) & (weight[own] > 0)
+                        held[2 * part + kind] += np.bincount(bucket[mine], weights=weight[own[mine]], minlength=BUCKETS).astype(np.int64)
         used = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(h[used]) for h in held)], names=["bucket", "a", "b", "c", "d"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(h[used]) for h in held)], names=["bucket", *names])
 
-    found = rows.select("fold", "clean", "toxic", "text").mapInArrow(tidy(count), "bucket long, a long, b long, c long, d long")
-    table = found.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in "abcd")).toPandas()  # at most BUCKETS rows
-    counts = np.zeros((4, BUCKETS))
-    for i, x in enumerate("abcd"):
+    found = rows.select("fold", "clean", "toxic", "text").mapInArrow(tidy(count), ", ".join(["bucket long", *(f"{x} long" for x in names)]))
+    table = found.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in names)).toPandas()  # at most BUCKETS rows
+    counts = np.zeros((2 * FOLDS, BUCKETS))
+    for i, x in enumerate(names):
         counts[i, table["bucket"]] = table[x]
-    return [fit(counts[:2]), fit(counts[2:]), fit(counts[:2] + counts[2:])]
+    counts = counts.reshape(FOLDS, 2, BUCKETS)
+    total = counts.sum(axis=0)
+    return [*(fit(total - own) for own in counts), fit(total)]
 
 
 def fit(counts: np.ndarray) -> Model | None:
@@ -166,15 +171,14 @@ def _scan(column: pa.Array, model: Model | None) -> Iterator[tuple]:
             yield data[offsets[k] : offsets[k + 1]], starts[at[k] : at[k + 1]] - offsets[k], ends[at[k] : at[k + 1]] - offsets[k], found
 
 
-def out_of_fold(rows: DataFrame, halves: list[Model | None]) -> DataFrame:
-    """(clean, toxic, tokens, scaled) of training rows: their segments' scores under the model of the other half."""
-    shipped = rows.sparkSession.sparkContext.broadcast(halves)  # 2 MB
+def out_of_fold(rows: DataFrame, others: list[Model | None]) -> DataFrame:
+    """(clean, toxic, tokens, scaled) of training rows: their segments' scores under the model of the other folds."""
+    shipped = rows.sparkSession.sparkContext.broadcast(others)  # 1 MB a fold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for half in (0, 1):
-                model = shipped.value[1 - half]
-                own = batch.filter(pa.array(batch.column(0).to_numpy() == half))
+            for part, model in enumerate(shipped.value):
+                own = batch.filter(pa.array(batch.column(0).to_numpy() == part))
                 made = [(len(starts), [model.rate * s for _, _, s in found] if model else []) for _, starts, _, found in _scan(own.column(3), model)] if own.num_rows else []
                 yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array([n for n, _ in made], pa.int32()), pa.array([x for _, x in made], pa.list_(pa.float64()))], names=["clean", "toxic", "tokens", "scaled"])
 
@@ -265,8 +269,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float, floa
     scratch = Scratch(docs.sparkSession)
     sample = scratch.keep(training(docs, labels))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about SAMPLE rows of 24 bytes at most
-    *halves, model = train(rows)
-    tried = scratch.keep(out_of_fold(rows, halves))
+    *others, model = train(rows)
+    tried = scratch.keep(out_of_fold(rows, others))
     k = starting_rate(tried)
     a, b = calibrate(tried, k)
     scratch.only()
