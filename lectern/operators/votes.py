@@ -29,6 +29,29 @@ def consensus(rows: DataFrame, subject: str, key: str, percent: int) -> DataFram
     return won.where(F.col("weight") * 100 >= F.col("total") * percent)
 
 
+def resolve_field(rows: DataFrame, subject: str, value: str, weight: str, source: str, hard: str, order: str) -> DataFrame:
+    """Value of each subject's field by weighted evidence: (subject, value, share, source).
+
+    Values are the same if they differ in case or white space only; the spelling that comes first by ``order`` is shown. Blank
+    or null values and weights that are null or not over 0 don't vote; where a hard vote is left, hard votes alone decide. Most
+    weight wins, then the strongest single vote, then the key; the share is rounded half to even to two places; the source is
+    that of the winner's heaviest vote, the first of them. A subject without votes keeps a row: null, 0, null. A null in
+    ``hard`` is soft. Case is that of lower(), so that sharp s and ss differ. Votes are summed by key before they move.
+    """
+    key = F.trim(F.regexp_replace(F.lower(value), r"(?U)[\s\x1c-\x1f]+", " "))
+    votes = F.coalesce((key != "") & (F.col(weight) > 0), F.lit(False))
+    level = F.when(~votes, 0).when(F.coalesce(F.col(hard), F.lit(False)), 2).otherwise(1)
+    held = rows.select(F.col(subject).alias("_s"), F.when(votes, key).alias("_key"), level.alias("_level"), F.col(weight).alias("_w"), F.struct(order, value).alias("_shown"), F.struct(-F.col(weight), order, source).alias("_from"))
+    sums = held.groupBy("_s", "_key", "_level").agg(F.sum("_w").alias("_sum"), F.max("_w").alias("_most"), F.min("_shown")[value].alias("_value"), F.min("_from")[source].alias("_source"))
+    over = Window.partitionBy("_s")
+    pool = sums.withColumn("_top", F.max("_level").over(over)).where("_level = _top")
+    rank = F.row_number().over(over.orderBy(F.desc("_sum"), F.desc("_most"), "_key"))
+    ranked = pool.withColumns({"_rank": rank, "_total": F.sum("_sum").over(over)}).where("_rank = 1")
+    some = F.col("_level") > 0
+    share = F.when(some, F.bround(F.col("_sum") / F.col("_total"), 2)).otherwise(0.0)
+    return ranked.select(F.col("_s").alias(subject), F.when(some, F.col("_value")).alias("value"), share.alias("share"), F.when(some, F.col("_source")).alias("source"))
+
+
 def keep_first(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key by ``order``, by a sortable aggregate so that rows are combined before they move."""
     value = F.struct(*order, *[c for c in rows.columns if c not in {*order, *keys}])

@@ -254,6 +254,18 @@ def artist_consensus(spark, d):
     return votes.consensus(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", 25).drop("share")
 
 
+@query("""WITH v AS (SELECT c_nationkey, c_mktsegment AS value, trim(regexp_replace(lower(c_mktsegment), '\\s+', ' ', 'g')) AS key, CAST(round(c_acctbal * 100) AS BIGINT) AS w,
+c_acctbal > 9500 AS hard, c_name AS source, c_custkey FROM customer), ok AS (SELECT * FROM v WHERE key <> '' AND w > 0),
+pool AS (SELECT * FROM ok WHERE hard OR c_nationkey NOT IN (SELECT c_nationkey FROM ok WHERE hard)),
+k AS (SELECT c_nationkey, key, sum(w) AS n, max(w) AS most, arg_min(value, c_custkey) AS value, first(source ORDER BY w DESC, c_custkey) AS source FROM pool GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS total, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, most DESC, key) AS place FROM k)
+SELECT s.c_nationkey, r.value, CASE WHEN r.n IS NULL THEN 0.0::DOUBLE ELSE round_even(r.n / r.total, 2)::DOUBLE END AS share, r.source
+FROM (SELECT DISTINCT c_nationkey FROM customer) s LEFT JOIN r ON s.c_nationkey = r.c_nationkey AND r.place = 1""")
+def field_resolve(spark, d):
+    rows = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", cents("c_acctbal").alias("cents"), "c_name", (F.col("c_acctbal") > 9500).alias("hard"), "c_custkey")
+    return votes.resolve_field(rows, "c_nationkey", "c_mktsegment", "cents", "c_name", "hard", "c_custkey")
+
+
 @query("""SELECT lower(p_type) AS key, arg_min(p_type, p_partkey) AS display, count(*) AS n FROM part GROUP BY 1""")
 def canonical_display(spark, d):
     rows = table(spark, d, "part").select(F.lower("p_type").alias("key"), "p_partkey", F.col("p_type").alias("display"))

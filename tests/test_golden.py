@@ -25,6 +25,23 @@ def test_elections(spark):
     assert [(r["winner"], r["share"]) for r in votes.elect(tied, "subject", "key", F.col("w"), tie=order).collect()] == [("author", 0.5)]
 
 
+def test_field_values(spark):
+    cases = {
+        1: [("Dune", 1.0, "tag", False), ("  dune ", 2.0, "folder", False), ("Emma", 1.0, "file", None)], 2: [("a", 9.0, "tag", False), ("B", 1.0, "match", True)],
+        3: [("", 5.0, "tag", True), (None, 5.0, "tag", True), ("x", 0.0, "tag", True), ("x", None, "tag", True)], 4: [("a", 1.0, "one", False), ("a", 1.0, "two", False), ("b", 2.0, "three", False)],
+        5: [("", 5.0, "tag", True), ("c\u2003d", 1.0, "one", False), ("C D", 1.0, "two", False), ("e", -3.0, "three", False)],
+    }
+    rows = spark.createDataFrame([(s, *x, i) for s, v in cases.items() for i, x in enumerate(v)], "subject int, value string, weight double, source string, hard boolean, at int")
+    got = {r["subject"]: (r["value"], r["share"], r["source"]) for r in votes.resolve_field(rows, "subject", "value", "weight", "source", "hard", "at").collect()}
+    assert got == {1: ("Dune", 0.75, "folder"), 2: ("B", 1.0, "match"), 3: (None, 0.0, None), 4: ("b", 0.5, "three"), 5: ("c\u2003d", 1.0, "one")}
+    assert votes.resolve_field(rows.where("at > 99"), "subject", "value", "weight", "source", "hard", "at").collect() == []
+
+
+def test_consensus_takes_three_quarters(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "a"), (2, "b")], "subject int, key string")
+    assert [(r["subject"], r["winner"], r["weight"]) for r in votes.consensus(rows, "subject", "key", 75).collect()] == [(1, "a", 3)]
+
+
 def test_gaps(spark):
     cases = {1: [1, 2, 4, 5], 2: [3, 4, 5], 3: [5, 6, 7, 8], 4: [1, 2, 50], 5: [0], 6: [1, 1, 3], 7: [1, 2, 1_000_000_000], 8: [2, 3, 5, 5], 9: [51, 53, 54], 10: [None]}
     rows = spark.createDataFrame([(p, n) for p, v in cases.items() for n in v], "part int, n int")
