@@ -5,6 +5,8 @@ from __future__ import annotations
 from lectern.llm.alignment import op13_cross_tokenizer
 from lectern.llm.bpe import op4_byte_bpe
 from lectern.llm.decontaminate import op9_decontamination
+from lectern.llm.divergence import ORACLE_SQL as DIVERGENCE_SQL
+from lectern.llm.divergence import op11_source_divergence
 from lectern.llm.jaccard import op10_ngram_jaccard
 from lectern.llm.language import op8_language_id
 from lectern.llm.lines import op6_line_dedup
@@ -16,7 +18,7 @@ from lectern.llm.toxicity import op3_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_suffix_dedup, op3_toxicity, op4_byte_bpe, op5_token_counts, op6_line_dedup, op7_media_columns, op8_language_id, op9_decontamination, op10_ngram_jaccard, op13_cross_tokenizer)
+    for f in (op1_secret_scan, op2_suffix_dedup, op3_toxicity, op4_byte_bpe, op5_token_counts, op6_line_dedup, op7_media_columns, op8_language_id, op9_decontamination, op10_ngram_jaccard, op11_source_divergence, op13_cross_tokenizer)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_source_divergence": DIVERGENCE_SQL}
