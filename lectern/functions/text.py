@@ -61,6 +61,23 @@ def isbn13(nine: Column) -> Column:
     return F.concat(twelve, ((10 - total % 10) % 10).cast("string"))
 
 
+def plain_isbn(code: Column) -> Column:
+    """Code without hyphens and white space at its ends or between, in capitals; null if nothing is left. Check digits aren't tested."""
+    out = F.upper(F.trim(F.regexp_replace(code, "[- ]", "")))
+    return F.when(out != "", out)
+
+
+def canonical_isbn(code: Column) -> Column:
+    """ISBN-13 of 13 digits (as they are) or of an ISBN-10 (its last digit recomputed); null for anything else."""
+    plain = plain_isbn(code)
+    return F.when(plain.rlike("^[0-9]{13}$"), plain).when(plain.rlike("^[0-9]{9}[0-9X]$"), isbn13(F.substring(plain, 1, 9)))
+
+
+def same_isbn(a: Column, b: Column) -> Column:
+    """Whether two codes are of one ISBN; false where one isn't a code."""
+    return F.coalesce(canonical_isbn(a) == canonical_isbn(b), F.lit(False))
+
+
 def people(value: Column) -> Column:
     """Array of people from a list joined by ``&``, ``and`` between blanks, or ``;``; blanks go.
 

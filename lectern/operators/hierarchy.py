@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.steps import kept
+from lectern.operators.steps import Steps, kept
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -32,14 +32,17 @@ def nearest(closed: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, start: str, hops: int, budget: int) -> DataFrame:
-    """(node, hop) within ``hops`` undirected steps of ``start``, at most ``budget`` nodes by hop and id."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    """(node, hop, omitted) within ``hops`` undirected steps of ``start``: at most ``budget`` nodes by hop and id, and how many more there are."""
+    steps = Steps(edges.sparkSession)
+    both = steps.keep(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
     seen = edges.sparkSession.createDataFrame([(start, 0)], "node string, hop int")
     front = seen
     for hop in range(1, hops + 1):
-        front = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
+        near = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct()
+        front = steps.keep(near.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(front)
-    return seen.orderBy("hop", "node").limit(budget)
+    omitted = max(0, seen.count() - budget)
+    return seen.orderBy("hop", "node").limit(budget).withColumn("omitted", F.lit(omitted).cast("long"))
 
 
 def aliases(pairs: DataFrame) -> DataFrame:
@@ -48,14 +51,15 @@ def aliases(pairs: DataFrame) -> DataFrame:
     Names on a cycle, or leading into one, get the cycle's smallest name; of several targets of a name the smallest counts.
     """
     # low: the smallest name among those passed on the way to ``to``, the name itself included
-    jump = kept(pairs.where("name is not null and target is not null").groupBy("name").agg(F.min("target").alias("to")).withColumn("low", F.col("name")))
+    steps_kept = Steps(pairs.sparkSession)
+    jump = steps_kept.keep(pairs.where("name is not null and target is not null").groupBy("name").agg(F.min("target").alias("to")).withColumn("low", F.col("name")))
     names, steps = jump.count(), 1
     while True:
         ahead = jump.select(F.col("name").alias("to"), F.col("to").alias("far"), F.col("low").alias("far_low"))
         both = jump.join(ahead, "to", "left")
         if steps >= names or not both.where("far is not null").limit(1).count():  # what is still on its way now is on a cycle
             return both.select("name", F.coalesce("far_low", "to").alias("canonical"))
-        jump, steps = kept(both.select("name", F.coalesce("far", "to").alias("to"), F.least("low", "far_low").alias("low"))), 2 * steps
+        jump, steps = steps_kept.keep(both.select("name", F.coalesce("far", "to").alias("to"), F.least("low", "far_low").alias("low")), jump), 2 * steps
 
 
 def running(rows: DataFrame, part: str, order: list[str], value: str) -> DataFrame:

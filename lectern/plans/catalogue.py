@@ -6,31 +6,16 @@ the folder tree, events an edit history.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import search
 from lectern.functions import text as fx
 from lectern.operators import edits, files, hierarchy, ranks, votes
+from lectern.plans.registry import query
 from lectern.sources.tables import table
 from lectern.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
 def cents(c: str | Column) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c) * 100).cast("long")
 
@@ -212,7 +197,7 @@ def entity_membership(spark, d):
 
 @query("""WITH e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 h0 AS (SELECT 'r1' AS node, 0 AS hop), h1 AS (SELECT b AS node, 1 AS hop FROM u WHERE a = 'r1'), h2 AS (SELECT DISTINCT u.b AS node, 2 AS hop FROM u JOIN h1 ON u.a = h1.node WHERE u.b <> 'r1' AND u.b NOT IN (SELECT node FROM h1))
-SELECT node, hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) ORDER BY hop, node LIMIT 60""")
+SELECT node, hop, greatest(0, count(*) OVER () - 60)::BIGINT AS omitted FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) ORDER BY hop, node LIMIT 60""")
 def bfs_neighborhood(spark, d):
     edges = tree_edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     return hierarchy.neighbourhood(edges, "r1", 2, 60)
