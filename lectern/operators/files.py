@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import names
+
 
 def changes(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
     """(key, change): added, removed, modified or same, by a null-safe comparison."""
@@ -18,19 +20,81 @@ def changes(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> Da
 LEAST, LEADING = 3, 3
 
 
-def gaps(rows: DataFrame, part: str, number: str) -> DataFrame:
-    """(part, n_missing, missing): numbers absent from the part's sequence; parts without a sure gap are left out.
+def holes(held: Column) -> Column:
+    """Numbers that a part's sorted distinct numbers lack, null without a sure gap.
 
     Holes lie between the least and the largest number, and before the least one if that is 2 or 3. Parts of fewer than three
-    numbers, or with more holes than numbers, have none; so no list grows beyond what the part holds. Nulls don't count.
+    numbers, or with more holes than numbers, have none; so no list grows beyond what the part holds.
+    """
+    low, high, n = F.array_min(held), F.array_max(held), F.size(held)
+    first = F.when((low > 1) & (low <= LEADING), F.lit(1)).otherwise(low)
+    missing = high - first + 1 - n
+    return F.when((n >= LEAST) & (missing > 0) & (missing <= n), F.array_except(F.sequence(first, high), held))
+
+
+def gaps(rows: DataFrame, part: str, number: str) -> DataFrame:
+    """(part, n_missing, missing): numbers absent from the part's sequence; parts without a sure gap are left out. Nulls don't count."""
+    held = rows.where(F.col(number).isNotNull()).groupBy(part).agg(F.array_sort(F.collect_set(F.col(number).cast("long"))).alias("held"))  # at most a part's numbers
+    return held.select(part, holes(F.col("held")).alias("lost")).where("lost is not null").select(part, F.size("lost").alias("n_missing"), F.array_join("lost", ",").alias("missing"))
+
+
+def missing_tracks(rows: DataFrame, part: str, name: str, track: str) -> DataFrame:
+    """(part, by, n_missing, missing): files that a part lacks by the names and tracks of those it has; parts without a sure gap are left out.
+
+    ``total``: every name has an ``N of M`` mark with one M, and their numbers, ranges included, cover 1..M at most once and
+    nothing beyond; what isn't covered is missing, also at the end, unless that is more than what is there. That no number is
+    covered twice shows in the sum of the ranges' lengths, which then is the size of their union. Otherwise ``track``: all tracks
+    are known and distinct, or ``name``: all names have a number of their own in front (after a word like ``Chapter``, if it is
+    the same for all), and these have ``holes``. A part's summary is combined before it moves; numbers of marks have three
+    digits, which bounds its sets.
+    """
+    mark = F.get(F.filter(names.part_marks(F.col(name)), lambda m: m["total"].isNotNull()), F.lit(0))
+    low, high = F.col("_m.index"), F.coalesce("_m.end", "_m.index")
+    single = lambda n: F.when(F.size(names.track_index(n)["components"]) == 1, names.track_index(n)["components"][0]).cast("long")
+    text = F.coalesce(F.col(name), F.lit(""))
+    plain = rows.select(part, F.col(track).cast("long").alias("_t"), mark.alias("_m"), single(text).alias("_plain"), single(names.without_leading_word(text)).alias("_after"), F.when(names.stripped(text) != "", names.leading_word(text)).alias("_word"), (names.stripped(text) != "").alias("_some"))
+    numbers = lambda c: F.array_sort(F.collect_set(c))
+    sums = plain.groupBy(part).agg(
+        F.count("*").alias("n"), F.count("_m").alias("marked"), F.min("_m.total").alias("total"), F.max("_m.total").alias("other_total"), F.sum(F.greatest(high - low + 1, F.lit(0))).alias("length"),
+        F.collect_set(F.when(high >= low, F.struct(low.alias("low"), high.alias("high")))).alias("ranges"), numbers("_t").alias("tracks"), F.count("_t").alias("n_tracks"), numbers("_plain").alias("plain"), F.count("_plain").alias("n_plain"),
+        numbers("_after").alias("after"), F.count("_after").alias("n_after"), F.count(F.when(F.col("_some"), 1)).alias("named"), F.count("_word").alias("worded"), F.min("_word").alias("word"), F.max("_word").alias("other_word"),
+    )
+    covered = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["low"], r["high"]))))
+    sums = sums.withColumn("covered", covered)
+    exact = (F.col("marked") == F.col("n")) & (F.col("total") == F.col("other_total")) & (F.col("length") == F.size("covered")) & (F.coalesce(F.array_max("covered"), F.lit(0)) <= F.col("total"))
+    left = F.array_except(F.when(F.col("total") > 0, F.sequence(F.lit(1), "total")).otherwise(F.array().cast("array<int>")), "covered")
+    shared = (F.col("named") > 0) & (F.col("worded") == F.col("named")) & (F.col("word") == F.col("other_word"))
+    whole = lambda values, count: (F.col(count) == F.col("n")) & (F.size(values) == F.col("n"))
+    by = F.when(exact, "total").when(whole("tracks", "n_tracks"), "track").when(F.when(shared, whole("after", "n_after")).otherwise(whole("plain", "n_plain")), "name")
+    lost = F.when(F.col("by") == "total", F.when(F.size(left) <= F.size("covered"), F.transform(left, lambda x: x.cast("long"))))
+    lost = lost.when(F.col("by") == "track", holes(F.col("tracks"))).when(F.col("by") == "name", holes(F.when(shared, F.col("after")).otherwise(F.col("plain"))))
+    found = sums.withColumn("by", by).select(part, "by", F.array_sort(lost).alias("lost")).where(F.size("lost") > 0)
+    return found.select(part, "by", F.size("lost").alias("n_missing"), F.array_join("lost", ",").alias("missing"))
+
+
+def part_order(rows: DataFrame, part: str, name: str, track: str) -> DataFrame:
+    """``rows`` with their ``place`` from 1 in the part and what it is ``by``; a part whose order isn't sure has null places and ``by`` blocked.
+
+    ``track``: the tracks are exactly 1..n; ``total``: every name has an ``N of M`` mark with M = n and these are exactly 1..n;
+    ``name``: else by the natural order of the names, which must all differ in it. A part of one row is ``single``. A null name
+    counts as empty.
     """
-    held = rows.where(F.col(number).isNotNull()).groupBy(part).agg(F.array_sort(F.collect_set(number)).alias("held"))  # at most a part's numbers
-    low, high, n = F.array_min("held"), F.array_max("held"), F.size("held")
-    first = F.when((low > 1) & (low <= LEADING), F.lit(1).cast(dict(rows.dtypes)[number])).otherwise(low)
-    holes = high - first + 1 - n
-    sure = held.where((n >= LEAST) & (holes > 0) & (holes <= n))
-    lost = F.array_except(F.sequence(first, high), "held")
-    return sure.select(part, F.size(lost).alias("n_missing"), F.array_join(lost, ",").alias("missing"))
+    mark = F.get(F.filter(names.part_marks(F.col(name)), lambda m: m["total"].isNotNull()), F.lit(0))
+    keyed = rows.withColumns({"_mark": mark, "_key": names.natural_key(F.coalesce(F.col(name), F.lit("")))})
+    # of 1..n at most n values that lie in 1..n: a permutation if n differ; by name only the number of kinds counts, which is summed by kind first
+    kinds = keyed.groupBy(part, "_key").agg(F.count("*").alias("_c")).groupBy(part).agg(F.max("_c").alias("_same"))
+    inside = keyed.groupBy(part).agg(
+        F.count("*").alias("_n"), F.count_distinct(track).alias("_tracks"), F.count(track).alias("_tracked"), F.min(track).alias("_t_low"), F.max(track).alias("_t_high"), F.count_distinct("_mark.index").alias("_marks"), F.count("_mark").alias("_marked"),
+        F.min("_mark.index").alias("_m_low"), F.max("_mark.index").alias("_m_high"), F.min("_mark.total").alias("_total"), F.max("_mark.total").alias("_other_total"),
+    )
+    n = F.col("_n")
+    full = lambda kind, count, low, high: (F.col(kind) == n) & (F.col(count) == n) & (F.col(low) == 1) & (F.col(high) == n)
+    by_total = full("_marks", "_marked", "_m_low", "_m_high") & (F.col("_total") == n) & (F.col("_other_total") == n)
+    by = F.when(n == 1, "single").when(full("_tracks", "_tracked", "_t_low", "_t_high"), "track").when(by_total, "total").when(F.col("_same") == 1, "name").otherwise("blocked")
+    judged = keyed.join(inside.join(kinds, part).select(part, by.alias("by")), part)
+    order = F.when(F.col("by") == "track", F.col(track).cast("long")).when(F.col("by") == "total", F.col("_mark.index").cast("long"))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order, "_key"))
+    return judged.withColumn("place", F.when(F.col("by") != "blocked", place)).select(*rows.columns, "place", "by")
 
 
 def shared_parts(left: DataFrame, right: DataFrame, owner: str, part: str, least_percent: int) -> DataFrame:

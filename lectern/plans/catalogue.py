@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import search
+from lectern.functions import names, search
 from lectern.functions import text as fx
 from lectern.operators import edits, files, hierarchy, ranks, votes
 from lectern.plans.registry import query
@@ -79,10 +79,9 @@ def search_rank_nodes(spark, d):
     return all_of.where(low.contains("nation_1")).withColumn("tier", tier).orderBy("tier", "name", "kind").limit(20)
 
 
-@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal, c_custkey) AS INTEGER) AS place FROM customer ORDER BY c_acctbal, c_custkey LIMIT 50")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
 def sort_confidence(spark, d):
-    first = table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy("c_acctbal", "c_custkey").limit(50)
-    return first.select("c_custkey", F.row_number().over(Window.orderBy("c_acctbal", "c_custkey")).alias("place"))
+    return ranks.place(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "place")
 
 
 @query("SELECT l_orderkey, l_partkey, CAST(round(price * 100) AS BIGINT) AS cents FROM (SELECT l_orderkey, l_partkey, max(l_extendedprice) AS price, row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, l_partkey) AS k FROM lineitem GROUP BY 1, 2) WHERE k <= 2")
@@ -139,12 +138,6 @@ def path_ids(spark, d):
     return rows.select("c_custkey", fx.path_id(F.concat_ws("/", F.lit(""), "r_name", "n_name", "c_name")).alias("id"))
 
 
-@query("""SELECT p_partkey, p_brand || '/' || p_type || '/' || CASE WHEN p_size > 25 THEN '[' || p_size || '] ' ELSE '' END || p_name AS path FROM part""")
-def template_path(spark, d):
-    optional = F.when(F.col("p_size") > 25, F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit("] "))).otherwise("")
-    return table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", F.concat(optional, F.col("p_name"))).alias("path"))
-
-
 @query("SELECT p_brand || '/' || p_type || '/' || p_name AS path, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
 def target_collisions(spark, d):
     path = F.concat_ws("/", "p_brand", "p_type", "p_name").alias("path")
@@ -233,10 +226,10 @@ def election_ordered_ties(spark, d):
     return votes.elect(table(spark, d, "events"), "user_id", "event_type", weight, tie=F.col("event_id")).drop("share")
 
 
-@query("""SELECT c_nationkey, c_mktsegment AS winner, n AS weight, CAST(t AS BIGINT) AS total, c AS candidates FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS k,
-sum(count(*)) OVER (PARTITION BY c_nationkey) AS t, count(*) OVER (PARTITION BY c_nationkey) AS c FROM customer GROUP BY 1, 2) WHERE k = 1 AND n * 100 >= t * 25""")
+@query("""SELECT o_custkey, o_orderstatus AS winner, n AS weight, CAST(t AS BIGINT) AS total, c AS candidates FROM (SELECT o_custkey, o_orderstatus, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) AS k,
+sum(count(*)) OVER (PARTITION BY o_custkey) AS t, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders GROUP BY 1, 2) WHERE k = 1 AND n * 100 >= t * 75""")
 def artist_consensus(spark, d):
-    return votes.consensus(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", 25).drop("share")
+    return votes.consensus(table(spark, d, "orders"), "o_custkey", "o_orderstatus", 75).drop("share")
 
 
 @query("""WITH v AS (SELECT c_nationkey, c_mktsegment AS value, trim(regexp_replace(lower(c_mktsegment), '\\s+', ' ', 'g')) AS key, CAST(round(c_acctbal * 100) AS BIGINT) AS w,
@@ -265,17 +258,6 @@ def author_consensus_providers(spark, d):
 # --- matching and ranking
 
 
-@query("""WITH t AS (SELECT p_partkey, p_size, list_distinct(string_split(p_name || ' ' || lower(p_brand) || ' ' || lower(p_type), ' ')) AS w FROM part), s AS (SELECT p_partkey % 50 AS m, * FROM t)
-SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(len(list_intersect(a.w, b.w)) * 1000 // len(list_distinct(list_concat(a.w, b.w))) AS BIGINT) AS permille FROM s a JOIN s b ON a.p_size = b.p_size AND a.m = b.m AND a.p_partkey < b.p_partkey""")
-def match_score(spark, d):
-    tokens = F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_brand"), F.lower("p_type")), " "))
-    rows = table(spark, d, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 50).alias("m"), tokens.alias("w"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    score = F.floor(F.size(F.array_intersect("a.w", "b.w")) * 1000 / F.size(F.array_union("a.w", "b.w")))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), score.cast("long").alias("permille"))
-
-
 def part_sets(spark: SparkSession, d: str) -> DataFrame:
     """(p_partkey, p_size, w, id): each part's sorted token set, named by the first part of its size band that has it."""
     tokens = F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "p_name", F.lower("p_brand"), F.lower("p_type")), " ")))
@@ -294,7 +276,7 @@ def match_score_members(spark, d):
 
 @query(f"""WITH {PART_SETS_SQL} SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.w, b.w)) * 1000 // len(list_distinct(list_concat(a.w, b.w))) AS BIGINT) AS permille
 FROM s a JOIN s b ON a.p_size = b.p_size AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) > 0""")
-def match_score_sets(spark, d):
+def match_score(spark, d):
     """All pairs of distinct sets of a size band that share a token (others score 0); match_score_members names their parts."""
     sets = part_sets(spark, d).where("p_partkey = id").select("p_size", "id", F.size("w").alias("n"), F.explode("w").alias("token"))
     side = lambda s: sets.select("p_size", "token", F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
@@ -302,48 +284,22 @@ def match_score_sets(spark, d):
     return shared.select("a", "b", F.floor(F.col("shared") * 1000 / (F.col("n_a") + F.col("n_b") - F.col("shared"))).cast("long").alias("permille"))
 
 
-@query("SELECT l_partkey, l_suppkey, k FROM (SELECT l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY min(abs(l_extendedprice - 20000)), l_suppkey) AS INTEGER) AS k FROM lineitem GROUP BY 1, 2) WHERE k <= 3")
-def rank_candidates(spark, d):
-    best = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.abs(F.col("l_extendedprice") - 20000)).alias("gap"))
-    return best.withColumn("k", F.row_number().over(Window.partitionBy("l_partkey").orderBy("gap", "l_suppkey"))).where("k <= 3").drop("gap")
-
-
-@query("SELECT o_orderkey, CAST(round(abs(o_totalprice - 150000) * 100) AS BIGINT) AS gap FROM orders ORDER BY gap, o_orderkey LIMIT 25")
-def runtime_closeness(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", cents(F.abs(F.col("o_totalprice") - 150000)).alias("gap")).orderBy("gap", "o_orderkey").limit(25)
-
-
-@query("SELECT s_name, CAST(row_number() OVER (ORDER BY regexp_replace(s_name, '[0-9]+$', ''), CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT)) AS INTEGER) AS place FROM supplier ORDER BY place LIMIT 100")
-def natural_sort(spark, d):
-    keys = F.regexp_replace("s_name", "[0-9]+$", ""), F.regexp_extract("s_name", "([0-9]+)$", 1).cast("long")
-    first = table(spark, d, "supplier").select("s_name", keys[0].alias("a"), keys[1].alias("b")).orderBy("a", "b").limit(100)
-    return first.select("s_name", F.row_number().over(Window.orderBy("a", "b")).alias("place"))
-
-
-# The queries above that keep the first rows only, over all rows.
-
-
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
-def sort_confidence_all(spark, d):
-    return ranks.place(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "place")
-
-
 @query("SELECT l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY min(abs(l_extendedprice - 20000)), l_suppkey) AS INTEGER) AS k FROM lineitem GROUP BY 1, 2")
-def rank_candidates_all(spark, d):
+def rank_candidates(spark, d):
     best = table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.abs(F.col("l_extendedprice") - 20000)).alias("gap"))
     return best.withColumn("k", F.row_number().over(Window.partitionBy("l_partkey").orderBy("gap", "l_suppkey"))).drop("gap")
 
 
 @query("SELECT *, row_number() OVER (ORDER BY gap, o_orderkey) AS place FROM (SELECT o_orderkey, CAST(round(abs(o_totalprice - 150000) * 100) AS BIGINT) AS gap FROM orders)")
-def runtime_closeness_all(spark, d):
+def runtime_closeness(spark, d):
     return ranks.place(table(spark, d, "orders").select("o_orderkey", cents(F.abs(F.col("o_totalprice") - 150000)).alias("gap")), ["gap", "o_orderkey"])
 
 
-@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY regexp_replace(c_name, '[0-9]+$', ''), CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT), c_custkey) AS place FROM customer")
-def natural_sort_all(spark, d):
-    keys = F.regexp_replace("c_name", "[0-9]+$", ""), F.regexp_extract("c_name", "([0-9]+)$", 1).cast("long")
-    rows = table(spark, d, "customer").select("c_custkey", "c_name", keys[0].alias("a"), keys[1].alias("b"))
-    return ranks.place(rows, ["a", "b", "c_custkey"]).select("c_custkey", "c_name", "place")
+@query("""SELECT c_custkey, 'v' || c_nationkey || ' ' || c_name AS name, row_number() OVER (ORDER BY c_nationkey, regexp_replace(c_name, '[0-9]+$', ''), CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT), c_custkey) AS place FROM customer""")
+def natural_sort(spark, d):
+    name = F.concat(F.lit("v"), F.col("c_nationkey").cast("string"), F.lit(" "), "c_name")
+    rows = table(spark, d, "customer").select("c_custkey", name.alias("name"), names.natural_key(name).alias("key"))
+    return ranks.place(rows, ["key", "c_custkey"]).select("c_custkey", "name", "place")
 
 
 # --- windows over files and events
@@ -369,18 +325,10 @@ def keep_first_dedup(spark, d):
     return keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("key")
 
 
-@query("""WITH x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT o, count(*) AS n FROM x GROUP BY 1)
-SELECT a.o AS a, b.o AS b, count(*) AS shared, any_value(sa.n) + any_value(sb.n) - count(*) AS united FROM x a JOIN x b ON a.p = b.p AND a.o % 2 = 0 AND b.o % 2 = 1 JOIN s sa ON sa.o = a.o JOIN s sb ON sb.o = b.o
-GROUP BY 1, 2 HAVING count(*) * 100 >= (any_value(sa.n) + any_value(sb.n) - count(*)) * 30""")
-def jaccard_reassociate(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    return files.shared_parts(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), "l_orderkey", "l_partkey", 30)
-
-
 @query("""WITH x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber % 7 <> 0), y AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber % 5 <> 0),
 sx AS (SELECT o, count(*) AS n FROM x GROUP BY 1), sy AS (SELECT o, count(*) AS n FROM y GROUP BY 1)
 SELECT x.o AS a, y.o AS b, count(*) AS shared, any_value(sx.n) + any_value(sy.n) - count(*) AS united FROM x JOIN y ON x.p = y.p JOIN sx ON sx.o = x.o JOIN sy ON sy.o = y.o GROUP BY 1, 2""")
-def jaccard_reassociate_all(spark, d):
+def jaccard_reassociate(spark, d):
     """Every pair of an order of one snapshot and one of the other that shares a part, before the greedy one-to-one choice."""
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     return files.shared_parts(rows.where("l_linenumber % 7 <> 0"), rows.where("l_linenumber % 5 <> 0"), "l_orderkey", "l_partkey", 0)

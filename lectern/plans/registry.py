@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Modules of this package that hold queries.
+MODULES = ("catalogue", "identification", "naming")
 
 
 def query(sql: str | None) -> Callable:
@@ -20,3 +23,15 @@ def query(sql: str | None) -> Callable:
         return f
 
     return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """All queries by name, in the order of their modules."""
+    for name in MODULES:
+        importlib.import_module(f"lectern.plans.{name}")
+    return dict(QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    queries()
+    return dict(ORACLES)
