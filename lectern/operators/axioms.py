@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lectern.functions import names, quality
 from lectern.functions import text as fx
 from lectern.operators import trees
+from lectern.operators.steps import Steps
 
 # Weights of the votes, in the order of what beats what.
 WEIGHTS = {
@@ -46,13 +47,16 @@ class Library:
     overrides: DataFrame
     author_depth: int | None = 1
     modal_author_depth: int | None = field(init=False)
+    steps: Steps = field(init=False)
 
     def __post_init__(self) -> None:
         modal = trees.modal_title_depth(self.nodes)
         self.modal_author_depth = None if modal is None else modal - 1
         known = self.franchises.groupBy(fx.entity_key(F.col("name")).alias("key")).agg(F.min("name").alias("franchise"))
         plain = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " "))
-        self.nodes = self.nodes.withColumn("key", fx.entity_key(F.col("name"))).join(known, "key", "left").withColumn("collection", plain.isin(*SHELVES))
+        self.steps = Steps(self.nodes.sparkSession)
+        self.nodes = self.steps.keep(self.nodes.withColumn("key", fx.entity_key(F.col("name"))).join(known, "key", "left").withColumn("collection", plain.isin(*SHELVES)))
+        self.books = self.steps.keep(self.books)
         self.all_series = fx.entity_key(F.col("series"))
 
     def votes_of(self, rows: DataFrame, axiom: str, kind: Column | str, weight: Column | float, reason: Column | str, value: Column | None = None, hard: bool = False) -> DataFrame:
@@ -225,7 +229,7 @@ def resolve(nodes: DataFrame, votes: DataFrame, overrides: DataFrame) -> DataFra
 
 def classify(lib: Library) -> DataFrame:
     """Every node's kind by the votes of all axioms."""
-    votes = reduce(DataFrame.unionByName, (axiom(lib) for axiom in AXIOMS))
+    votes = lib.steps.keep(reduce(DataFrame.unionByName, (axiom(lib) for axiom in AXIOMS)))
     return resolve(lib.nodes.select("node", "name"), votes, lib.overrides)
 
 

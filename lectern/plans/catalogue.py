@@ -244,12 +244,6 @@ def field_resolve(spark, d):
     return votes.resolve_field(rows, "c_nationkey", "c_mktsegment", "cents", "c_name", "hard", "c_custkey")
 
 
-@query("""SELECT lower(p_type) AS key, arg_min(p_type, p_partkey) AS display, count(*) AS n FROM part GROUP BY 1""")
-def canonical_display(spark, d):
-    rows = table(spark, d, "part").select(F.lower("p_type").alias("key"), "p_partkey", F.col("p_type").alias("display"))
-    return rows.groupBy("key").agg(F.min_by("display", "p_partkey").alias("display"), F.count("*").alias("n"))
-
-
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY 1 HAVING count(DISTINCT source) >= 2")
 def author_consensus_providers(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources")).where("n_sources >= 2")
@@ -422,18 +416,6 @@ def identity_confidence(spark, d):
     return table(spark, d, "labels").select("doc_id", F.bround(score).cast("long").alias("confidence"))
 
 
-@query("SELECT event_type AS phase, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY 1")
-def phase_funnel(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("phase")).agg(F.count_distinct("user_id").alias("n_users"), F.count("*").alias("n"))
-
-
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') AND sum(value) > 500 THEN 'ready' WHEN bool_or(event_type = 'purchase') THEN 'identified' WHEN count(*) > 3 THEN 'needs_review' ELSE 'detected' END AS state FROM events GROUP BY 1""")
-def state_machine(spark, d):
-    bought = F.bool_or(F.col("event_type") == "purchase").alias("bought")
-    rows = table(spark, d, "events").groupBy("user_id").agg(bought, F.sum("value").alias("spent"), F.count("*").alias("n"))
-    return rows.select("user_id", F.when(F.col("bought") & (F.col("spent") > 500), "ready").when(F.col("bought"), "identified").when(F.col("n") > 3, "needs_review").otherwise("detected").alias("state"))
-
-
 @query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS starts, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     return windows.tumbling_counts(table(spark, d, "events"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Modules of this package that hold queries.
-MODULES = ("catalogue", "identification", "naming")
+MODULES = ("catalogue", "identification", "naming", "library")
 
 
 def query(sql: str | None) -> Callable:

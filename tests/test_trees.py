@@ -1,11 +1,13 @@
 """Passes over trees against brute force, and the kinds of folders in literal libraries."""
 
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import axioms, trees
+from lectern.plans import library as queries
 
 BOOKS = "book int, node string, title string, title_prov string, authors array<string>, authors_prov string, series string, series_prov string, sequence double, label string, stem string, n_files long"
 
@@ -112,3 +114,50 @@ def test_authors_are_handed_down(spark):
     manual = library(spark, rows, overrides=[("/Ann Lee/Shelf", "author", "Someone")])
     got = {r["book"]: (r["author"], r["by"]) for r in axioms.fill_down(manual.books, manual.nodes, axioms.classify(manual)).collect()}
     assert got[5] == ("Someone", "manual")
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_equal_an_election_and_a_walk_up(spark):
+    lib = queries.node_library(spark, SF)
+    cast = functools.reduce(lambda a, b: a.unionByName(b), (axiom(lib) for axiom in axioms.AXIOMS)).collect()
+    nodes = {r["node"]: r for r in lib.nodes.collect()}
+    chosen = {r["node"]: r["kind"] for r in lib.overrides.collect()}
+    votes = {}
+    for v in sorted(cast, key=lambda v: v["axiom"]):
+        votes.setdefault(v["node"], []).append(v)
+    kinds, want = {}, {}
+    for node, row in nodes.items():
+        own = votes.get(node, [])
+        hard = [v for v in own if v["hard"]]
+        total = {}
+        for v in own:
+            total[v["kind"]] = total.get(v["kind"], 0.0) + v["weight"]
+        if hard:
+            best = max([v for v in hard if v["kind"] == chosen.get(node)] or hard, key=lambda v: v["weight"])
+            kind, value, share = best["kind"], best["value"], 1.0
+        else:
+            kind = max(axioms.KINDS, key=lambda k: total.get(k, 0.0)) if own else "container"
+            valued = [v for v in own if v["kind"] == kind and v["value"]]
+            value = max(valued, key=lambda v: v["weight"])["value"] if valued else row["name"] if kind in ("author", "series") else None
+            share = round(total[kind] / sum(total.values()), 2) if own else 0.0
+        evidenced = any(v["value"] for v in own if v["kind"] == kind)
+        kinds[node] = (kind, value, evidenced, bool(hard), "manual" if hard and node in chosen else "matched" if hard else "")
+        want[node] = (kind, value, share)
+    got = {r["node"]: (r["kind"], r["value"], r["confidence"]) for r in queries.node_kinds(spark, SF).collect()}
+    assert got == want and len({k for k, *_ in got.values()}) >= 4
+
+    def above(node):
+        while node is not None:
+            yield node
+            node = nodes[node]["parent"]
+
+    filled = {r["book"]: r for r in queries.handed_down(spark, SF).collect()}
+    for b in lib.books.collect():
+        people = [n for n in above(b["node"]) if kinds[n][0] == "author" and kinds[n][1] and (nodes[n]["depth"] or kinds[n][3])]
+        best = next((n for n in people if kinds[n][2]), people[0] if people else None)
+        layout = next((nodes[n]["name"] for n in above(b["node"]) if nodes[n]["depth"] == 2 and kinds[n][0] not in ("franchise", "series", "container", "title")), None)
+        author = None if b["authors"] else kinds[best][1] if best else layout
+        assert filled[b["book"]]["author"] == author, b
+    assert len({r["author"] for r in filled.values()}) > 5 and len(filled) == lib.books.count()
