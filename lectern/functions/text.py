@@ -1,13 +1,11 @@
-"""Column functions over names, codes, people lists, durations and paths. All stay in the JVM, but for accents in ``entity_key``."""
+"""Column functions over names, codes, people lists, durations and paths. All stay in the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed value: words that a title keeps in lower case except first, last and after a colon or dash.
 SMALL_WORDS = (
@@ -20,21 +18,36 @@ SMALL_WORDS = (
 PARTICLES = ("mc", "mac", "o", "de", "di", "du", "la", "le", "van", "von", "der", "den", "st", "fitz")
 
 
-@F.arrow_udf(StringType())
-def _without_accents(name: pa.Array) -> pa.Array:
-    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-    return pa.array([None if x is None else plain(x) for x in name.to_pylist()], pa.string())
+def _folded() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters whose compatibility form is one character and marks, what stays of each, and Latin ones whose form is several characters."""
+    one, to, several = [], [], []
+    for c in map(chr, [*range(0xA0, 0x3130), *range(0xA640, 0xA7FF), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFF0)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and len(plain) == 1:
+            one.append(c)
+            to.append(plain)
+        elif len(plain) > 1 and plain.isalpha() and unicodedata.name(c, "").startswith("LATIN"):
+            several.append((c, plain))
+    return "".join(one), "".join(to), several
+
+
+def without_accents(name: Column) -> Column:
+    """Letters without their accents: of the alphabets up to U+312F, with full-width forms and Latin ligatures; others stay as they are."""
+    one, to, several = _folded()
+    plain = F.translate(F.regexp_replace(name, r"\p{Mn}", ""), one, to)
+    for c, text in several:
+        plain = F.replace(plain, F.lit(c), F.lit(text))
+    return plain
 
 
 def entity_key(name: Column) -> Column:
     """Comparison key of a name: ``Last, First`` turned round, accents dropped, camel case split except after a particle,
     punctuation to spaces, single letters in a row joined, lower case. Letters of any script stay; null gives null.
 
-    Only names with characters beyond ASCII pass through Python.
+    Accents are dropped in the JVM; ASCII names skip that.
     """
     turned = F.regexp_replace(F.trim(name), r"^([^,]*),\s*(.*)$", "$2 $1")
-    other = turned.rlike(r"[^\x00-\x7F]")
-    plain = F.when(other, _without_accents(F.when(other, turned))).otherwise(turned)
+    plain = F.when(turned.rlike(r"[^\x00-\x7F]"), without_accents(turned)).otherwise(turned)
     spaced = F.regexp_replace(plain, rf"(?<=\p{{Ll}})(?<!(?i:\b(?:{'|'.join(PARTICLES)})))(?=\p{{Lu}})", " ")
     words = F.trim(F.lower(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " ")))
     return F.regexp_replace(words, r"(?<![\p{L}\p{N}])([\p{L}\p{N}]) (?=[\p{L}\p{N}](?![\p{L}\p{N}]))", "$1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import triage
 from lectern.operators import axioms, cohorts, entities, phases, titles, trees
 from lectern.plans.naming import LINES_SQL, lines
 from lectern.plans.registry import query
@@ -223,3 +224,20 @@ def title_verdict(spark, d):
     books = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), folder.alias("folder"), F.array("p_brand").alias("authors"), F.col("p_type").alias("series"), F.lit(None).cast("string").alias("franchise"))
     files = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("at")).withColumn("stem", F.concat(F.lit("Chapter "), F.col("at").cast("string")))
     return titles.verdicts(books, files, "p_partkey", "at").select("p_partkey", "verdict", F.array_join("sources", ",").alias("sources"), "suggested")
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN o_custkey % 3 > 0 THEN o_totalprice / 5000 ELSE (o_orderkey % 100) * 1.0 END AS sure, ['tag', 'directory', 'audible'][o_orderkey % 3 + 1] AS source FROM orders)
+SELECT o_orderkey AS book, CASE WHEN sure >= 75 THEN 'high' WHEN sure >= 40 THEN 'mid' ELSE 'low' END AS bucket, CASE source WHEN 'audible' THEN 'match' ELSE source END AS tiers,
+concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'series' END, CASE WHEN o_orderkey % 5 = 0 THEN 'cover' END, 'ident', CASE WHEN o_orderkey % 4 = 1 THEN 'narrator' END, CASE WHEN o_orderkey % 7 = 0 THEN 'year' END) AS missing
+FROM b WHERE o_orderstatus IN ('O', 'P') AND sure < 75 AND source <> 'tag' AND (o_orderkey % 4 = 0 OR o_orderkey % 7 = 0)""")
+def facet_books(spark, d):
+    """Orders as books through four facets, with their bands, tiers and missing fields."""
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    text = lambda where, v: F.when(where, F.lit(v))
+    books = table(spark, d, "orders").select(
+        k.alias("book"), F.col("o_orderstatus").alias("state"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_totalprice") / 5000).otherwise(0.0).alias("confidence"), (k % 100).cast("double").alias("identity_confidence"), nth(("tag", "directory", "audible"), k % 3).alias("authors_prov"), none.alias("series_prov"),
+        F.when(k % 4 > 0, F.array(F.lit("s"))).alias("series"), F.when(k % 4 != 1, F.array(F.lit("n"))).alias("narrators"), text(k % 5 > 0, "c").alias("cover"), none.alias("asin"), none.alias("isbn"), text(k % 7 > 0, 2000).alias("year"),
+        F.array().cast("array<string>").alias("findings"), F.array().cast("array<string>").alias("acknowledged"), F.lit(False).alias("missing"),
+    )
+    wanted = triage.facets({"state": ["O", "P"], "confidence": ["low", "mid"], "id_trust": ["directory", "match"], "missing": ["series", "year"]})
+    return books.where(wanted).select("book", triage.confidence_bucket().alias("bucket"), F.array_join(triage.identity_tiers(), ",").alias("tiers"), F.array_join(triage.missing_fields(), ",").alias("missing"))
