@@ -16,7 +16,8 @@ parse over words instead of bytes: triggers cut the words into phrases, and wher
 windows of 51 words are compared.
 
 Defined results: null text counts as empty; texts under ``LENGTH`` bytes lose nothing; overlapping occurrences in one
-document count; strings are judged on the input; extra columns are ignored.
+document count; strings are judged on the input; extra columns are ignored. Rows with an equal or no doc_id are documents of
+their own.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bitmaps import bitmap, holds
+from lectern.llm.lines import named
 from lectern.llm.storage import Scratch, kept
 from lectern.llm.text import U64, blocks, powers, rolling, signed, tidy, window_hash, words
 
@@ -224,8 +226,18 @@ def sharing(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs, digest of what is kept, 1 if it shares a passage, and what is kept."""
+    scratch = Scratch(docs.sparkSession)
+    docs, row = named(docs.select("doc_id", "text"), scratch)
+    if row != "doc_id":
+        out = removed(docs.select(F.col(row).alias("doc_id"), "text"), scratch)
+        return out.join(docs.select(F.col(row).alias("_row"), F.col("doc_id").alias("_own")), F.col("doc_id") == F.col("_row")).withColumn("doc_id", F.col("_own")).drop("_row", "_own")
+    return removed(docs, scratch)
+
+
+def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``remove`` for rows with ids of their own."""
     by_doc = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("starts"))  # at most a document's windows
-    by_doc = by_doc.join(sharing(docs, Scratch(docs.sparkSession)).withColumn("shares", F.lit(1)), "doc_id", "full")
+    by_doc = by_doc.join(sharing(docs, scratch).withColumn("shares", F.lit(1)), "doc_id", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -82,3 +82,13 @@ def test_shared_passages(spark):
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["shares_passage"] for r in repeats.remove(rows).collect()}
     assert {d for d, x in got.items() if x} == want and set(got) == set(docs)
+
+
+def test_rows_with_equal_or_no_ids_are_documents_of_their_own(spark):
+    rnd = random.Random(8)
+    long, other = ("".join(rnd.choice("abcdef ") for _ in range(n)) for n in (900, 5000))
+    rows = [(1, long), (1, "short"), (2, long), (3, other), (3, other[:100]), (None, long), (None, other[:450]), (None, None)]
+    want = brute(dict(enumerate(t for _, t in rows)))
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=key) == sorted(((d, *want[i]) for i, (d, _) in enumerate(rows)), key=key)
