@@ -6,11 +6,12 @@ whole in one window and containment becomes a Jaccard similarity that one-row Mi
 item contained to 75 % is missed with a probability below (1 - 0.176) ** 40 < 0.0005. Every candidate is verified by exact
 containment of the item's shingles in the whole document.
 
-The items' signatures are broadcast if they number at most ``BROADCAST_ITEMS``; beyond that, documents and items meet in a
-shuffle on the signature, with the same result.
+The items are broadcast if they take at most ``BROADCAST_BYTES``; beyond that, documents and items meet in a shuffle on the
+signature, with the same result.
 
 Defined results: null and empty texts, and items without words, match nothing; an item of fewer than five words matches only
-texts that are that sequence; repeated items and documents each give their own rows; extra columns are ignored.
+texts that are that sequence; repeated items and documents give their rows once, those without an id rows of a null id; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from lectern.llm.text import U64, blocks, distinct, mix, shingles, signed, tidy,
 
 HASHES = 40
 PERCENT = 75
-#: Most shingles of all items for the broadcast path: 8 MB of hashes and their signatures.
-BROADCAST_ITEMS = 1_000_000
+#: Most bytes of items for the broadcast path: 8 for each word, 16 for each of an item's signatures.
+BROADCAST_BYTES = 16 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | U64(1)
 SALTS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -137,7 +138,7 @@ def _with_broadcast(docs: DataFrame, items: Items) -> DataFrame:
             if out:
                 yield _hits(out)
 
-    return docs.mapInArrow(tidy(run), HIT_SCHEMA)
+    return docs.mapInArrow(tidy(run), HIT_SCHEMA).distinct()
 
 
 def _with_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -170,14 +171,18 @@ def _with_shuffle(docs: DataFrame, bench: DataFrame) -> DataFrame:
             yield _hits(out)
 
     pairs = docs.mapInArrow(of_docs, "doc_id long, signature long").join(known.select("item_id", "signature"), "signature").select("doc_id", "item_id").distinct()
-    texts = pairs.join(docs, "doc_id").join(bench.withColumnRenamed("text", "item_text"), "item_id")
+    own, items = docs.withColumnRenamed("doc_id", "_doc"), bench.withColumnsRenamed({"text": "item_text", "item_id": "_item"})
+    texts = pairs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(items, F.col("item_id").eqNullSafe(F.col("_item")))
     return texts.select("doc_id", "item_id", "text", "item_text").mapInArrow(verify, HIT_SCHEMA).distinct()
 
 
-def contamination(docs: DataFrame, bench: DataFrame, most_broadcast: int = BROADCAST_ITEMS) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every document that holds an item to ``PERCENT``."""
+def contamination(docs: DataFrame, bench: DataFrame, most_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every document that holds an item to ``PERCENT``; equal rows stand once.
+
+    Items of at most ``most_broadcast`` bytes are broadcast, more of them are shuffled, with the same rows.
+    """
     docs, bench = docs.select("doc_id", "text"), bench.select("item_id", "text").where(F.col("text").isNotNull())
-    size = bench.select(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+    size = bench.select(F.coalesce(F.sum(8 * F.size(F.split("text", r"\s+")) + 16 * HASHES), F.lit(0))).first()[0]
     if size <= most_broadcast:
         rows = [(r["item_id"], r["text"]) for r in bench.collect()]
         column = pa.array([t for _, t in rows], pa.string())

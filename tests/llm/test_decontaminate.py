@@ -40,3 +40,11 @@ def test_empty_tables(spark):
     a = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(a, b).count() == 0
+
+
+def test_repeated_and_null_ids_give_the_same_both_ways(spark):
+    text, item = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(10, 30))
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "other words"), (None, text), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "w1 w2"), (None, item)], "item_id long, text string")
+    got = [sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontaminate.contamination(docs, bench, most).collect()), key=repr) for most in (10**6, 0)]
+    assert got[0] == got[1] == sorted([(d, i, 16, 16) for d in (1, None) for i in (7, None)], key=repr)
