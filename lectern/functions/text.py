@@ -53,8 +53,8 @@ def entity_key(name: Column) -> Column:
     return F.regexp_replace(words, r"(?<![\p{L}\p{N}])([\p{L}\p{N}]) (?=[\p{L}\p{N}](?![\p{L}\p{N}]))", "$1")
 
 
-def title_case(text: Column) -> Column:
-    """Capitalised words, small ones in lower case except first, last and after a colon or dash.
+def title_case(text: Column, small_words: bool = True) -> Column:
+    """Capitalised words, small ones in lower case except first, last and after a colon or dash; names have no small words.
 
     Underscores and hyphens inside words become spaces, a hyphen beside white space a dash, commas get one space after them.
     """
@@ -64,7 +64,7 @@ def title_case(text: Column) -> Column:
     cap = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
     before = lambda i: F.coalesce(F.get(words, i - 1), F.lit(":"))
     small = lambda w, i: F.lower(w).isin(*SMALL_WORDS) & (i < F.size(words) - 1) & ~before(i).endswith(":") & (before(i) != "-")
-    return F.array_join(F.transform(words, lambda w, i: F.when(small(w, i), F.lower(w)).otherwise(cap(w))), " ")
+    return F.array_join(F.transform(words, (lambda w, i: F.when(small(w, i), F.lower(w)).otherwise(cap(w))) if small_words else cap), " ")
 
 
 def isbn13(nine: Column) -> Column:

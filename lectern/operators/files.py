@@ -104,3 +104,35 @@ def shared_parts(left: DataFrame, right: DataFrame, owner: str, part: str, least
     both = a.withColumnRenamed(owner, "a").join(b.withColumnRenamed(owner, "b"), part).groupBy("a", "b").agg(F.count("*").alias("shared"))
     full = both.join(size(a, "n_a").withColumnRenamed(owner, "a"), "a").join(size(b, "n_b").withColumnRenamed(owner, "b"), "b")
     return full.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * least_percent).select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("united"))
+
+
+# Upper bounds of bitrate tiers in kbit/s.
+TIERS = (64, 96, 128, 192, 256)
+
+
+def bitrate_tier(bitrate: Column) -> Column:
+    """Tier of a bitrate in bit/s, to the nearest 8 kbit/s, so that what a variable rate reports stays in one."""
+    kbps = F.bround(bitrate / 8000) * 8
+    return F.size(F.filter(F.array(*map(F.lit, TIERS)), lambda t: t < kbps))
+
+
+def mixed_quality(rows: DataFrame, part: str) -> DataFrame:
+    """(part, detail): parts whose files of known bitrate differ in tier, codec, sample rate or channels. Bitrates of 0 and null aren't known."""
+    known = rows.where(F.col("bitrate") > 0)
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    tier = bitrate_tier(F.col("bitrate"))
+    uniform = F.min(tier) == F.max(tier)
+    for c in ("codec", "sample_rate", "channels"):
+        uniform = uniform & (F.min(plain(c)) == F.max(plain(c)))
+    kbps = F.bround(F.col("bitrate") / 1000).cast("long").cast("string")
+    sums = known.groupBy(part).agg(uniform.alias("uniform"), F.array_sort(F.collect_set(F.when(F.col("codec") != "", F.col("codec")))).alias("codecs"), F.min_by(kbps, "bitrate").alias("low"), F.max_by(kbps, "bitrate").alias("high"))
+    mixed = F.concat(F.lit("files mix formats ("), F.array_join("codecs", " + "), F.lit(")"))
+    return sums.where(~F.col("uniform")).select(part, F.when(F.size("codecs") > 1, mixed).otherwise(F.concat(F.lit("files span "), "low", F.lit("-"), "high", F.lit(" kbps"))).alias("detail"))
+
+
+def chapters(rows: DataFrame, part: str, start: str, total: str, order: str, shift: int = 0) -> DataFrame:
+    """``rows`` with ``place``, ``begin`` and ``end``: starts moved by ``shift`` and held within 0 and the part's total, in their order, each ending where the next one starts, the last at the total."""
+    begin = F.least(F.greatest(F.col(start) + shift, F.lit(0)), F.col(total))
+    own = Window.partitionBy(part).orderBy("begin", order)
+    met = rows.withColumn("begin", begin)
+    return met.withColumns({"place": F.row_number().over(own), "end": F.greatest(F.coalesce(F.lead("begin").over(own), F.col(total)), F.col("begin"))})

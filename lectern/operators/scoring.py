@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import quality, titles
 from lectern.functions import similarity as sim
 from lectern.functions import text as fx
 
@@ -120,3 +121,21 @@ def similar_pairs(rows: DataFrame, key: str, name: str, block: list[str], least:
     by_words = shared >= F.lit(least) * (F.size("_wa") + F.size("_wb") - shared)
     open_pairs = both.where((sim.length_bound(F.col("_a"), F.col("_b")) >= least) | by_words)
     return open_pairs.select("a", "b", sim.ratio_from("_a", "_b", F.lit(least)).alias("score")).where(F.col("score") >= least)
+
+
+def identity_confidence(authors: Column, authors_from: Column, author_folder: Column, series: Column, series_from: Column, series_folder: Column, title: Column, verdict: Column) -> Column:
+    """How sure a book's local identity is, 0 to 100: by its author or series, whichever is surer, a little more with both.
+
+    A user or a match is sure, a tag nearly; what else a value comes from is as sure as the folder's kind. A junk author counts for
+    less, a title that its surroundings contradict halves, none takes 30 %, and an author that is the title halves. Null arrays
+    and texts are absent; without author and series it is 0.
+    """
+    sure = lambda source, folder: F.when(source.isin("manual", "match"), 1.0).when(source.isin("tag", "datafile"), 0.9).otherwise(F.coalesce(folder, F.lit(0.0)))
+    authored, serial = F.coalesce(F.size(authors) > 0, F.lit(False)), F.coalesce(series != "", F.lit(False))
+    junk = F.array_max(F.transform(authors, quality.author_junk))
+    a = F.when(authored, sure(authors_from, author_folder) * (1.0 - junk)).otherwise(0.0)
+    s = F.when(serial, sure(series_from, series_folder)).otherwise(0.0)
+    base = F.least(F.lit(1.0), F.greatest(a, s) + F.when((a > 0) & (s > 0), 0.1).otherwise(0.0))
+    told = F.when(F.coalesce(title, F.lit("")) == "", 0.7).when(verdict == "contradict", 0.5).otherwise(1.0)
+    echo = F.when(F.coalesce((F.size(authors) == 1) & titles.echoes(F.get(authors, F.lit(0)), title), F.lit(False)), 0.5).otherwise(1.0)
+    return F.bround(base * told * echo * 100).cast("long")

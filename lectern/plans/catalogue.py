@@ -369,9 +369,27 @@ def track_gaps(spark, d):
     return files.gaps(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_flags, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+@query("""WITH l AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) * 6000 AS bitrate, CASE WHEN l_orderkey % 5 = 0 AND l_returnflag = 'R' THEN 'FLAC' ELSE 'MP3' END AS codec FROM lineitem WHERE l_quantity > 2 AND l_orderkey % 2 = 0),
+t AS (SELECT *, CASE WHEN k <= 64 THEN 0 WHEN k <= 96 THEN 1 WHEN k <= 128 THEN 2 WHEN k <= 192 THEN 3 WHEN k <= 256 THEN 4 ELSE 5 END AS tier FROM (SELECT *, round_even(bitrate / 8000, 0) * 8 AS k FROM l))
+SELECT l_orderkey, CASE WHEN count(DISTINCT codec) > 1 THEN 'files mix formats (FLAC + MP3)' ELSE 'files span ' || min(bitrate) // 1000 || '-' || max(bitrate) // 1000 || ' kbps' END AS detail FROM t GROUP BY 1 HAVING count(DISTINCT tier) > 1 OR count(DISTINCT codec) > 1""")
 def mixed_quality(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_returnflag").alias("n_flags"), F.count("*").alias("n")).where("n_flags > 1")
+    """Orders whose lines, as files, are of several qualities; a quantity up to 2 and odd orders are files of unknown quality."""
+    known = (F.col("l_quantity") > 2) & (F.col("l_orderkey") % 2 == 0)
+    codec = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("l_returnflag") == "R"), "FLAC").otherwise("MP3")
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.when(known, F.col("l_quantity").cast("long") * 6000).otherwise(0).alias("bitrate"), codec.alias("codec"), F.lit(44100).alias("sample_rate"), F.lit(2).alias("channels"))
+    return files.mixed_quality(rows, "l_orderkey")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, date_diff('second', min(ts) OVER (PARTITION BY user_id), ts) - 60 AS s, date_diff('second', min(ts) OVER (PARTITION BY user_id), max(ts) OVER (PARTITION BY user_id)) // 2 AS total FROM events),
+c AS (SELECT *, least(greatest(s, 0), total) AS b FROM e)
+SELECT event_id, b AS "begin", greatest(coalesce(lead(b) OVER w, total), b) AS "end", CAST(row_number() OVER w AS INTEGER) AS place FROM c WINDOW w AS (PARTITION BY user_id ORDER BY b, event_id)""")
+def chapters_normalized(spark, d):
+    """Events of a user as chapters that begin a minute early and end at half of the user's time."""
+    own = Window.partitionBy("user_id")
+    second = lambda c: F.unix_timestamp(c)
+    rows = table(spark, d, "events").withColumns({"first": F.min("ts").over(own), "last": F.max("ts").over(own)})
+    rows = rows.select("event_id", "user_id", (second("ts") - second("first")).alias("s"), F.floor((second("last") - second("first")) / 2).alias("total"))
+    return files.chapters(rows, "user_id", "s", "total", "event_id", -60).select("event_id", "begin", "end", "place")
 
 
 @query("SELECT l_orderkey, count(*) AS n_empty FROM lineitem WHERE l_discount = 0 AND l_extendedprice > 65536 GROUP BY 1")
@@ -410,12 +428,6 @@ def combine_primary(spark, d):
     return rows.select("l_orderkey", (-F.col("m.k")).alias("primary_part"), "n_files", "duration")
 
 
-@query("SELECT doc_id, CAST(round_even((CASE WHEN quality = 1 THEN 0.9 ELSE 0.4 END) * (CASE WHEN toxic = 1 THEN 0.5 ELSE 1.0 END) * 100, 0) AS BIGINT) AS confidence FROM labels")
-def identity_confidence(spark, d):
-    score = F.when(F.col("quality") == 1, 0.9).otherwise(0.4) * F.when(F.col("toxic") == 1, 0.5).otherwise(1.0) * 100
-    return table(spark, d, "labels").select("doc_id", F.bround(score).cast("long").alias("confidence"))
-
-
 @query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS starts, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     return windows.tumbling_counts(table(spark, d, "events"))

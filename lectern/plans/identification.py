@@ -67,3 +67,16 @@ def rank_results(spark, d):
     """Every result of every book with its place."""
     found = scoring.ranking(scoring.scored(*candidates(spark, d), "book", "result"), "book", "result")
     return found.select("book", "result", F.round("score", 6).alias("score"), "place")
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN p_size % 7 = 0 THEN 0.0 ELSE CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE (p_partkey % 10) / 10.0 END END::DOUBLE AS a, CASE WHEN p_size % 3 > 0 THEN CASE WHEN p_size % 2 = 0 THEN 0.9 ELSE (p_partkey % 8) / 8.0 END ELSE 0 END::DOUBLE AS s FROM part)
+SELECT p_partkey, CAST(round_even(least(1.0::DOUBLE, greatest(a, s) + CASE WHEN a > 0 AND s > 0 THEN 0.1 ELSE 0.0 END::DOUBLE) * CASE WHEN p_size % 13 = 0 THEN 0.7 WHEN p_size % 5 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE
+* CASE WHEN p_size % 7 > 0 AND p_size % 13 > 0 AND p_size % 11 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE * 100, 0) AS BIGINT) AS confidence FROM b""")
+def identity_confidence(spark, d):
+    """How sure every book's identity is, by where its fields come from and what speaks against them."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    author = F.when(size % 7 == 0, "Chapter 3").otherwise(F.col("p_brand"))
+    title = F.when(size % 13 == 0, None).when(size % 11 == 0, F.concat(F.upper("p_brand"), F.lit("."))).otherwise(F.col("p_name"))
+    source = F.when(size % 4 == 0, "manual").when(size % 4 == 1, "tag").otherwise("directory")
+    score = scoring.identity_confidence(F.array(author), source, (key % 10) / 10, F.when(size % 3 > 0, F.col("p_type")), F.when(size % 2 == 0, "datafile").otherwise("graphing"), (key % 8) / 8, title, F.when(size % 5 == 0, "contradict").otherwise("agree"))
+    return table(spark, d, "part").select("p_partkey", score.alias("confidence"))
