@@ -48,6 +48,7 @@ class Library:
     author_depth: int | None = 1
     modal_author_depth: int | None = field(init=False)
     steps: Steps = field(init=False)
+    sums: DataFrame = field(init=False)
 
     def __post_init__(self) -> None:
         modal = trees.modal_title_depth(self.nodes)
@@ -58,17 +59,32 @@ class Library:
         self.nodes = self.steps.keep(self.nodes.withColumn("key", fx.entity_key(F.col("name"))).join(known, "key", "left").withColumn("collection", plain.isin(*SHELVES)))
         self.books = self.steps.keep(self.books)
         self.all_series = fx.entity_key(F.col("series"))
+        self.sums = self.gathered()
 
     def votes_of(self, rows: DataFrame, axiom: str, kind: Column | str, weight: Column | float, reason: Column | str, value: Column | None = None, hard: bool = False) -> DataFrame:
         as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
         value = F.lit(None) if value is None else value
         return rows.select("node", F.lit(axiom).alias("axiom"), as_column(kind).alias("kind"), as_column(weight).cast("double").alias("weight"), as_column(reason).cast("string").alias("reason"), F.lit(hard).alias("hard"), value.cast("string").alias("value"))
 
-    def people(self, sources: tuple[str, ...]) -> DataFrame:
-        """(node, key, n, first): authors of the books of each subtree, from the given sources, by key."""
-        said = self.books.where(F.col("authors_prov").isin(*sources)).select("node", "book", F.posexplode("authors").alias("at", "author"))
-        facts = said.select("node", fx.entity_key(F.col("author")).alias("key"), F.lit(1).cast("long").alias("n"), F.struct("book", "at", "author").alias("first"))
-        return trees.roll_up(self.nodes, facts, ["key"], {"n": F.sum, "first": F.min})
+    def gathered(self) -> DataFrame:
+        """(node, what, key, n, low, high, first): what the books of each subtree say, by key, from one pass up the tree.
+
+        ``what`` is ``tag`` or ``match`` for authors of such a source, ``series`` for asserted series with their least and greatest
+        numbers, ``book`` for books, ``tagged series`` for books with a series tag.
+        """
+        number, text = F.lit(None).cast("double"), F.lit("")
+        fact = lambda rows, what, key, at, said, n=number: rows.select("node", F.lit(what).alias("what"), key.alias("key"), F.lit(1).cast("long").alias("n"), n.alias("low"), n.alias("high"), F.struct("book", at.cast("int").alias("at"), said.alias("said")).alias("first"))
+        zero = F.lit(0)
+        people = lambda what, sources: fact(self.books.where(F.col("authors_prov").isin(*sources)).select("node", "book", F.posexplode("authors").alias("at", "author")), what, fx.entity_key(F.col("author")), F.col("at"), F.col("author"))
+        serial = self.books.where(F.col("series").isNotNull() & F.col("series_prov").isin(*HARD))
+        facts = [
+            people("tag", TAGGED), people("match", MATCHED), fact(serial, "series", self.all_series, zero, F.col("series"), F.col("sequence")), fact(self.books, "book", text, zero, text),
+            fact(serial.where(F.col("series_prov").isin(*TAGGED)), "tagged series", text, zero, text),
+        ]
+        return self.steps.keep(trees.roll_up(self.nodes, reduce(DataFrame.unionByName, facts), ["what", "key"], {"n": F.sum, "low": F.min, "high": F.max, "first": F.min}))
+
+    def of(self, what: str) -> DataFrame:
+        return self.sums.where(F.col("what") == what).drop("what")
 
 
 def manual_override(lib: Library) -> DataFrame:
@@ -77,19 +93,19 @@ def manual_override(lib: Library) -> DataFrame:
 
 
 def matched_identity(lib: Library) -> DataFrame:
-    rows = lib.nodes.select("node", "key").join(lib.people(MATCHED), ["node", "key"])
-    return lib.votes_of(rows, "01 match", "author", WEIGHTS["match"], F.concat(F.lit("matched book(s) author '"), F.col("first.author"), F.lit("' == folder name")), F.col("first.author"), hard=True)
+    rows = lib.nodes.select("node", "key").join(lib.of("match"), ["node", "key"])
+    return lib.votes_of(rows, "01 match", "author", WEIGHTS["match"], F.concat(F.lit("matched book(s) author '"), F.col("first.said"), F.lit("' == folder name")), F.col("first.said"), hard=True)
 
 
 def tagged_authors(lib: Library) -> DataFrame:
     """An author on three quarters of a subtree's tags, and one whose name is the folder's; both may vote."""
-    people = lib.people(TAGGED)
+    people = lib.of("tag")
     total = people.groupBy("node").agg(F.sum("n").alias("total"), F.max_by(F.struct("n", "first"), "n").alias("top")).where(F.col("top.n") * 4 >= F.col("total") * 3)
     n = F.col("top.n")
-    name = F.col("top.first.author")
+    name = F.col("top.first.said")
     consensus = lib.votes_of(total, "02 consensus", "author", F.least(F.lit(WEIGHTS["consensus_most"]), 0.5 + 0.5 * n), F.concat(n.cast("string"), F.lit(" book(s) tagged author '"), name, F.lit("'")), name)
     same = lib.nodes.select("node", "key").join(people, ["node", "key"])
-    return consensus.unionByName(lib.votes_of(same, "03 tag", "author", WEIGHTS["tag_match"], F.concat(F.lit("a tagged author matches the folder name '"), F.col("first.author"), F.lit("'")), F.col("first.author")))
+    return consensus.unionByName(lib.votes_of(same, "03 tag", "author", WEIGHTS["tag_match"], F.concat(F.lit("a tagged author matches the folder name '"), F.col("first.said"), F.lit("'")), F.col("first.said")))
 
 
 def leaf_title(lib: Library) -> DataFrame:
@@ -147,10 +163,8 @@ def known_franchise(lib: Library) -> DataFrame:
 
 def numbered_siblings(lib: Library) -> DataFrame:
     """Children (folders with books below, or files of the folder's own books) whose names carry a book's number."""
-    some = F.lit(1).cast("long")
-    tagged = F.coalesce(F.col("series").isNotNull() & F.col("series_prov").isin(*TAGGED), F.lit(False)).cast("long")
-    below = trees.roll_up(lib.nodes, lib.books.select("node", some.alias("n"), tagged.alias("tagged")), [], {"n": F.sum, "tagged": F.sum})
-    dirs = lib.nodes.where("parent is not null").select("node", F.col("parent"), "name").join(below.select("node"), "node").select(F.col("parent").alias("node"), "name")
+    below, tagged = lib.of("book").select("node"), lib.of("tagged series").select("node", F.lit(True).alias("tagged"))
+    dirs = lib.nodes.where("parent is not null").select("node", F.col("parent"), "name").join(below, "node").select(F.col("parent").alias("node"), "name")
     children = dirs.unionByName(lib.books.select("node", F.col("stem").alias("name"))).where("name is not null").distinct()
     affix, title = names.sequence_affix(F.col("name")), names.folder_title(F.col("name"))
     number = F.coalesce(affix["sequence"], title["sequence"])
@@ -158,7 +172,7 @@ def numbered_siblings(lib: Library) -> DataFrame:
     read = children.select("node", number.alias("number"), cleaned.alias("cleaned"), F.coalesce(affix["strong"], F.lit(True)).alias("strong")).where("number is not null")
     # that numbers and titles differ shows in their least and greatest
     sums = read.groupBy("node").agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("cleaned").alias("first"), F.max("cleaned").alias("last"), F.bool_or("strong").alias("strong"))
-    rows = sums.join(below.select("node", (F.col("tagged") > 0).alias("tagged")), "node").join(lib.nodes.select("node", "name"), "node")
+    rows = sums.join(tagged, "node", "left").fillna(False, ["tagged"]).join(lib.nodes.select("node", "name"), "node")
     vote = lambda where, axiom, weight, reason: lib.votes_of(rows.where(where), axiom, "series", WEIGHTS[weight], reason, F.col("name"))
     ramp = (F.col("n") >= 2) & (F.col("low") < F.col("high")) & (F.col("first") < F.col("last")) & (F.col("strong") | F.col("tagged"))
     return (
@@ -170,14 +184,10 @@ def numbered_siblings(lib: Library) -> DataFrame:
 
 def series_ramp(lib: Library) -> DataFrame:
     """Most books of a subtree in one asserted series with at least two numbers, and the folder named after it."""
-    some = F.lit(1).cast("long")
-    held = lib.books.withColumn("_key", F.when(F.col("series_prov").isin(*HARD), lib.all_series))
-    facts = held.select("node", F.col("_key").alias("key"), some.alias("n"), F.col("sequence").alias("low"), F.col("sequence").alias("high"), F.struct("book", "series").alias("first"))
-    by_key = trees.roll_up(lib.nodes, facts, ["key"], {"n": F.sum, "low": F.min, "high": F.max, "first": F.min})
-    named = F.col("key").isNotNull()
-    sums = by_key.groupBy("node").agg(F.sum("n").alias("books"), F.count(F.when(named, 1)).alias("kinds"), F.sum(F.when(named, F.col("n"))).alias("n"), F.min(F.when(named, F.col("low"))).alias("low"), F.max(F.when(named, F.col("high"))).alias("high"), F.min(F.when(named, F.col("first"))).alias("first"))
-    rows = sums.join(lib.nodes.select("node", "name"), "node").where((F.col("kinds") == 1) & (F.col("n") >= COVERAGE * F.col("books")) & (F.col("low") < F.col("high")) & quality.resembles(F.col("name"), F.col("first.series")))
-    return lib.votes_of(rows, "13 series", "series", WEIGHTS["series_ramp"], F.concat(F.lit("all books in series '"), F.col("first.series"), F.lit("', folder matches")), F.col("first.series"))
+    books = lib.of("book").select("node", F.col("n").alias("books"))
+    sums = lib.of("series").groupBy("node").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).join(books, "node")
+    rows = sums.join(lib.nodes.select("node", "name"), "node").where((F.col("kinds") == 1) & (F.col("n") >= COVERAGE * F.col("books")) & (F.col("low") < F.col("high")) & quality.resembles(F.col("name"), F.col("first.said")))
+    return lib.votes_of(rows, "13 series", "series", WEIGHTS["series_ramp"], F.concat(F.lit("all books in series '"), F.col("first.said"), F.lit("', folder matches")), F.col("first.said"))
 
 
 def container_shape(lib: Library) -> DataFrame:

@@ -58,62 +58,46 @@ def test_coarse_kinds(spark):
     assert [tuple(r) for r in trees.coarse_kinds(trees.folders(empty, "node"), empty).collect()] == []
 
 
-def test_tagged_authors_name_their_folder(spark):
-    tags = {"authors_prov": "tag"}
+def test_kinds_of_a_literal_library(spark):
+    tags, match = {"authors_prov": "tag"}, {"authors_prov": "audible"}
     rows = [book(k, f"/Ann Lee/t{k}", "x", "tag", ["Ann Lee"], **tags) for k in range(3)] + [book(9, "/Ann Lee/u", "y", "tag", ["Guest"], **tags)]
     rows += [book(20 + k, f"/King/t{k}", "x", "tag", ["Stephen King"], **tags) for k in range(2)]
-    got = kinds(spark, rows)
-    assert (got["/Ann Lee"]["kind"], got["/Ann Lee"]["value"], got["/Ann Lee"]["evidenced"], got["/Ann Lee"]["settled"]) == ("author", "Ann Lee", True, False)
-    assert got["/King"]["value"] == "Stephen King" and got["/"]["kind"] == "container"
+    # hard votes
+    rows += [book(30 + k, f"/{name}/{k}x", "x", "tag", [name], **match) for name in ("Cy Dow", "Di Eco") for k in (1, 2)]
+    # series, franchises, buckets
+    rows += [book(40 + k, f"/Taltos/0{k} - {t}", t, "directory") for k, t in enumerate(("Jhereg", "Yendi", "Teckla"), 1)]
+    rows += [book(50 + k, "/Liz Carlyle Novels", f"t{k}", "tag", series="Liz Carlyle", series_prov="tag", sequence=float(k)) for k in range(3)]
+    rows += [book(60 + k, f"/Star Trek/Author {k}/x{k}", f"x{k}", "directory") for k in range(2)] + [book(63, "/2001", "Odyssey", "tag"), book(64, "/incoming/x", "x", "tag")]
+    # leaves with one book
+    rows += [
+        book(71, "/Bo Ray", "01", None, label="The Book"), book(72, "/The Way of Kings", "The Way of Kings", "tag"), book(73, "/1981 - Cujo", "part one", "filename"), book(74, "/Sam Walton", "Sam Walton, made in America, my story", "tag"),
+        book(75, "/Jhereg", "x", "directory", ["Steven Brust"], "tag"), book(76, "/Discworld", "Mort", "directory", series="Discworld", series_prov="tag"), book(77, "/Flo Gay", "Chapter", "filename", label="Chapter x", n_files=4),
+    ]
+    got = kinds(spark, rows, overrides=[("/Di Eco", "series", "My Series")], franchises=["star trek"])
+    shown = {k: (r["kind"], r["value"]) for k, r in got.items()}
+    assert shown["/Ann Lee"] == ("author", "Ann Lee") and got["/Ann Lee"]["evidenced"] and not got["/Ann Lee"]["settled"] and shown["/King"] == ("author", "Stephen King") and shown["/"][0] == "container"
     assert {"3 book(s) tagged author 'Ann Lee'", "a tagged author matches the folder name 'Ann Lee'"} <= set(got["/Ann Lee"]["reasons"])
     assert got["/Ann Lee/t0"]["kind"] == "title" and got["/Ann Lee/t0"]["confidence"] > 0.5
-
-
-def test_hard_votes_settle(spark):
-    rows = [book(1, "/Ann Lee/a", "x", "tag", ["Ann Lee"], "audible"), book(2, "/Ann Lee/b", "y", "tag", ["Ann Lee"], "audible")]
-    got = kinds(spark, rows)
-    assert (got["/Ann Lee"]["kind"], got["/Ann Lee"]["confidence"], got["/Ann Lee"]["source"], got["/Ann Lee"]["settled"]) == ("author", 1.0, "matched", True)
-    mine = kinds(spark, rows, overrides=[("/Ann Lee", "series", "My Series")])
-    assert (mine["/Ann Lee"]["kind"], mine["/Ann Lee"]["value"], mine["/Ann Lee"]["source"]) == ("series", "My Series", "manual")
-
-
-def test_series_franchises_and_buckets(spark):
-    rows = [book(k, f"/Taltos/0{k} - {t}", t, "directory") for k, t in enumerate(("Jhereg", "Yendi", "Teckla"), 1)]
-    rows += [book(10 + k, "/Liz Carlyle Novels", f"t{k}", "tag", series="Liz Carlyle", series_prov="tag", sequence=float(k)) for k in range(3)]
-    rows += [book(20 + k, f"/Star Trek/Author {k}/x{k}", f"x{k}", "directory") for k in range(2)] + [book(30, "/2001", "Odyssey", "tag"), book(31, "/incoming/x", "x", "tag")]
-    got = kinds(spark, rows, franchises=["star trek"])
-    assert (got["/Taltos"]["kind"], got["/Taltos"]["value"]) == ("series", "Taltos")
-    assert (got["/Liz Carlyle Novels"]["kind"], got["/Liz Carlyle Novels"]["value"]) == ("series", "Liz Carlyle")
-    assert (got["/Star Trek"]["kind"], got["/Star Trek"]["value"]) == ("franchise", "star trek")
-    assert got["/2001"]["kind"] == "container" and got["/incoming"]["kind"] in ("author", "container")
-
-
-def test_leaves(spark):
-    rows = [
-        book(1, "/Ann Lee", "01", None, label="The Book"), book(2, "/The Way of Kings", "The Way of Kings", "tag"), book(3, "/1981 - Cujo", "part one", "filename"), book(4, "/Sam Walton", "Sam Walton, made in America, my story", "tag"),
-        book(5, "/Jhereg", "x", "directory", ["Steven Brust"], "tag"), book(6, "/Discworld", "Mort", "directory", series="Discworld", series_prov="tag"), book(7, "/Bo Ray", "Chapter", "filename", label="Chapter x", n_files=4),
-    ]
-    got = {k: (r["kind"], r["value"]) for k, r in kinds(spark, rows).items()}
-    assert got["/Ann Lee"] == ("author", "Ann Lee") and got["/The Way of Kings"][0] == "title" and got["/1981 - Cujo"][0] == "title" and got["/Sam Walton"] == ("author", "Sam Walton")
-    assert got["/Discworld"] == ("series", "Discworld") and got["/Bo Ray"][0] == "title"
-    assert got["/Jhereg"] == ("title", None)
+    assert (*shown["/Cy Dow"], got["/Cy Dow"]["confidence"], got["/Cy Dow"]["source"], got["/Cy Dow"]["settled"]) == ("author", "Cy Dow", 1.0, "matched", True)
+    assert (*shown["/Di Eco"], got["/Di Eco"]["source"]) == ("series", "My Series", "manual")
+    assert shown["/Taltos"] == ("series", "Taltos") and shown["/Liz Carlyle Novels"] == ("series", "Liz Carlyle") and shown["/Star Trek"] == ("franchise", "star trek")
+    assert shown["/2001"][0] == "container" and shown["/incoming"][0] in ("author", "container")
+    assert shown["/Bo Ray"] == ("author", "Bo Ray") and shown["/The Way of Kings"][0] == "title" and shown["/1981 - Cujo"][0] == "title" and shown["/Sam Walton"] == ("author", "Sam Walton")
+    assert shown["/Discworld"] == ("series", "Discworld") and shown["/Flo Gay"][0] == "title" and shown["/Jhereg"] == ("title", None)
 
 
 def test_authors_are_handed_down(spark):
     rows = [
         *(book(k, f"/Ann Lee/t{k}", f"t{k}", "directory", ["Ann Lee"], "tag") for k in range(4)), book(5, "/Ann Lee/Shelf/deep", "deep", "directory"), book(6, "/Ann Lee/Shelf/other", "other", "directory"),
-        book(7, "/Lone", None, None), book(8, "/Title Only", "Title Only", "tag"), *(book(k, f"/Taltos/0{k - 8} - T{k}", f"T{k}", "directory") for k in range(9, 12)),
+        book(7, "/Lone", None, None), book(8, "/Title Only", "Title Only", "tag"), *(book(k, f"/Taltos/0{k - 8} - T{k}", f"T{k}", "directory") for k in range(9, 12)), book(20, "/Ann Lee/Own/deep", "deep", "directory"), book(21, "/Ann Lee/Own/other", "other", "directory"),
     ]
-    lib = library(spark, rows)
+    lib = library(spark, rows, overrides=[("/Ann Lee/Own", "author", "Someone")])
     got = {r["book"]: (r["author"], r["by"], r["series"], r["sequence"]) for r in axioms.fill_down(lib.books, lib.nodes, axioms.classify(lib)).collect()}
     assert got[0] == (None, None, None, None)
     # the shelf between is an author by its own name only, the one above by its books
-    assert got[5][:2] == ("Ann Lee", "graphing") and got[6][:2] == ("Ann Lee", "graphing")
+    assert got[5][:2] == ("Ann Lee", "graphing") and got[6][:2] == ("Ann Lee", "graphing") and got[20][:2] == ("Someone", "manual")
     assert got[7][:2] == ("Lone", "directory") and got[8][0] is None
     assert [got[k][2:] for k in (9, 10, 11)] == [("Taltos", 1.0), ("Taltos", 2.0), ("Taltos", 3.0)]
-    manual = library(spark, rows, overrides=[("/Ann Lee/Shelf", "author", "Someone")])
-    got = {r["book"]: (r["author"], r["by"]) for r in axioms.fill_down(manual.books, manual.nodes, axioms.classify(manual)).collect()}
-    assert got[5] == ("Someone", "manual")
 
 
 SF = "/root/testdata/sf0.001"
