@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bitmaps import bitmap, holds
 from lectern.llm.lines import named
-from lectern.llm.storage import Scratch, kept
+from lectern.llm.storage import Scratch
 from lectern.llm.text import U64, blocks, powers, rolling, signed, tidy, window_hash, words
 
 LENGTH, GRAM, REACH = 400, 16, 192
@@ -129,20 +129,20 @@ def runs_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(by_doc, "doc_id").select("doc_id", "text", "stretches").mapInArrow(tidy(run), RUNS)
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, first, n): runs of window starts whose ``LENGTH`` bytes also start elsewhere."""
-    spark = docs.sparkSession
     near, same = Window.partitionBy("after"), Window.partitionBy("after", "phrase")
     # phrases that share the bytes after their trigger with another occurrence; the others hold no repeated window
     met = phrases(docs).withColumn("near", F.count("*").over(near)).where("near > 1")
     met = met.withColumn("times", F.count("*").over(same)).withColumn("least", F.min("times").over(near)).withColumn("k", F.row_number().over(same.orderBy("doc_id", "first")))
-    met = kept(spark, met.where("times > 1 or near > times").select("doc_id", "first", "n", "after", "trigger", "times", "least", "k"))
+    met = scratch.keep(met.where("times > 1 or near > times").select("doc_id", "first", "n", "after", "trigger", "times", "least", "k"))
     whole = met.where("times > 1").select("doc_id", "first", "n")
     # one phrase of each kind, where some kind occurs once
-    runs = kept(spark, runs_of(docs, met.where("k = 1 and least = 1")))
+    runs = scratch.keep(runs_of(docs, met.where("k = 1 and least = 1")))
     equal = Window.partitionBy("after", "core", "head", "tail", "shift")
     cores = runs.withColumn("near", F.count("*").over(Window.partitionBy("after", "core"))).where("near > 1").withColumn("times", F.count("*").over(equal)).withColumn("k", F.row_number().over(equal.orderBy("doc_id", "first")))
-    cores = kept(spark, cores)
+    cores = scratch.keep(cores)
+    scratch.drop(runs)
     equal_runs = cores.where("times > 1").select("doc_id", "first", "n")
     # window by window: what a window holds before and after the core
     window = cores.where("k = 1 and near > times").select("after", "core", "head", "tail", "doc_id", "first", "shift", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
@@ -236,7 +236,7 @@ def remove(docs: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``remove`` for rows with ids of their own."""
-    by_doc = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("starts"))  # at most a document's windows
+    by_doc = repeated(docs, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("starts"))  # at most a document's windows
     by_doc = by_doc.join(sharing(docs, scratch).withColumn("shares", F.lit(1)), "doc_id", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
