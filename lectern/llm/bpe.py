@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.text import blocks
+from lectern.llm.text import blocks, tidy
 
 #: Pre-tokens and words up to this many characters are remembered; longer ones are merged each time.
 CACHE_CHARS = 24
@@ -30,7 +30,7 @@ CACHE_CHARS = 24
 #: group at most; then it forgets them.
 CACHE_BYTES = 48 << 20
 #: Characters of text whose new pre-tokens share a queue; their words are in memory together.
-SHARED_CHARS = 4 << 20
+SHARED_CHARS = 1 << 20
 #: Fixed value: the pattern for which text may be cut before single spaces, each part being split alone.
 SPACE_CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK_RUN = regex.compile(r"\s \s|  |\s $|^ \s")
@@ -379,7 +379,7 @@ def round_trip_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFra
                 decoded.append(hashlib.sha256(bpe.decode_joined(joined)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), DIGEST_SCHEMA)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
