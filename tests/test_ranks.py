@@ -1,5 +1,5 @@
 from lectern.operators import ranks
-from lectern.plans import catalogue
+from lectern.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,8 +11,8 @@ def test_places_over_ranges(spark):
 
 
 def test_no_row_is_left_out(spark):
-    for name, source in (("sort_confidence_all", "customer"), ("natural_sort_all", "customer"), ("runtime_closeness_all", "orders")):
+    for name, source in (("sort_confidence", "customer"), ("natural_sort", "customer"), ("runtime_closeness", "orders")):
         n = spark.read.parquet(f"{SF}/{source}.parquet").count()
-        assert sorted(r["place"] for r in catalogue.QUERIES[name](spark, SF).select("place").collect()) == list(range(1, n + 1))
+        assert sorted(r["place"] for r in registry.queries()[name](spark, SF).select("place").collect()) == list(range(1, n + 1))
     pairs = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
-    assert catalogue.QUERIES["rank_candidates_all"](spark, SF).count() == pairs
+    assert registry.queries()["rank_candidates"](spark, SF).count() == pairs
