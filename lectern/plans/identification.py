@@ -12,17 +12,17 @@ from lectern.sources.tables import table
 
 @query(None)
 def reassociate_greedy(spark, d):
-    """Each order of the later snapshot with at most one of the earlier one, by shared parts; every third order has a new id."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    """Each order of the later snapshot with at most one of the earlier one, by shared parts of one supplier; every third order has a new id."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     later = rows.where("l_linenumber % 7 <> 0").withColumn("l_orderkey", F.col("l_orderkey") + F.when(F.col("l_orderkey") % 3 == 0, 1_000_000_000).otherwise(0))
-    return assignment.reassociate(later, rows.where("l_linenumber % 5 <> 0"), "l_orderkey", ["l_partkey"])
+    return assignment.reassociate(later, rows.where("l_linenumber % 5 <> 0"), "l_orderkey", ["l_partkey", "l_suppkey"])
 
 
 @query(None)
 def similar_names(spark, d):
-    """Pairs of part names of one size, brand and type put behind them, whose ratio is at least 0.85."""
-    name = F.concat_ws(" ", "p_name", F.lower("p_brand"), F.lower("p_type")).alias("name")
-    return scoring.similar_pairs(table(spark, d, "part").select("p_partkey", "p_size", name), "p_partkey", "name", ["p_size"], 0.85)
+    """Pairs of part names, each with its type, of one size and brand, whose ratio is at least 0.85."""
+    name = F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name")
+    return scoring.similar_pairs(table(spark, d, "part").select("p_partkey", "p_size", "p_brand", name), "p_partkey", "name", ["p_size", "p_brand"], 0.85)
 
 
 def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
