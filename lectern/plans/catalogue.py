@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names, search
 from lectern.functions import text as fx
-from lectern.operators import edits, files, hierarchy, ranks, votes
+from lectern.operators import edits, files, hierarchy, pairs, ranks, votes
 from lectern.plans.registry import query
 from lectern.sources.tables import table
 from lectern.streaming import windows
@@ -272,10 +272,8 @@ def match_score_members(spark, d):
 FROM s a JOIN s b ON a.p_size = b.p_size AND a.id < b.id WHERE len(list_intersect(a.w, b.w)) > 0""")
 def match_score(spark, d):
     """All pairs of distinct sets of a size band that share a token (others score 0); match_score_members names their parts."""
-    sets = part_sets(spark, d).where("p_partkey = id").select("p_size", "id", F.size("w").alias("n"), F.explode("w").alias("token"))
-    side = lambda s: sets.select("p_size", "token", F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
-    shared = side("a").join(side("b"), ["p_size", "token"]).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return shared.select("a", "b", F.floor(F.col("shared") * 1000 / (F.col("n_a") + F.col("n_b") - F.col("shared"))).cast("long").alias("permille"))
+    sets = part_sets(spark, d).where("p_partkey = id").select("p_size", F.col("id").alias("set"), F.explode("w").alias("token"))
+    return pairs.of_sets(sets, ["p_size"], "set", "token").select("a", "b", F.floor(F.col("shared") * 1000 / F.col("united")).cast("long").alias("permille"))
 
 
 @query("SELECT l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY min(abs(l_extendedprice - 20000)), l_suppkey) AS INTEGER) AS k FROM lineitem GROUP BY 1, 2")
