@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import names
+from lectern.operators import pairs
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
@@ -99,11 +100,8 @@ def part_order(rows: DataFrame, part: str, name: str, track: str) -> DataFrame:
 
 def shared_parts(left: DataFrame, right: DataFrame, owner: str, part: str, least_percent: int) -> DataFrame:
     """Pairs of owners whose part sets have a Jaccard similarity of at least the percentage, by an equi-join on parts."""
-    a, b = (d.select(owner, part).distinct() for d in (left, right))
-    size = lambda d, n: d.groupBy(owner).agg(F.count("*").alias(n))
-    both = a.withColumnRenamed(owner, "a").join(b.withColumnRenamed(owner, "b"), part).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    full = both.join(size(a, "n_a").withColumnRenamed(owner, "a"), "a").join(size(b, "n_b").withColumnRenamed(owner, "b"), "b")
-    return full.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * least_percent).select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("united"))
+    both = pairs.between_sets(left, right, [], owner, part)
+    return both.where(F.col("shared") * 100 >= F.col("united") * least_percent).select("a", "b", "shared", "united")
 
 
 # Upper bounds of bitrate tiers in kbit/s.

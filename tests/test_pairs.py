@@ -3,7 +3,7 @@ from itertools import product
 
 import pytest
 
-from lectern.operators import pairs
+from lectern.operators import files, pairs
 from lectern.plans import registry
 from tests.measured import shuffled
 
@@ -47,3 +47,9 @@ def test_pairs_of_scored_sets_are_not_shuffled(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     df = registry.queries()["match_score"](spark, str(tmp_path))
     assert df.count() == 400 * 399 // 2 and shuffled(spark, df) < 20_000
+
+
+def test_pairs_of_owners_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(o, 7) for o in range(300)], "o long, e long")
+    df = files.shared_parts(rows, rows, "o", "e", 0)
+    assert df.count() == 90_000 and shuffled(spark, df) < 5_000
