@@ -2,13 +2,15 @@
 
 The sequence part of a ratio is that of the standard library's ``difflib``: twice the length of the longest matching blocks,
 found one inside the other, by the sum of both lengths. It runs on Arrow columns; the bounds that spare most pairs are cheaper:
-by lengths in the JVM, by character counts before blocks are looked for.
+by lengths in the JVM, by character counts before blocks are looked for. Names repeat, so a worker keeps the ratios of the last
+pairs it met.
 """
 
 from __future__ import annotations
 
 import difflib
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,6 +21,8 @@ from pyspark.sql.types import DoubleType
 EDITION_WORDS = "edition|unabridged|abridged|dramati[sz]ed|version|remaster(?:ed)?|deluxe|complete|movie tie-in|audiobook"
 GENRE_WORDS = "non-?fiction|fiction"
 TITLE_SHARE, AUTHOR_SHARE = 0.7, 0.3
+# Fixed value: pairs of names whose ratios a worker keeps.
+REMEMBERED = 100_000
 
 
 def plain(text: str | None) -> str:
@@ -35,6 +39,7 @@ def most(a: str, b: str) -> float:
     return 2.0 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
 
 
+@lru_cache(REMEMBERED)
 def of_pair(a: str | None, b: str | None, least: float = 0.0) -> float:
     """Larger one of sequence ratio and Jaccard similarity of the words, without case and outer blanks; 0 with an empty side.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import quality, titles
 from lectern.functions import similarity as sim
 from lectern.functions import text as fx
+from lectern.operators.steps import kept
 
 # From what score on sources agree, and within how much of the best one authority decides.
 AGREES, MARGIN = 0.85, 0.05
@@ -55,6 +56,9 @@ def identify(books: DataFrame, results: DataFrame, book: str, order: str, author
     # sources that agree on the author of a book that names none
     first_author = F.lower(F.trim(F.get("authors", F.lit(0))))
     found = found.withColumn("_votes_for", F.when((F.size(F.coalesce("b_authors", F.array())) == 0) & (F.col("title_ratio") >= AGREES) & (first_author != ""), first_author))
+    # written once: two aggregates read it, and each would score every result again
+    used = ("score", "title_ratio", "provider", "runtime_ms", "abridged", "authors", "_trust", "_top", "_votes_for", "place", "asin", "b_asin", "isbn", "b_isbn")
+    found = kept(found.select(book, order, *used))
     named = found.where("_votes_for is not null").groupBy(book, "_votes_for").agg(F.count_distinct("provider").alias("n"), F.min_by(F.struct(order, "score", "title_ratio", "provider", "runtime_ms", "abridged", F.get("authors", F.lit(0)).alias("author"), "_trust"), order).alias("inferred"))
     inferred = named.where("n >= 2").groupBy(book).agg(F.count("*").alias("n"), F.min("inferred").alias("inferred")).where("n = 1").select(book, "inferred")
     row = F.struct(order, "score", "title_ratio", "provider", "runtime_ms", "abridged", F.get("authors", F.lit(0)).alias("author"), "_trust")
@@ -115,6 +119,8 @@ def similar_pairs(rows: DataFrame, key: str, name: str, block: list[str], least:
     known = F.concat(*(F.col(c).cast("string") for c in (key, name, *block))).isNotNull()
     kinds = rows.where(known & (F.trim(name) != "")).groupBy(*block, F.lower(F.trim(name)).alias("_name")).agg(F.min(key).alias("_key"))
     words = F.array_distinct(F.filter(F.split("_name", r"\s+"), lambda w: w != ""))
+    # as many tasks as the session has partitions: the names are few, their pairs are not
+    kinds = kinds.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block)
     side = lambda s: kinds.select(*block, F.col("_key").alias(s), F.col("_name").alias(f"_{s}"), words.alias(f"_w{s}"))
     both = side("a").join(side("b"), block).where("a < b")
     shared = F.size(F.array_intersect("_wa", "_wb"))

@@ -169,3 +169,24 @@ def test_queries_cover_their_tables(spark):
     found = identification.identify_confidence(spark, SF).collect()
     assert len(found) == n and len({r["signals"] for r in found}) > 10
     assert identification.rank_results(spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().count()
+
+
+def test_names_in_few_blocks_use_all_partitions(spark):
+    rows = spark.createDataFrame([(1, 1, "ann lee"), (2, 1, "ann leo")], "k int, block int, name string")
+    found = scoring.similar_pairs(rows, "k", "name", ["block"], 0.5)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(1, 2)]
+
+
+def test_results_are_scored_once(spark):
+    books = spark.createDataFrame([(1, "Dune", [], None, None, 1000, None)], BOOKS)
+    results = spark.createDataFrame([(1, k, p, "Dune", ["Frank Herbert"], 1000, None, None, None) for k, p in enumerate("ab")], RESULTS)
+    found = scoring.identify(books, results, "book", "at")
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    assert found.first()["author_inferred"]
+
+
+def test_ratios_of_repeated_names_are_kept():
+    sim.of_pair.cache_clear()
+    assert [sim.of_pair("red steel", "red steal") for _ in range(3)] == [sim.of_pair.__wrapped__("red steel", "red steal")] * 3
+    assert sim.of_pair.cache_info().misses == 1
