@@ -22,10 +22,9 @@ def scored(books: DataFrame, results: DataFrame, book: str, order: str) -> DataF
     The rank adds to the score of title and authors at most 0.10 for a runtime that is close to the book's and takes 0.15 at
     most for one that is far.
     """
-    own = books.select(book, *(F.col(c).alias(f"b_{c}") for c in BOOK))
-    both = results.select(book, order, *RESULT).join(own, book)
-    # the cleaned titles are columns of their own, so that they cross to Python once
-    both = both.withColumns({"_ours": sim.match_title(F.col("b_title")), "_theirs": sim.match_title(F.col("title"))})
+    # a book's title is cleaned once, not for each of its results; cleaned titles are columns of their own, so that they cross to Python once
+    own = books.select(book, *(F.col(c).alias(f"b_{c}") for c in BOOK), sim.match_title(F.col("title")).alias("_ours"))
+    both = results.select(book, order, *RESULT).join(own, book).withColumn("_theirs", sim.match_title(F.col("title")))
     both = both.withColumns({"title_ratio": sim.ratio("_ours", "_theirs"), "score": sim.title_author_score(F.col("_ours"), F.col("b_authors"), F.col("_theirs"), F.col("authors"))})
     timed = (F.col("b_duration_ms") > 0) & (F.col("runtime_ms") != 0)
     off = F.abs(F.col("runtime_ms") - F.col("b_duration_ms"))
