@@ -6,7 +6,7 @@ size is combined before its rows move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, names, quality
@@ -24,13 +24,21 @@ def same(c: Column | str) -> Column:
 def constant_tokens(rows: DataFrame, part: str, name: str, order: str) -> DataFrame:
     """(part, token, place): tokens that every name of a part has, compared without case, as the first name by ``order`` writes them.
 
-    A token is constant if as many names have it as there are: an intersection without sets. Parts of one name have none.
+    Each row says by bits, 64 tokens a number, which tokens of the first name it has; what all rows have is left. Nothing but a
+    part's rows is held, which are sorted together. Parts of one name have none.
     """
-    text = F.posexplode(chunks.cohort_tokens(F.col(name))).alias("_at", "_token")
-    seen = rows.select(part, order, text).groupBy(part, order, chunks.comparable(F.col("_token")).alias("_key")).agg(F.min(F.struct("_at", "_token")).alias("_own"))
-    n = rows.groupBy(part).agg(F.count("*").alias("n")).where("n >= 2")
-    kept = seen.groupBy(part, "_key").agg(F.count("*").alias("c"), F.min(F.struct(order, "_own._at", "_own._token")).alias("first"))
-    return kept.join(n, part).where("c = n").select(part, F.col("first._token").alias("token"), F.col("first._at").alias("place"))
+    keys = lambda c: F.transform(c, chunks.comparable)
+    own = Window.partitionBy(part)
+    cut = rows.where(F.col(part).isNotNull()).select(part, order, chunks.cohort_tokens(F.col(name)).alias("_tokens")).withColumn("_own", keys("_tokens"))
+    led = cut.withColumns({"_first": F.first("_own").over(own.orderBy(order)), "_k": F.row_number().over(own.orderBy(order)), "_n": F.count("*").over(own)}).where("_n >= 2")
+    words = led.withColumn("_word", F.explode(F.when(F.size("_first") > 0, F.sequence(F.lit(0), F.floor((F.size("_first") - 1) / 64).cast("int")))))
+    of_word = F.slice("_first", F.col("_word") * 64 + 1, F.lit(64))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    held = F.aggregate(F.transform(of_word, lambda t, k: F.when(F.array_contains("_own", t), bit(k)).otherwise(0)), F.lit(0).cast("long"), lambda bits, b: bits.bitwiseOR(b))
+    every = words.withColumn("_all", F.bit_and(held).over(Window.partitionBy(part, "_word"))).where("_k = 1 and _all <> 0")
+    each = every.select(part, "_tokens", "_own", "_word", "_all", F.posexplode(of_word).alias("_bit", "_key")).where(F.col("_all").bitwiseAND(bit(F.col("_bit"))) != 0)
+    at = F.col("_word") * 64 + F.col("_bit")
+    return each.where(F.array_position("_own", F.col("_key")) == at + 1).select(part, F.get("_tokens", at).alias("token"), at.alias("place"))
 
 
 def varies_only_by_number(rows: DataFrame, part: str, name: str, order: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chunks
 from lectern.operators import cohorts
+from tests.measured import shuffled
 
 
 def folder(spark, cases):
@@ -69,3 +70,16 @@ def test_clusters(spark):
     assert {p: g[0]["points"] for p, g in got.items()} == {
         "one file": 3, "camel parts": 4, "kebab": 4, "series": 4, "two": 4, "ragged": 1, "chapters": 1, "glued": 4, "editions": 0, "same": 3, "numbers": 4, "ragged numbers": 0, "empty": 0, "null": 0, "orphan": 4,
     }
+
+
+def test_constant_tokens_of_long_names(spark):
+    name = lambda k: " ".join(f"(t{i}x) " if i % 3 else f"(v{i}x{k}) " for i in range(150)) + "(T1X)"
+    rows = spark.createDataFrame([("p", k, name(k)) for k in (2, 1, 3)] + [("q", 1, name(1)), (None, 1, "a"), (None, 2, "a")], "p string, at int, name string")
+    found = sorted((r["place"], r["token"]) for r in cohorts.constant_tokens(rows, "p", "name", "at").collect())
+    assert found == [(i, f"(t{i}x)") for i in range(150) if i % 3]
+
+
+def test_constant_tokens_do_not_shuffle_tokens(spark):
+    rows = spark.createDataFrame([(p, k, f"(a) (b) (c) (d{k}) (e) (f)") for p in range(100) for k in range(4)], "p int, at int, name string")
+    found = cohorts.constant_tokens(rows, "p", "name", "at")
+    assert found.count() == 500 and shuffled(spark, found) <= 400
