@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, names, quality
+from lectern.operators.steps import kept
 
 # Weights of the election between one book and many, and its bounds.
 WEIGHTS = {"prior": 6.0, "enumeration": 10.0, "pairs": 10.0, "index_titles": 10.0, "constant": 1.0, "key": 1.5, "author": 1.0, "series": 12.0, "album": 8.0}
@@ -109,7 +110,8 @@ def cluster(files: DataFrame, part: str, stem: str, order: str) -> DataFrame:
     A work is named by the first of its files by ``order``. Null stems are empty.
     """
     text = F.coalesce(F.col(stem), F.lit(""))
-    cut = files.select("*", chunks.chunks(text).alias("_c")).withColumns({"_s": F.transform("_c", chunks.signature), "_w": F.transform("_c", lambda c: F.array_join(chunks.words(c), " "))})
+    # what regular expressions find is written once: sums, places and labels all read it
+    cut = kept(files.select("*", chunks.chunks(text).alias("_c")).withColumns({"_s": F.transform("_c", chunks.signature), "_w": F.transform("_c", lambda c: F.array_join(chunks.words(c), " "))}))
     place = lambda c: F.filter(F.sequence(F.lit(0), F.size(c)), lambda k: F.get(c, k) != "")
     index = names.track_index(text)
     single = F.when(F.size(index["components"]) == 1, index["components"][0])
@@ -140,6 +142,7 @@ def cluster(files: DataFrame, part: str, stem: str, order: str) -> DataFrame:
     parts = F.when(F.col("_case") == "glued", chunks.spaced(residue)).when(lead.isNotNull(), chunks.without_number(chunks.spaced(lead))).otherwise(shown)
     several = ~F.col("_case").isin("chapters", "glued", "numbers", "identical")
     own = met.withColumns({"_own": several, "_label": F.when(several, F.when(alone != "", alone).otherwise(shown)).otherwise(F.when(parts != "", parts).otherwise(shown)), "_ref": F.when(several & (F.size("_t") > 1), chunks.series_of(F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1)))))})
+    own = kept(own.select(*files.columns, "kind", "points", "_own", "_label", "_ref"))
     first = own.where(~F.col("_own")).groupBy(part).agg(F.min(F.struct(order, "_label")).alias("_first"))
     out = own.join(first, part, "left")
     return out.select(

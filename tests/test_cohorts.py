@@ -83,3 +83,10 @@ def test_constant_tokens_do_not_shuffle_tokens(spark):
     rows = spark.createDataFrame([(p, k, f"(a) (b) (c) (d{k}) (e) (f)") for p in range(100) for k in range(4)], "p int, at int, name string")
     found = cohorts.constant_tokens(rows, "p", "name", "at")
     assert found.count() == 500 and shuffled(spark, found) <= 400
+
+
+def test_stems_are_cut_once(spark):
+    rows = folder(spark, {"a": ["Title 1 of 2", "Title 2 of 2"], "b": ["01Cujo", "02Cujo"]})
+    found = cohorts.cluster(rows, "p", "name", "at")
+    assert "regexp" not in found._jdf.queryExecution().toString()
+    assert {(r["p"], r["kind"], r["work"]) for r in found.collect()} == {("a", "single", 0), ("b", "single", 0)}
