@@ -81,19 +81,21 @@ def part_order(rows: DataFrame, part: str, name: str, track: str) -> DataFrame:
     counts as empty.
     """
     mark = F.get(F.filter(names.part_marks(F.col(name)), lambda m: m["total"].isNotNull()), F.lit(0))
-    keyed = rows.withColumns({"_mark": mark, "_key": names.natural_key(F.coalesce(F.col(name), F.lit("")))})
-    # of 1..n at most n values that lie in 1..n: a permutation if n differ; by name only the number of kinds counts, which is summed by kind first
-    kinds = keyed.groupBy(part, "_key").agg(F.count("*").alias("_c")).groupBy(part).agg(F.max("_c").alias("_same"))
-    inside = keyed.groupBy(part).agg(
-        F.count("*").alias("_n"), F.count_distinct(track).alias("_tracks"), F.count(track).alias("_tracked"), F.min(track).alias("_t_low"), F.max(track).alias("_t_high"), F.count_distinct("_mark.index").alias("_marks"), F.count("_mark").alias("_marked"),
-        F.min("_mark.index").alias("_m_low"), F.max("_mark.index").alias("_m_high"), F.min("_mark.total").alias("_total"), F.max("_mark.total").alias("_other_total"),
-    )
+    keyed = rows.where(F.col(part).isNotNull()).withColumns({"_mark": mark, "_key": names.natural_key(F.coalesce(F.col(name), F.lit("")))}).withColumn("_at", F.col("_mark.index"))
+    # of 1..n at most n values that lie in 1..n: a permutation if none repeats; a part's rows are only sorted, one shuffle serves all sorts
+    own = Window.partitionBy(part)
+    again = lambda c: F.coalesce(F.col(c) == F.lag(c).over(own.orderBy(c)), F.lit(False))
+    keyed = keyed.withColumns({"_key_again": again("_key"), "_track_again": again(track), "_at_again": again("_at")})
+    sums = {
+        "_n": F.count("*"), "_same": F.bool_or("_key_again"), "_repeats": F.bool_or("_track_again"), "_tracked": F.count(track), "_t_low": F.min(track), "_t_high": F.max(track), "_at_repeats": F.bool_or("_at_again"), "_marked": F.count("_at"),
+        "_m_low": F.min("_at"), "_m_high": F.max("_at"), "_total": F.min("_mark.total"), "_other_total": F.max("_mark.total"),
+    }
     n = F.col("_n")
-    full = lambda kind, count, low, high: (F.col(kind) == n) & (F.col(count) == n) & (F.col(low) == 1) & (F.col(high) == n)
-    by_total = full("_marks", "_marked", "_m_low", "_m_high") & (F.col("_total") == n) & (F.col("_other_total") == n)
-    by = F.when(n == 1, "single").when(full("_tracks", "_tracked", "_t_low", "_t_high"), "track").when(by_total, "total").when(F.col("_same") == 1, "name").otherwise("blocked")
-    judged = keyed.join(inside.join(kinds, part).select(part, by.alias("by")), part)
-    order = F.when(F.col("by") == "track", F.col(track).cast("long")).when(F.col("by") == "total", F.col("_mark.index").cast("long"))
+    full = lambda repeats, count, low, high: ~F.col(repeats) & (F.col(count) == n) & (F.col(low) == 1) & (F.col(high) == n)
+    by_total = full("_at_repeats", "_marked", "_m_low", "_m_high") & (F.col("_total") == n) & (F.col("_other_total") == n)
+    by = F.when(n == 1, "single").when(full("_repeats", "_tracked", "_t_low", "_t_high"), "track").when(by_total, "total").when(~F.col("_same"), "name").otherwise("blocked")
+    judged = keyed.withColumns({c: f.over(own) for c, f in sums.items()}).withColumn("by", by)
+    order = F.when(F.col("by") == "track", F.col(track).cast("long")).when(F.col("by") == "total", F.col("_at").cast("long"))
     place = F.row_number().over(Window.partitionBy(part).orderBy(order, "_key"))
     return judged.withColumn("place", F.when(F.col("by") != "blocked", place)).select(*rows.columns, "place", "by")
 

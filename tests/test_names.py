@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import names, templates
 from lectern.operators import files
+from tests.measured import shuffled
 
 
 def of(spark, f, values):
@@ -170,3 +171,10 @@ def test_part_order(spark):
             assert all(g[1] is None for g in got[p])
         else:
             assert [g[1] for g in got[p]] == list(range(1, len(got[p]) + 1)) and [g[2] for g in got[p]] == order[p], p
+
+
+def test_part_order_shuffles_rows_once(spark):
+    rows = spark.createDataFrame([(p, f"v {k * p}", k if p % 2 else None) for p in range(100) for k in (1, 2, 3)] + [(None, "x", 1)], "p int, n string, t int")
+    found = files.part_order(rows, "p", "n", "t")
+    by = {(r["p"], r["by"]) for r in found.collect()}
+    assert by == {(p, "track" if p % 2 else "name" if p else "blocked") for p in range(100)} and shuffled(spark, found) <= 300
