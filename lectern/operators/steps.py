@@ -49,3 +49,8 @@ class Steps:
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there."""
     return Steps(df.sparkSession).keep(df)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over as many tasks as the session has partitions: names are small, so that Spark reads many rows in few tasks, but slow to cut."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

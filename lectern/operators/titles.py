@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.quality import structural_marker
 from lectern.functions.titles import name_residuals, plain_words, says_something, title_residuals, title_words
-from lectern.operators.steps import Steps
+from lectern.operators.steps import Steps, spread
 
 
 def verdicts(books: DataFrame, files: DataFrame, book: str, order: str) -> DataFrame:
@@ -19,9 +20,11 @@ def verdicts(books: DataFrame, files: DataFrame, book: str, order: str) -> DataF
     steps = Steps(books.sparkSession)
     listed = F.coalesce("authors", F.array().cast("array<string>"))
     known = F.filter(F.array("series", "franchise"), lambda t: t.isNotNull() & (t != ""))
-    rows = books.select(book, "title", F.coalesce("folder", F.lit("")).alias("folder"), listed.alias("authors"), known.alias("_known")).withColumn("_all", F.concat("authors", "_known"))
+    rows = spread(books.select(book, "title", F.coalesce("folder", F.lit("")).alias("folder"), listed.alias("authors"), known.alias("_known")), book).withColumn("_all", F.concat("authors", "_known"))
     # residuals are written before rows are filtered by them: pushed below them, a filter would repeat all their steps
-    said = steps.keep(name_residuals(files.join(rows.select(book, "_all"), book), "stem", "_all", "_said").select(book, order, plain_words(F.col("_said")).alias("_words")))
+    # a mark of structure (``Chapter 1``) says nothing and isn't cut
+    stems = spread(files.where(~structural_marker(F.col("stem"))).select(book, order, "stem"), book)
+    said = steps.keep(name_residuals(stems.join(rows.select(book, "_all"), book), "stem", "_all", "_said").select(book, order, plain_words(F.col("_said")).alias("_words")))
     said = said.where(F.size("_words") > 0)
     n = said.groupBy(book).agg(F.count("*").alias("_n"))
     words = said.select(book, order, F.posexplode("_words").alias("_at", "_word")).groupBy(book, "_word").agg(F.count("*").alias("_c"), F.min(F.struct(order, "_at")).alias("_first"))

@@ -120,3 +120,11 @@ def test_what_makes_stale(spark, pair):
     if pair[0] in ("search", "identify"):
         got = spark.range(1).select(phases.makes_stale(F.lit(pair[0]), F.lit(pair[1])), phases.makes_stale(F.lit(pair[1]), F.lit(pair[0]))).first()
         assert tuple(got) == (pair[1] != "encode" or pair[0] == "search", False)
+
+
+def test_titles_are_cut_by_all_tasks(spark):
+    books = spark.range(0, 200, 1, 1).selectExpr("id as i", "concat('Book ', id) as title", "concat('1981 - Book ', id) as folder", "array('Ann Lee') as authors", "'Saga' as series", "cast(null as string) as franchise")
+    files = spark.range(0, 200, 1, 1).selectExpr("id as i", "1 as at", "concat('Saga - Book ', id, ' Words') as stem")
+    read = titles.verdicts(books, files, "i", "at").inputFiles()
+    written = [sum(f.split("/")[-2] == step for f in read) for step in ("0", "1")]
+    assert written == [4, 4]  # what the stems and what titles and folders say
