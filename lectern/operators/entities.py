@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as fx
 from lectern.operators import ranks
+from lectern.operators.steps import Steps, kept
 
 # Fixed value: whose spelling of a name counts more.
 AUTHORITY = {"manual": 5, "audnexus": 4, "audible": 4, "hardcover": 4, "openlibrary": 4, "googlebooks": 4, "tag": 3, "datafile": 3, "directory": 2, "filename": 2, "graphing": 1}
@@ -26,18 +27,23 @@ def memberships(books: DataFrame, aliases: DataFrame) -> DataFrame:
     known = aliases.groupBy("kind", fx.entity_key(F.col("name")).alias("said_key")).agg(F.min("canonical").alias("canonical"))
     rows = people.unionByName(series).withColumn("said_key", fx.entity_key(F.col("said"))).join(known, ["kind", "said_key"], "left")
     name = F.coalesce("canonical", "said")
-    return rows.select("book", "kind", fx.entity_key(name).alias("key"), name.alias("name"), F.coalesce("prov", F.lit("")).alias("prov"), "sequence", "at").where("key <> ''")
+    key = F.when(F.col("canonical").isNull(), F.col("said_key")).otherwise(fx.entity_key(F.col("canonical")))
+    return rows.select("book", "kind", key.alias("key"), name.alias("name"), F.coalesce("prov", F.lit("")).alias("prov"), "sequence", "at").where("key <> ''")
 
 
-def displays(members: DataFrame, order: str = "book") -> DataFrame:
-    """(kind, key, display, n_books): the spelling that the most authoritative sources use most; of several, the one that ceases first by ``order``."""
+def spellings(members: DataFrame, order: str = "book") -> DataFrame:
+    """(kind, key, display): the spelling that the most authoritative sources use most; of several, the one that ceases first by ``order``."""
     authority = reduce(lambda c, p: c.when(F.col("prov") == p[0], p[1]), list(AUTHORITY.items())[1:], F.when(F.col("prov") == "manual", AUTHORITY["manual"])).otherwise(0)
     spelled = members.groupBy("kind", "key", authority.alias("authority"), "name").agg(F.count("*").alias("n"), F.max(F.struct(order, "at")).alias("last"))
     best = spelled.groupBy("kind", "key").agg(F.max("authority").alias("authority"))
     top = spelled.join(best, ["kind", "key", "authority"])
     rank = F.row_number().over(Window.partitionBy("kind", "key").orderBy(F.desc("n"), "last", "name"))  # spellings of one name
-    shown = top.withColumn("r", rank).where("r = 1").select("kind", "key", F.col("name").alias("display"))
-    return shown.join(members.groupBy("kind", "key").agg(F.count_distinct("book").alias("n_books")), ["kind", "key"])
+    return top.withColumn("r", rank).where("r = 1").select("kind", "key", F.col("name").alias("display"))
+
+
+def displays(members: DataFrame, order: str = "book") -> DataFrame:
+    """``spellings`` with ``n_books``."""
+    return spellings(members, order).join(members.groupBy("kind", "key").agg(F.count_distinct("book").alias("n_books")), ["kind", "key"])
 
 
 def tree(books: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -48,11 +54,13 @@ def tree(books: DataFrame, aliases: DataFrame) -> DataFrame:
     neither, the least sure first. A book stands in each series once, at the greatest of its numbers; no number is 0. Ties go
     by book.
     """
-    members = memberships(books, aliases)
-    names = displays(members).select("kind", "key", "display")
+    # keys are slow to make and read by all that follows
+    steps = Steps(books.sparkSession)
+    members = steps.keep(memberships(books, aliases))
+    names = steps.keep(spellings(members))
     # the name of an author is that of its members; a pseudo-author bears the series' name
     people = members.where("kind = 'author'").select("book", F.col("key").alias("author_key")).distinct()
-    serial = members.where("kind = 'series'").groupBy("book", F.col("key").alias("series_key")).agg(F.max(F.coalesce("sequence", F.lit(0.0))).alias("sequence"))
+    serial = steps.keep(members.where("kind = 'series'").groupBy("book", F.col("key").alias("series_key")).agg(F.max(F.coalesce("sequence", F.lit(0.0))).alias("sequence")))
     first = members.where("kind = 'series'").groupBy("book").agg(F.min_by(F.struct("key", "name"), "at").alias("f"))
     pseudo = first.join(people, "book", "left_anti").select("book", F.col("f.key").alias("author_key"), F.col("f.name").alias("pseudo"))
     of = lambda kind, key, shown: names.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("display").alias(shown))
@@ -62,15 +70,15 @@ def tree(books: DataFrame, aliases: DataFrame) -> DataFrame:
     homes = homes.select("book", "author_key", F.coalesce("author", "own").alias("author"))
     rest = books.select("book", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     nested = homes.join(serial, "book", "left").join(of("series", "series_key", "series"), "series_key", "left").join(rest, "book")
-    placed = lambda rows, keys, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "book")))
-    by_title = F.when(F.col("series_key").isNull(), F.col("title"))
-    authors = placed(nested, ["author_key", "series_key"], "sequence", by_title)
+    # a few authors and series hold most books: their rows are ranked by range, too
+    placed = lambda rows, keys, *order: ranks.place(rows, [*order, "book"], within=keys).withColumn("place", F.col("place").cast("int"))
+    authors = placed(nested.withColumn("title", F.when(F.col("series_key").isNull(), F.col("title"))), ["author_key", "series_key"], "sequence", "title")
     series = placed(serial.join(of("series", "series_key", "series"), "series_key"), ["series_key"], "sequence")
     lost = rest.join(members.select("book").distinct(), "book", "left_anti")
     view = lambda rows, name: rows.select(F.lit(name).alias("view"), "author", "series", "place", "book")
     none = F.lit(None).cast("string")
     # the least sure first: one list of all books, ranked by range
-    unsure = ranks.place(lost, ["confidence", "book"]).withColumn("place", F.col("place").cast("int"))
+    unsure = placed(lost, [], "confidence")
     return view(authors, "authors").unionByName(view(series.withColumn("author", none), "series")).unionByName(view(unsure.withColumns({"author": none, "series": none}), "needs_id"))
 
 
@@ -81,6 +89,7 @@ def narrowed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def branches(rows: DataFrame) -> DataFrame:
     """(view, author, series, n): the tree's nodes with their books, ancestors of every row included; an author's own row has no series and counts all of its books once."""
+    rows = kept(rows)
     leaves = rows.groupBy("view", "author", "series").agg(F.count_distinct("book").alias("n")).where("series is not null")
     roots = rows.groupBy("view", "author").agg(F.count_distinct("book").alias("n")).where("author is not null or view = 'needs_id'").withColumn("series", F.lit(None).cast("string"))
     return leaves.unionByName(roots.select(*leaves.columns))

@@ -128,3 +128,12 @@ def test_titles_are_cut_by_all_tasks(spark):
     read = titles.verdicts(books, files, "i", "at").inputFiles()
     written = [sum(f.split("/")[-2] == step for f in read) for step in ("0", "1")]
     assert written == [4, 4]  # what the stems and what titles and folders say
+
+
+def test_keys_of_a_tree_are_made_once(spark):
+    books = spark.createDataFrame([(i, f"T{i}", [f"Ann  {i % 2}"], "tag", [("Saga", float(i))], "tag", 1.0) for i in range(6)], "book int, title string, authors array<string>, authors_prov string, series array<struct<name:string,sequence:double>>, series_prov string, confidence double")
+    rows = entities.tree(books, spark.createDataFrame([("author", "ann 1", "Eve")], "kind string, name string, canonical string"))
+    assert not any(f in rows._jdf.queryExecution().toString() for f in ("regexp", "normalize", "lower("))
+    assert {(r["view"], r["author"], r["series"], r["place"], r["book"]) for r in rows.collect()} == {
+        *(("authors", "Eve" if i % 2 else "Ann  0", "Saga", i // 2 + 1, i) for i in range(6)), *(("series", None, "Saga", i + 1, i) for i in range(6)),
+    }
