@@ -46,8 +46,8 @@ def displays(members: DataFrame, order: str = "book") -> DataFrame:
     return spellings(members, order).join(members.groupBy("kind", "key").agg(F.count_distinct("book").alias("n_books")), ["kind", "key"])
 
 
-def tree(books: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(view, author, series, place, book): the navigator's rows.
+def tree(books: DataFrame, aliases: DataFrame, places: bool = True) -> DataFrame:
+    """(view, author, series, place, book): the navigator's rows; ``places`` is false for them without ``place``, unranked.
 
     ``authors``: an author's series by number, then its books without a series by title (series null); a book with a series but
     no author stands under the name of its first series. ``series``: all books of a series by number. ``needs_id``: books with
@@ -71,11 +71,11 @@ def tree(books: DataFrame, aliases: DataFrame) -> DataFrame:
     rest = books.select("book", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     nested = homes.join(serial, "book", "left").join(of("series", "series_key", "series"), "series_key", "left").join(rest, "book")
     # a few authors and series hold most books: their rows are ranked by range, too
-    placed = lambda rows, keys, *order: ranks.place(rows, [*order, "book"], within=keys).withColumn("place", F.col("place").cast("int"))
+    placed = lambda rows, keys, *order: ranks.place(rows, [*order, "book"], within=keys).withColumn("place", F.col("place").cast("int")) if places else rows
     authors = placed(nested.withColumn("title", F.when(F.col("series_key").isNull(), F.col("title"))), ["author_key", "series_key"], "sequence", "title")
     series = placed(serial.join(of("series", "series_key", "series"), "series_key"), ["series_key"], "sequence")
     lost = rest.join(members.select("book").distinct(), "book", "left_anti")
-    view = lambda rows, name: rows.select(F.lit(name).alias("view"), "author", "series", "place", "book")
+    view = lambda rows, name: rows.select(F.lit(name).alias("view"), "author", "series", *(["place"] if places else []), "book")
     none = F.lit(None).cast("string")
     # the least sure first: one list of all books, ranked by range
     unsure = placed(lost, [], "confidence")

@@ -156,7 +156,7 @@ UNION ALL SELECT 'series', NULL, series, count(*) FROM b WHERE series IS NOT NUL
 def library_tree_filtered(spark, d):
     """Nodes of the tree that are left when only orders of one state are wanted."""
     wanted = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("book"))
-    return entities.branches(entities.narrowed(entities.tree(tree_books(spark, d), no_aliases(spark)), wanted))
+    return entities.branches(entities.narrowed(entities.tree(tree_books(spark, d), no_aliases(spark), places=False), wanted))
 
 
 @query("""WITH s AS (SELECT p_partkey, lower(p_type) AS key, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN lower(p_type) ELSE upper(p_type[1]) || lower(p_type[2:]) END AS name, CASE p_size % 3 WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 2 END AS authority FROM part),

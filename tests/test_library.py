@@ -137,3 +137,12 @@ def test_keys_of_a_tree_are_made_once(spark):
     assert {(r["view"], r["author"], r["series"], r["place"], r["book"]) for r in rows.collect()} == {
         *(("authors", "Eve" if i % 2 else "Ann  0", "Saga", i // 2 + 1, i) for i in range(6)), *(("series", None, "Saga", i + 1, i) for i in range(6)),
     }
+
+
+def test_branches_need_no_places(spark):
+    books = spark.createDataFrame([(i, f"T{i}", ["Ann"] if i % 2 else None, "tag", [("Saga", float(i))] if i % 3 else None, "tag", 1.0) for i in range(12)], "book int, title string, authors array<string>, authors_prov string, series array<struct<name:string,sequence:double>>, series_prov string, confidence double")
+    none, few = spark.createDataFrame([], "kind string, name string, canonical string"), spark.createDataFrame([(i,) for i in (0, 1, 3, 4, 5)], "book int")
+    ranked, plain = entities.tree(books, none), entities.tree(books, none, places=False)
+    assert plain.columns == ["view", "author", "series", "book"] and "Window" not in plain._jdf.queryExecution().executedPlan().toString()
+    both = [sorted(map(tuple, entities.branches(entities.narrowed(t, few)).collect()), key=repr) for t in (ranked, plain)]
+    assert both[0] == both[1] and ("needs_id", None, None, 1) in both[0]
