@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, names, quality
-from lectern.operators.steps import kept
+from lectern.operators.steps import Steps, kept
 
 # Weights of the election between one book and many, and its bounds.
 WEIGHTS = {"prior": 6.0, "enumeration": 10.0, "pairs": 10.0, "index_titles": 10.0, "constant": 1.0, "key": 1.5, "author": 1.0, "series": 12.0, "album": 8.0}
 CONSTANTS_MOST, WHOLE_BOOK_SECONDS, ALBUM_FILES = 3, 10_800, 8
+#: Files that one task sorts, about; a larger folder stays whole and spills.
+TASK_FILES = 500_000
 
 
 def same(c: Column | str) -> Column:
@@ -26,29 +28,55 @@ def constant_tokens(rows: DataFrame, part: str, name: str, order: str) -> DataFr
     """(part, token, place): tokens that every name of a part has, compared without case, as the first name by ``order`` writes them.
 
     Each row says by bits, 64 tokens a number, which tokens of the first name it has; what all rows have is left. Nothing but a
-    part's rows is held, which are sorted together. Parts of one name have none.
+    part's rows is held, which are sorted together; only the first of them keeps its tokens past that. Parts of one name have none.
     """
-    keys = lambda c: F.transform(c, chunks.comparable)
+    return shared_tokens(with_tokens(rows.select(part, order, name), name), part, order)
+
+
+def with_tokens(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the tokens of a name and, to compare them, their keys."""
+    return rows.withColumn("_tokens", chunks.cohort_tokens(F.col(name))).withColumn("_own", F.transform("_tokens", chunks.comparable))
+
+
+def shared_tokens(cut: DataFrame, part: str, order: str) -> DataFrame:
+    """``constant_tokens`` of rows that are cut already."""
     own = Window.partitionBy(part)
-    cut = rows.where(F.col(part).isNotNull()).select(part, order, chunks.cohort_tokens(F.col(name)).alias("_tokens")).withColumn("_own", keys("_tokens"))
-    led = cut.withColumns({"_first": F.first("_own").over(own.orderBy(order)), "_k": F.row_number().over(own.orderBy(order)), "_n": F.count("*").over(own)}).where("_n >= 2")
+    led = cut.where(F.col(part).isNotNull()).select(part, order, "_tokens", "_own").withColumns({"_first": F.first("_own").over(own.orderBy(order)), "_k": F.row_number().over(own.orderBy(order)), "_n": F.count("*").over(own)}).where("_n >= 2")
     words = led.withColumn("_word", F.explode(F.when(F.size("_first") > 0, F.sequence(F.lit(0), F.floor((F.size("_first") - 1) / 64).cast("int")))))
     of_word = F.slice("_first", F.col("_word") * 64 + 1, F.lit(64))
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
     held = F.aggregate(F.transform(of_word, lambda t, k: F.when(F.array_contains("_own", t), bit(k)).otherwise(0)), F.lit(0).cast("long"), lambda bits, b: bits.bitwiseOR(b))
-    every = words.withColumn("_all", F.bit_and(held).over(Window.partitionBy(part, "_word"))).where("_k = 1 and _all <> 0")
-    each = every.select(part, "_tokens", "_own", "_word", "_all", F.posexplode(of_word).alias("_bit", "_key")).where(F.col("_all").bitwiseAND(bit(F.col("_bit"))) != 0)
+    lead = lambda c: F.when(F.col("_k") == 1, c)
+    said = words.select(part, "_word", "_k", held.alias("_held"), lead(F.col("_tokens")).alias("_tokens"), lead(F.col("_own")).alias("_own"), lead(of_word).alias("_of_word"))
+    every = said.withColumn("_all", F.bit_and("_held").over(Window.partitionBy(part, "_word"))).where("_k = 1 and _all <> 0")
+    each = every.select(part, "_tokens", "_own", "_word", "_all", F.posexplode("_of_word").alias("_bit", "_key")).where(F.col("_all").bitwiseAND(bit(F.col("_bit"))) != 0)
     at = F.col("_word") * 64 + F.col("_bit")
     return each.where(F.array_position("_own", F.col("_key")) == at + 1).select(part, F.get("_tokens", at).alias("token"), at.alias("place"))
 
 
 def varies_only_by_number(rows: DataFrame, part: str, name: str, order: str) -> DataFrame:
     """(part, only_numbers): whether the names of a part are alike once constant tokens and digits are gone; false for one name."""
-    fixed = constant_tokens(rows, part, name, order).groupBy(part).agg(F.collect_set(chunks.comparable(F.col("token"))).alias("fixed"))  # at most a name's tokens
-    met = rows.select(part, chunks.cohort_tokens(F.col(name)).alias("tokens")).join(fixed, part, "left")
-    rest = F.filter("tokens", lambda t: ~F.array_contains(F.coalesce("fixed", F.array().cast("array<string>")), chunks.comparable(t)))
-    residue = chunks.comparable(F.regexp_replace(F.array_join(rest, " "), "[0-9]+", " "))
-    return met.groupBy(part).agg(((F.count("*") >= 2) & same(residue)).alias("only_numbers"))
+    cut = with_tokens(rows, name)
+    return beside_tokens(cut, shared_tokens(cut, part, order), part).groupBy(part).agg(only_numbers().alias("only_numbers"))
+
+
+def beside_tokens(cut: DataFrame, constants: DataFrame, part: str) -> DataFrame:
+    """Rows that are cut, with ``_residue``: what their names say besides their part's constant tokens and digits."""
+    fixed = constants.groupBy(part).agg(F.collect_set(chunks.comparable(F.col("token"))).alias("_fixed"))  # at most a name's tokens
+    rest = F.transform(F.filter(F.arrays_zip("_tokens", "_own"), lambda t: ~F.array_contains(F.coalesce("_fixed", F.array().cast("array<string>")), t["_own"])), lambda t: t["_tokens"])
+    return cut.join(fixed, part, "left").withColumn("_residue", chunks.comparable(F.regexp_replace(F.array_join(rest, " "), "[0-9]+", " ")))
+
+
+def only_numbers() -> Column:
+    return (F.count("*") >= 2) & same("_residue")
+
+
+def median_reaches(values: Column, bound: float) -> Column:
+    """Whether the median of a group's values is at least the bound, by counts and the values next to the bound, so that no values are held; null without values."""
+    below, above = values < bound, values >= bound
+    n, low = F.count(values), F.count(F.when(below, 1))
+    middle = F.max(F.when(below, values)) * 0.5 + F.min(F.when(above, values)) * 0.5  # of as many below as above
+    return F.when(n > 0, F.when(low * 2 == n, middle >= bound).otherwise(low * 2 < n))
 
 
 def number_pairs(rows: DataFrame, part: str, name: str, order: str) -> DataFrame:
@@ -74,15 +102,21 @@ def grouping_votes(files: DataFrame, part: str, order: str) -> DataFrame:
     key = F.when(some("asin"), F.concat(F.lit("asin:"), F.lower(names.stripped(F.col("asin"))))).when(some("isbn"), F.concat(F.lit("isbn:"), F.lower(names.stripped(F.col("isbn"))))).when(some("album") & ~quality.structural_marker(F.col("album")), F.concat(F.lit("album:"), text("album")))
     usable = lambda c: F.when(some(c) & ~quality.placeholder_title(F.col(c)), text(c))
     seconds = F.when(F.col("seconds") > 0, F.col("seconds"))
-    sums = files.groupBy(part).agg(
-        F.count("*").alias("n"), F.median(seconds).alias("median"), F.bool_and(some("title") & quality.structural_marker(F.col("title"))).alias("index_titles"), ((F.count(key) == F.count("*")) & same(key)).alias("keyed"),
+    # names are cut once; a folder's rows stay together, in more tasks the more files there are, and each step is written by itself:
+    # what sorts and aggregates of one hold isn't added to the others'
+    steps = Steps(files.sparkSession)
+    cut = steps.keep(with_tokens(files, "name"))
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // TASK_FILES))
+    cut = cut.repartition(tasks, part)
+    fixed = steps.keep(shared_tokens(cut, part, order))
+    sums = beside_tokens(cut, fixed, part).groupBy(part).agg(
+        only_numbers().alias("only_numbers"), F.count("*").alias("n"), median_reaches(seconds, WHOLE_BOOK_SECONDS).alias("reaches"), F.bool_and(some("title") & quality.structural_marker(F.col("title"))).alias("index_titles"), ((F.count(key) == F.count("*")) & same(key)).alias("keyed"),
         ((F.count(usable("artist")) == F.count("*")) & same(usable("artist")) & ~F.bool_or(quality.structural_marker(F.col("artist")))).alias("authored"),
         ((F.count(usable("album")) == F.count("*")) & same(usable("album")) & ~F.bool_or(quality.structural_marker(F.col("album")))).alias("albumed"),
     )
-    constants = constant_tokens(files, part, "name", order).groupBy(part).agg(F.count("*").alias("constants"))
-    known = sums.join(constants, part, "left").join(varies_only_by_number(files, part, "name", order), part).join(number_pairs(files, part, "name", order), part)
-    long = F.coalesce(F.col("median") >= WHOLE_BOOK_SECONDS, F.lit(False))
-    short = F.coalesce(F.col("median") < WHOLE_BOOK_SECONDS, F.lit(False))
+    counted = fixed.groupBy(part).agg(F.count("*").alias("constants"))
+    known = steps.keep(sums).repartition(tasks, part).join(counted, part, "left").join(steps.keep(number_pairs(cut, part, "name", order)), part)
+    long, short = F.coalesce("reaches", F.lit(False)), F.coalesce(~F.col("reaches"), F.lit(False))
     cast = [
         (F.lit(True), "many", WEIGHTS["prior"], "prior: default to split unless one-evidence exceeds it"), (F.col("only_numbers"), "one", WEIGHTS["enumeration"], "files differ only by number (numbered parts)"),
         (F.col("complete") & ~long, "one", WEIGHTS["pairs"], "complete numbered sequence"), (F.col("index_titles"), "one", WEIGHTS["index_titles"], "all per-file titles are structural markers"),

@@ -90,3 +90,31 @@ def test_stems_are_cut_once(spark):
     found = cohorts.cluster(rows, "p", "name", "at")
     assert "regexp" not in found._jdf.queryExecution().toString()
     assert {(r["p"], r["kind"], r["work"]) for r in found.collect()} == {("a", "single", 0), ("b", "single", 0)}
+
+
+def test_medians_against_a_bound(spark):
+    cases = {
+        "odd below": [1.0, 2.0, 90.0], "odd above": [1.0, 50.0, 90.0], "even below": [1.0, 8.0, 11.0, 90.0], "even at": [1.0, 8.0, 12.0, 90.0], "even above": [10.0, 11.0], "few": [1.0, 2.0, 3.0, 40.0], "at": [10.0], "ties": [10.0, 10.0, 1.0, 1.0],
+        "nulls": [None, 12.0, None, 1.0, 11.0], "none": [None, None],
+    }
+    rows = spark.createDataFrame([(p, v) for p, values in cases.items() for v in values], "p string, v double")
+    found = rows.groupBy("p").agg(cohorts.median_reaches(F.col("v"), 10.0).alias("got"), (F.median("v") >= 10.0).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in found) and {r["p"] for r in found if r["got"]} == {"odd above", "even at", "even above", "at", "nulls"}
+
+
+def test_grouping_holds_one_step_at_a_time(spark):
+    files = spark.range(0, 400, 1, 1).selectExpr("id div 4 as p", "id as at", "concat('Ann - Book 0', id % 4) as name", "cast(null as string) as title", "'The Album' as album", "cast(null as string) as asin", "cast(null as string) as isbn", "'Ann' as artist", "900.0D as seconds")
+    found = cohorts.resolve_grouping(cohorts.grouping_votes(files, "p", "at"), "p")
+    plan = found._jdf.queryExecution().toString()
+    assert not any(step in plan for step in ("Window", "percentile", "median", "regexp")) and found.where("outcome = 'one'").count() == 100
+
+
+def test_grouping_takes_more_tasks_for_more_files(spark, monkeypatch):
+    files = spark.range(0, 300, 1, 3).selectExpr("case when id < 200 then id div 4 else 1000 end as p", "id as at", "concat('Ann - Book 0', id) as name", "cast(null as string) as title", "'The Album' as album", "cast(null as string) as asin", "cast(null as string) as isbn", "'Ann' as artist", "900.0D as seconds")
+    run = lambda: cohorts.resolve_grouping(cohorts.grouping_votes(files, "p", "at"), "p")
+    few = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(cohorts, "TASK_FILES", 20)
+    found = run()
+    # sums of the folders come from 15 tasks of about 20 files, of which some meet no folder
+    assert max(sum(f.split("/")[-2] == step for f in found.inputFiles()) for step in ("1", "2", "3")) > 4
+    assert sorted(map(tuple, found.collect())) == few and len(few) == 51
