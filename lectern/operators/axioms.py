@@ -172,7 +172,8 @@ def numbered_siblings(lib: Library) -> DataFrame:
     read = children.select("node", number.alias("number"), cleaned.alias("cleaned"), F.coalesce(affix["strong"], F.lit(True)).alias("strong")).where("number is not null")
     # that numbers and titles differ shows in their least and greatest
     sums = read.groupBy("node").agg(F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), F.min("cleaned").alias("first"), F.max("cleaned").alias("last"), F.bool_or("strong").alias("strong"))
-    rows = sums.join(tagged, "node", "left").fillna(False, ["tagged"]).join(lib.nodes.select("node", "name"), "node")
+    # written once: each vote reads other columns of it, so that Spark would cut the names for each of them anew
+    rows = lib.steps.keep(sums.join(tagged, "node", "left").fillna(False, ["tagged"]).join(lib.nodes.select("node", "name"), "node"))
     vote = lambda where, axiom, weight, reason: lib.votes_of(rows.where(where), axiom, "series", WEIGHTS[weight], reason, F.col("name"))
     ramp = (F.col("n") >= 2) & (F.col("low") < F.col("high")) & (F.col("first") < F.col("last")) & (F.col("strong") | F.col("tagged"))
     return (

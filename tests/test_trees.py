@@ -145,3 +145,10 @@ def test_queries_equal_an_election_and_a_walk_up(spark):
         author = None if b["authors"] else kinds[best][1] if best else layout
         assert filled[b["book"]]["author"] == author, b
     assert len({r["author"] for r in filled.values()}) > 5 and len(filled) == lib.books.count()
+
+
+def test_names_of_siblings_are_cut_once(spark):
+    lib = library(spark, [book(1, "/A/Saga/01 - One", title="One", stem="01 - One"), book(2, "/A/Saga/02 - Two", title="Two", stem="02 - Two")])
+    votes = axioms.numbered_siblings(lib)
+    assert "regexp" not in votes._jdf.queryExecution().toString()
+    assert {(r["axiom"], r["weight"]) for r in votes.where("node = '/A/Saga'").collect()} == {("10 numbered", 1.0), ("11 ramp", 2.0)}
