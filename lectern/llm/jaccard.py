@@ -9,9 +9,10 @@ are needed to meet one of them: the rarest under an order that is the same for a
 documents; subsets without content last).
 
 Sets that share a signature are first compared with one of them, the lead with which they share most; what this links is one
-component. Then, within each signature, all sets of different components are compared: sizes and parity bitmaps
-bound their difference from below, and what passes is verified on the exact shingle sets. Large groups are dealt to several
-tasks as pairs of blocks. Shingles are compared by 64-bit hashes; two of m distinct shingles collide with odds of m^2 / 2^65.
+component. Then the sets that met one lead in any signature are one group, so that sets that share many signatures meet once and
+not in each, and within each group all sets of different components are compared: sizes and parity bitmaps of 4 to 8 bits a
+shingle bound their difference from below, and what passes, little under the threshold at worst, is verified on the exact
+shingle sets. Large groups are dealt to several tasks as pairs of blocks. Shingles are compared by 64-bit hashes; two of m distinct shingles collide with odds of m^2 / 2^65.
 
 Defined results: null text, empty text and text without words have no shingles and link with nothing; a text of fewer than
 five words has its whole sequence as one shingle; equal sets link; rows with one doc_id count as documents of their own with
@@ -41,15 +42,17 @@ PERCENT = 75
 PARTS = 3
 #: Buckets of the count sketch that orders signatures by rarity: 8 MB of counts, whatever the corpus holds.
 BUCKETS = 1 << 22
-#: Sets of a signature that are compared in one task; larger groups are dealt out as pairs of blocks of about this size.
-BLOCK = 2048
+#: Sets of a lead that are compared in one task, and bytes of their parities; larger groups are dealt out as pairs of blocks of about this size.
+BLOCK, BLOCK_BYTES = 2048, 1 << 23
 #: Partners of a set that are verified in one task.
 PARTNERS = 512
-#: Bits of the parity that travels with signatures; larger sets also have one of n to 2 n bits.
-SHORT = 512
+#: A parity has this times n to 2 n bits: at 4, sets of equal size with a Jaccard similarity under 0.73 seldom pass for similar.
+WIDE = 4
+#: Bytes of parities that are compared at a time.
+CHUNK_BYTES = 1 << 23
 #: Names of shown sets that a task remembers, to show equal sets once.
 SEEN = 1 << 18
-SET_SCHEMA = "doc_id long, mark long, n int, h1 long, h2 long, short binary, parity binary, sketch binary"
+SET_SCHEMA = "doc_id long, mark long, n int, h1 long, h2 long, parity binary, sketch binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -112,9 +115,9 @@ def bucket(signature: np.ndarray) -> np.ndarray:
     return (signature >> U64(42)).astype(np.int64)
 
 
-def parity(values: np.ndarray, bits: int = 0) -> bytes:
-    """A bit for each residue of the hashes, set if an odd number of them has it; n to 2 n bits, 64 at least, or ``bits``."""
-    m = bits or max(64, 1 << len(values).bit_length())
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set if an odd number of them has it; ``WIDE`` times n to 2 n bits, 64 at least."""
+    m = max(64, WIDE << len(values).bit_length())
     return np.packbits(np.bincount((values & U64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1).tobytes()
 
 
@@ -128,17 +131,16 @@ def least_different(a: bytes, b: bytes) -> int:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """Size, two hashes and parities of every document's set, and from each task one row with the sketch of its signatures."""
+    """Size, two hashes and parity of every document's set, and from each task one row with the sketch of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.int32)
         for batch in batches:
-            n, h1, h2, short, odd = [], [], [], [], []
+            n, h1, h2, odd = [], [], [], []
             made: list[np.ndarray] = []
             for _, values in shingle_sets(batch.column(2)):
                 n.append(len(values))
-                short.append(parity(values, SHORT))
-                odd.append(parity(values) if len(values) > SHORT else None)
+                odd.append(parity(values) if len(values) else None)
                 h1.append(int(mix(values).sum(dtype=np.uint64)) if len(values) else 0)
                 h2.append(int(mix(values ^ U64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) if len(values) else 0)
                 made += [signatures(values, band)[0] for band in bands(len(values))] if len(values) else []
@@ -147,8 +149,8 @@ def set_rows(docs: DataFrame) -> DataFrame:
                     made = []
             if made:
                 np.add.at(counts, bucket(np.concatenate(made)), 1)
-            yield _set_batch(batch.column(0), batch.column(1), n, h1, h2, short, odd, [None] * len(n))
-        yield _set_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], [0], [None], [None], [packed(counts)])
+            yield _set_batch(batch.column(0), batch.column(1), n, h1, h2, odd, [None] * len(n))
+        yield _set_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [0], [0], [0], [None], [packed(counts)])
 
     return marked(docs).mapInArrow(tidy(run), SET_SCHEMA)
 
@@ -158,10 +160,10 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def _set_batch(doc_id: pa.Array, mark: pa.Array, n: list, h1: list, h2: list, short: list, odd: list, sketch: list) -> pa.RecordBatch:
+def _set_batch(doc_id: pa.Array, mark: pa.Array, n: list, h1: list, h2: list, odd: list, sketch: list) -> pa.RecordBatch:
     names = [x.split()[0] for x in SET_SCHEMA.split(", ")]
     hashes = [pa.array(signed(np.array(h, np.uint64))) for h in (h1, h2)]
-    return pa.RecordBatch.from_arrays([doc_id, mark, pa.array(n, pa.int32()), *hashes, *(pa.array(x, pa.binary()) for x in (short, odd, sketch))], names=names)
+    return pa.RecordBatch.from_arrays([doc_id, mark, pa.array(n, pa.int32()), *hashes, *(pa.array(x, pa.binary()) for x in (odd, sketch))], names=names)
 
 
 def signature_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -258,15 +260,15 @@ def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            some = zip(*(batch.column(c).to_pylist() for c in ("short_a", "short_b", "parity_a", "parity_b")), strict=True)
-            apart = np.array([least_different(p or x, q or y) for x, y, p, q in some], dtype=np.int64)
+            some = zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), strict=True)
+            apart = np.array([least_different(x, y) for x, y in some], dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array(apart * (100 + PERCENT) <= n * (100 - PERCENT)))
 
-    side = lambda s: sets.select(F.col("name").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "short", "parity")))
+    side = lambda s: sets.select(F.col("name").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "parity")))
     both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fits = 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     named = both.join(side("a"), "a").join(side("b"), "b").where(fits)
-    return named.select("a", "b", "n_a", "n_b", "short_a", "short_b", "parity_a", "parity_b").mapInArrow(tidy(run), "a long, b long")
+    return named.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def degrees(met: DataFrame) -> DataFrame:
@@ -275,30 +277,61 @@ def degrees(met: DataFrame) -> DataFrame:
 
 
 def leads(parts: DataFrame) -> DataFrame:
-    """Each set (b) with that lead (a) with which it shares most signatures; a signature's lead is its set of the largest degree."""
+    """(lead, name, k): each set with the leads of its signatures, itself among them, and how many they share; a signature's lead is its set of the largest degree."""
     lead = parts.groupBy("signature").agg(F.max(F.struct("degree", "name")).alias("lead"))
-    counted = parts.join(lead, "signature").where("lead.name <> name").groupBy(F.col("lead.name").alias("a"), F.col("name").alias("b")).agg(F.count("*").alias("k"))
-    return counted.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
+    return parts.join(lead, "signature").groupBy(F.col("lead.name").alias("lead"), "name").agg(F.count("*").alias("k"))
+
+
+def nearest(led: DataFrame) -> DataFrame:
+    """Each set (b) with that lead (a) with which it shares most signatures."""
+    return led.where("lead <> name").groupBy(F.col("name").alias("b")).agg(F.max_by("lead", F.struct("k", "lead")).alias("a")).select("a", "b")
+
+
+class Parities:
+    """Parities of different lengths, compared by rows; the longer one of two is folded."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.row = np.zeros(len(raw), dtype=np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            some = np.flatnonzero(self.size == size)
+            self.row[some] = np.arange(len(some))
+            self.own[size] = np.frombuffer(b"".join(raw[some].tolist()), np.uint64).reshape(len(some), size // 8)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the parities of rows ``x`` and ``y`` differ: a lower bound of the sets' difference."""
+        out = np.zeros(len(x), dtype=np.int64)
+        kinds = self.size[x] << 32 | self.size[y]
+        for kind in np.unique(kinds).tolist():
+            some, sides = np.flatnonzero(kinds == kind), (kind >> 32, kind & 0xFFFFFFFF)
+            step = max(1, CHUNK_BYTES // max(sides))
+            for part in (some[i : i + step] for i in range(0, len(some), step)):
+                bits = [self.own[size][self.row[at[part]]] for size, at in zip(sides, (x, y), strict=True)]
+                least = min(sides) // 8
+                u, w = (b.reshape(len(part), -1, least) for b in bits)
+                out[part] = np.bitwise_count(np.bitwise_xor.reduce(u, axis=1) ^ np.bitwise_xor.reduce(w, axis=1)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def within(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of one signature and different components that may link, from (signature, name, component, n, short).
+    """Pairs (a, b) of sets of one lead and different components that may link, from (lead, name, component, n, parity).
 
-    A group of more than ``BLOCK`` sets is cut into blocks, and each pair of blocks is compared in a task of its own.
+    A group of more than ``BLOCK`` sets, or ``BLOCK_BYTES`` of parities, is cut into blocks, and each pair of blocks is compared
+    in a task of its own.
     """
 
-    def pairs(lo: int, hi: int, slot: np.ndarray, name: np.ndarray, component: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-        step = max(1, 65536 // len(n))
+    def pairs(lo: int, hi: int, slot: np.ndarray, name: np.ndarray, component: np.ndarray, n: np.ndarray, raw: np.ndarray) -> Iterator[np.ndarray]:
+        bits, step = Parities(raw), max(1, 65536 // len(n))
         for i in range(0, len(n), step):
             x = slice(i, i + step)
-            total = n[x, None] + n
             ok = (component[x, None] != component) & (name[x, None] < name) & (100 * np.minimum(n[x, None], n) >= PERCENT * np.maximum(n[x, None], n))
             if lo != hi:
                 ok &= slot[x, None] != slot
             u, w = np.nonzero(ok)
-            apart = np.bitwise_count(bits[i + u] ^ bits[w]).sum(axis=1, dtype=np.int64)
-            keep = apart * (100 + PERCENT) <= (100 - PERCENT) * total[u, w]
-            yield np.stack([name[i + u[keep]], name[w[keep]]], axis=1)
+            u += i
+            keep = bits.apart(u, w) * (100 + PERCENT) <= (100 - PERCENT) * (n[u] + n[w])
+            yield np.stack([name[u[keep]], name[w[keep]]], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -314,7 +347,9 @@ def within(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = [batch.column(k).to_numpy().astype(np.int64) for k in range(7)] + [np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, SHORT // 64)]
+            raw = np.empty(batch.num_rows, dtype=object)
+            raw[:] = batch.column(7).to_pylist()
+            own = [*(batch.column(k).to_numpy().astype(np.int64) for k in range(7)), raw]
             held = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]) | (held[2] != held[2][-1]))
             if len(last):  # all groups but the last are whole
@@ -323,11 +358,12 @@ def within(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield from done(held)
 
-    size = rows.groupBy("signature").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(size, "signature").withColumn("slot", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
+    most = F.greatest(F.count("*") / BLOCK, F.sum(F.length("parity").cast("long")) / BLOCK_BYTES)
+    size = rows.groupBy("lead").agg(F.ceil(most).cast("int").alias("blocks"))
+    dealt = rows.join(size, "lead").withColumn("slot", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("signature", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "name", "component", "n", "short")
-    return cells.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi").mapInArrow(tidy(run), "a long, b long").distinct()
+    cells = cells.select("lead", F.least("slot", "other").alias("lo"), F.greatest("slot", "other").alias("hi"), "slot", "name", "component", "n", "parity")
+    return cells.repartition("lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -339,23 +375,22 @@ def link(docs: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, Da
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.keep(set_rows(docs))
     first = F.min(F.struct("doc_id", "mark"))
-    one = rows.where("sketch is null and n > 0 and doc_id is not null").groupBy(F.col("h1").alias("name"), "n").agg(first.alias("first"), F.first("short").alias("short"), F.first("parity").alias("parity"))
-    sets = scratch.keep(one.select("name", "n", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "short", "parity"))
+    one = rows.where("sketch is null and n > 0 and doc_id is not null").groupBy(F.col("h1").alias("name"), "n").agg(first.alias("first"), F.first("parity").alias("parity"))
+    sets = scratch.keep(one.select("name", "n", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "parity"))
     group = Window.partitionBy("signature")
     both = signature_rows(docs, rarity(rows, BUCKETS)).withColumn("low", F.min("name").over(group)).withColumn("high", F.max("name").over(group)).withColumn("size", F.count("*").over(group))
     met = scratch.keep(both.where("low <> high").select("signature", "name", "size").distinct())
     marks = scratch.keep(sets.join(met.select("name").distinct(), "name", "left_semi").select("mark"))
     texts = scratch.keep(texts_of(docs, marks))  # of sets that share a signature
-    parts = degrees(met)
-    parts = scratch.keep(parts)
-    tried = scratch.keep(sized(leads(parts), sets))
+    led = scratch.keep(leads(degrees(met)))
+    scratch.drop(met, marks)
+    tried = scratch.keep(sized(nearest(led), sets))
     links = scratch.keep(verified(tried, texts))
     label = components(links, scratch).select(F.col("id").alias("name"), F.col("component").alias("label"))
-    parts = scratch.keep(parts.join(label, "name", "left").select("signature", "name", F.coalesce("label", "name").alias("component")))
-    mixed = parts.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-    parts = parts.join(mixed, "signature", "left_semi")
-    open_rows = parts.select("signature", "name", "component").join(sets.select("name", "n", "short"), "name")
-    second = scratch.keep(sized(within(open_rows), sets).join(tried, ["a", "b"], "left_anti"))
+    parts = scratch.keep(led.join(label, "name", "left").select("lead", "name", F.coalesce("label", "name").alias("component")))
+    mixed = parts.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("lead")
+    open_rows = parts.join(mixed, "lead", "left_semi").join(sets.select("name", "n", "parity"), "name")
+    second = scratch.keep(within(open_rows).join(tried, ["a", "b"], "left_anti"))
     links = scratch.keep(links.unionByName(verified(second, texts)))
     scratch.only(rows, sets, links)
     return rows.where("sketch is null").select("doc_id", "mark", "n", "h1"), sets, links

@@ -88,3 +88,28 @@ def test_similar_sets_always_share_a_signature():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
             assert shown(a) & shown(b), (len(a), len(b), both)
+
+
+def test_sets_that_share_little_are_no_candidates(spark, monkeypatch):
+    """Sets that share a passage, or two thirds of their shingles, meet in many signatures, but are not written as pairs."""
+    rnd = random.Random(5)
+    draw = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, base = draw(400), draw(420)
+    texts = [" ".join([*draw(700), *passage, *draw(700)]) for _ in range(30)]
+    for _ in range(30):
+        own = list(base)
+        for k in rnd.sample(range(0, 420, 6), 16):
+            own[k] = draw(1)[0]
+        texts.append(" ".join(own))
+    counted, within = [], jaccard.within
+
+    def count(rows):
+        counted.append((rows.count(), within(rows).count()))
+        return within(rows)
+
+    monkeypatch.setattr(jaccard, "within", count)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.group(rows).collect()}
+    assert got == brute(dict(enumerate(texts)))
+    assert counted[0][0] > 50  # the sets do meet
+    assert counted[0][1] < 10
