@@ -1,4 +1,4 @@
-"""Bitmaps of hashes: a filter of bounded size that stops rows before they move. What it lets pass in error, joins drop later."""
+"""Bitmaps of hashes: a filter of bounded size that stops rows before they move (what it lets pass in error, joins drop later), and parities of sets."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from lectern.llm.text import U64, mix, tidy
 
 #: Bits for each entry, and the largest bitmap's bits (32 MB) in powers of two. Beyond some 10^8 entries it passes nearly all.
 PER_ENTRY, MOST = 16, 28
+#: Bytes of parities that are compared at a time.
+CHUNK_BYTES = 1 << 23
 
 
 def _at(values: np.ndarray, size: int) -> np.ndarray:
@@ -38,3 +40,30 @@ def holds(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of 64-bit ``values`` are in the bitmap, or seem to be."""
     at = _at(values, len(bits) << 6)
     return bits[at >> U64(6)] >> (at & U64(63)) & U64(1) == 1
+
+
+class Parities:
+    """Parities of different lengths, compared by rows; the longer one of two is folded."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.row = np.zeros(len(raw), dtype=np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            some = np.flatnonzero(self.size == size)
+            self.row[some] = np.arange(len(some))
+            self.own[size] = np.frombuffer(b"".join(raw[some].tolist()), np.uint64).reshape(len(some), size // 8)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the parities of rows ``x`` and ``y`` differ: a lower bound of the sets' difference."""
+        out = np.zeros(len(x), dtype=np.int64)
+        kinds = self.size[x] << 32 | self.size[y]
+        for kind in np.unique(kinds).tolist():
+            some, sides = np.flatnonzero(kinds == kind), (kind >> 32, kind & 0xFFFFFFFF)
+            step = max(1, CHUNK_BYTES // max(sides))
+            for part in (some[i : i + step] for i in range(0, len(some), step)):
+                bits = [self.own[size][self.row[at[part]]] for size, at in zip(sides, (x, y), strict=True)]
+                least = min(sides) // 8
+                u, w = (b.reshape(len(part), -1, least) for b in bits)
+                out[part] = np.bitwise_count(np.bitwise_xor.reduce(u, axis=1) ^ np.bitwise_xor.reduce(w, axis=1)).sum(axis=1, dtype=np.int64)
+        return out

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.bitmaps import bitmap, holds
+from lectern.llm.bitmaps import Parities, bitmap, holds
 from lectern.llm.graph import components
 from lectern.llm.sketch import packed, rarity
 from lectern.llm.storage import Scratch
@@ -48,8 +48,6 @@ BLOCK, BLOCK_BYTES = 2048, 1 << 23
 PARTNERS = 512
 #: A parity has this times n to 2 n bits: at 4, sets of equal size with a Jaccard similarity under 0.73 seldom pass for similar.
 WIDE = 4
-#: Bytes of parities that are compared at a time.
-CHUNK_BYTES = 1 << 23
 #: Names of shown sets that a task remembers, to show equal sets once.
 SEEN = 1 << 18
 SET_SCHEMA = "doc_id long, mark long, n int, h1 long, h2 long, parity binary, sketch binary"
@@ -287,33 +285,6 @@ def nearest(led: DataFrame) -> DataFrame:
     return led.where("lead <> name").groupBy(F.col("name").alias("b")).agg(F.max_by("lead", F.struct("k", "lead")).alias("a")).select("a", "b")
 
 
-class Parities:
-    """Parities of different lengths, compared by rows; the longer one of two is folded."""
-
-    def __init__(self, raw: np.ndarray) -> None:
-        self.size = np.array([len(x) for x in raw], dtype=np.int64)
-        self.row = np.zeros(len(raw), dtype=np.int64)
-        self.own: dict[int, np.ndarray] = {}
-        for size in np.unique(self.size).tolist():
-            some = np.flatnonzero(self.size == size)
-            self.row[some] = np.arange(len(some))
-            self.own[size] = np.frombuffer(b"".join(raw[some].tolist()), np.uint64).reshape(len(some), size // 8)
-
-    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """In how many bits the parities of rows ``x`` and ``y`` differ: a lower bound of the sets' difference."""
-        out = np.zeros(len(x), dtype=np.int64)
-        kinds = self.size[x] << 32 | self.size[y]
-        for kind in np.unique(kinds).tolist():
-            some, sides = np.flatnonzero(kinds == kind), (kind >> 32, kind & 0xFFFFFFFF)
-            step = max(1, CHUNK_BYTES // max(sides))
-            for part in (some[i : i + step] for i in range(0, len(some), step)):
-                bits = [self.own[size][self.row[at[part]]] for size, at in zip(sides, (x, y), strict=True)]
-                least = min(sides) // 8
-                u, w = (b.reshape(len(part), -1, least) for b in bits)
-                out[part] = np.bitwise_count(np.bitwise_xor.reduce(u, axis=1) ^ np.bitwise_xor.reduce(w, axis=1)).sum(axis=1, dtype=np.int64)
-        return out
-
-
 def within(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets of one lead and different components that may link, from (lead, name, component, n, parity).
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.bitmaps import bitmap, holds
+from lectern.llm.bitmaps import Parities, bitmap, holds
 from lectern.llm.sketch import packed, rarity
 from lectern.llm.storage import Scratch
 from lectern.llm.text import U64, blocks, mix, signed, tidy, words
@@ -41,7 +41,7 @@ SKETCH = 1 << 20
 #: ``place`` holds line number << 33 | set size << 17 | position in the set << 1 | (1: a whole-line row), sizes cut at 65535.
 #: A whole-line row of size 0 is a repeat within its task, under a token of its own.
 MOST_SIZE = (1 << 16) - 1
-#: Lines of up to so many tokens have a parity of 64 bits (in ``low``), longer ones of 128, beyond ``NARROW`` tokens a wider one, too.
+#: Lines of up to so many tokens have a parity of 64 bits (in ``low``), longer ones of 128, beyond ``NARROW`` tokens a wider one instead.
 TINY, NARROW = 32, 64
 #: Postings that are compared at a time, and the largest group of a token that one task compares.
 CHUNK, GROUP = 1 << 18, 1 << 14
@@ -118,7 +118,7 @@ def parity_words(n: int) -> int:
 
 
 def parities(tokens: np.ndarray, cut: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
-    """Low and high word of each line's narrow parity, and its wide one; narrower ones are wide ones folded."""
+    """Low and high word of each line's narrow parity, and its wide one; a line that has this one travels without the others, which are it folded."""
     place = (tokens >> U64(40)).astype(np.int64) & 1023
     bit = U64(1) << (place & 63).astype(np.uint64)
     upper = (place >> 6 & 1) == 1
@@ -127,6 +127,7 @@ def parities(tokens: np.ndarray, cut: np.ndarray, n: np.ndarray) -> tuple[np.nda
     tiny = n <= TINY
     low[tiny] ^= high[tiny]
     high[tiny] = 0
+    low[n > NARROW] = high[n > NARROW] = 0
     wide: list[bytes | None] = [None] * len(n)
     for k in np.flatnonzero(n > NARROW).tolist():
         w = parity_words(int(n[k]))
@@ -199,24 +200,21 @@ def postings(docs: DataFrame, counts: np.ndarray, asked: np.ndarray | None = Non
     return docs.select("doc_id", "text").mapInArrow(tidy(run), POSTING)
 
 
-def wider(x: bytes, y: bytes) -> int:
-    """Bits in which two wide parities differ; the longer one is folded."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) != len(b):
-        a, b = (b, a) if len(a) < len(b) else (a, b)
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 class Group:
     """Sorted postings of some tokens as arrays."""
 
     def __init__(self, token: np.ndarray, doc: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, wide: np.ndarray, slot: np.ndarray | None = None) -> None:
-        self.token, self.doc, self.place, self.wide, self.slot = token, doc, place, wide, slot
+        self.token, self.doc, self.place, self.slot = token, doc, place, slot
         self.line = place >> 33
         self.n, self.position, self.whole = (place >> 17 & MOST_SIZE).astype(np.int32), (place >> 1 & MOST_SIZE).astype(np.int32), (place & 1).astype(bool)
         self.rest = np.where(self.whole, -1, self.n - self.position).astype(np.int32)
-        self.low, self.high = low.view(np.uint64), high.view(np.uint64)
+        self.low, self.high = low.astype(np.int64).view(np.uint64), high.astype(np.int64).view(np.uint64)
+        some = np.flatnonzero((self.n > NARROW) & ~self.whole)
+        self.wide, self.at = Parities(wide[some]), np.zeros(len(place), dtype=np.int64)
+        self.at[some] = np.arange(len(some))
+        for size, own in self.wide.own.items():
+            self.low[some[self.wide.size == size]] = np.bitwise_xor.reduce(own[:, ::2], axis=1)
+            self.high[some[self.wide.size == size]] = np.bitwise_xor.reduce(own[:, 1::2], axis=1)
         self.folded = self.low ^ self.high
 
     def candidates(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,8 +231,8 @@ class Group:
         huge = np.maximum(self.n[x], self.n[y]) >= MOST_SIZE
         good = (apart * (100 + PERCENT) <= (100 - PERCENT) * total) | huge
         x, y, total, apart, huge = x[good], y[good], total[good], apart[good], huge[good]
-        for i in np.flatnonzero(np.minimum(self.n[x], self.n[y]) > NARROW).tolist():
-            apart[i] = wider(self.wide[x[i]], self.wide[y[i]])
+        both = np.flatnonzero(np.minimum(self.n[x], self.n[y]) > NARROW)
+        apart[both] = self.wide.apart(self.at[x[both]], self.at[y[both]])
         good = (apart * (100 + PERCENT) <= (100 - PERCENT) * total) | huge
         return x[good], y[good], apart[good]
 

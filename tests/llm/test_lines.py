@@ -122,3 +122,20 @@ def test_groups_larger_than_a_batch(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute({r["doc_id"]: r["text"] for r in docs.collect()})
+
+
+def test_a_wide_parity_travels_alone():
+    tokens = np.random.default_rng(3).integers(0, 1 << 63, 500, dtype=np.uint64)
+    n = np.array([20, 50, 65, 129, 236])
+    low, high, wide = lines.parities(tokens, np.cumsum(n) - n, n)
+    assert [w is None for w in wide] == [True, True, False, False, False]
+    assert not low[2:].any() and not high[2:].any()
+    raw = np.empty(5, dtype=object)
+    raw[:] = wide
+    group = lines.Group(np.zeros(5, np.int64), np.arange(5), n << 17, low.view(np.int64), high.view(np.int64), raw)
+    for k, first in enumerate(np.cumsum(n) - n):
+        place = (tokens[first : first + n[k]] >> np.uint64(40)).astype(np.int64) & 127
+        bits = np.bincount(place, minlength=128) & 1
+        whole = sum(int(b) << i for i, b in enumerate(bits))
+        assert int(group.folded[k]) == (whole & (1 << 64) - 1) ^ (whole >> 64)
+        assert n[k] <= 32 or (int(group.low[k]), int(group.high[k])) == (whole & (1 << 64) - 1, whole >> 64)
