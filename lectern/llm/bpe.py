@@ -13,6 +13,7 @@ rows are encoded alike; an empty table gives an empty table; extra input columns
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -324,6 +325,12 @@ def codec(content: bytes, pattern: str) -> ByteBpe:
     return _codecs[key]
 
 
+def forget_codecs() -> None:
+    """Free the process's codecs."""
+    _codecs.clear()
+    gc.collect()  # a codec and its words refer to each other
+
+
 def read_vocabulary(path: str) -> bytes:
     """A vocabulary file as bytes; under 2 MB, so it is shipped with the job."""
     with open(path, "rb") as f:
@@ -362,22 +369,28 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "token_ids",
     return df.withColumn(out, to_bytes(F.col(ids)))
 
 
-def round_trip_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def round_trip_digest(docs: DataFrame, vocabulary: str, pattern: str, forget: bool = False) -> DataFrame:
     """Per document: token count, SHA-256 of the joined decimal ids, SHA-256 of the bytes decoded from those ids.
 
-    The digest is taken where the ids are made, so that ids (several times the text) never cross to the JVM.
+    The digest is taken where the ids are made, so that ids (several times the text) never cross to the JVM. With ``forget``
+    a task's codec goes with the task: Spark keeps Python workers, and other work that follows in them has no use for it.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(shipped.value, pattern)
-        for batch in batches:
-            count, encoded, decoded = [], [], []
-            for joined in bpe.encode_column(batch.column(1)):
-                count.append(joined.count(" ") + 1 if joined else 0)
-                encoded.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode_joined(joined)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe: ByteBpe | None = codec(shipped.value, pattern)
+        try:
+            for batch in batches:
+                count, encoded, decoded = [], [], []
+                for joined in bpe.encode_column(batch.column(1)):
+                    count.append(joined.count(" ") + 1 if joined else 0)
+                    encoded.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode_joined(joined)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            if forget:
+                bpe = None
+                forget_codecs()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), DIGEST_SCHEMA)
 

@@ -553,7 +553,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = gone.groupBy(F.col("doc_id").alias(name)).agg(F.collect_list("line").alias(own))  # at most a document's lines
     both = docs.join(gone, name, "left")
     count = F.coalesce(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1, F.lit(1)).cast("long")
-    kept_columns = [left_of("text", own).alias("text") if c == "text" else F.col(c) for c in columns]
+    once = left_of.asNondeterministic()  # else a filter on the text has it run again below, in a worker of its own
+    kept_columns = [once("text", own).alias("text") if c == "text" else F.col(c) for c in columns]
     return both.select(*kept_columns, count.alias("n_lines"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_removed_lines"))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
@@ -33,3 +34,22 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert got[d]["n_tokens"] == len(ids)
         assert got[d]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_workers_do_not_keep_the_codec_of_a_stage(spark):
+    def codecs(batches):
+        from lectern.llm import bpe
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._codecs)] * batch.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.range(0, 3200, 1, 32).selectExpr("id as doc_id", "concat('word', id) as text")
+    assert corpus_pipeline.token_stage(spark, docs, "").where("n_tokens > 0").count() == 3200
+    assert spark.range(0, 32, 1, 32).mapInArrow(codecs, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_lines_are_cut_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta gamma", 16), (2, "alpha beta gamma", 16), (3, "alpha beta gamma\nown", 20)], "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.line_stage(spark, docs, "")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("left_of(") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "alpha beta gamma", 16), (3, "own", 3)]
