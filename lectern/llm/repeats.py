@@ -217,7 +217,8 @@ def sharing(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 hashes = np.concatenate([phrase[repeated], window_hash(prefix, start, start + PASSAGE)])
                 yield pa.RecordBatch.from_arrays([ids, pa.array(signed(hashes))], names=["doc_id", "hash"])
 
-    shown = scratch.keep(docs.mapInArrow(tidy(windows), "doc_id long, hash long").distinct())
+    # as they are made: a document's equal windows are few, and need no shuffle of all windows to be dropped
+    shown = scratch.keep(docs.mapInArrow(tidy(windows), "doc_id long, hash long"))
     twice = shown.groupBy("hash").agg(*ends).where("low < high").select("hash")
     out = scratch.keep(shown.join(twice, "hash", "left_semi").select("doc_id").distinct())
     scratch.drop(kinds, shown)

@@ -92,3 +92,19 @@ def test_rows_with_equal_or_no_ids_are_documents_of_their_own(spark):
     got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=key) == sorted(((d, *want[i]) for i, (d, _) in enumerate(rows)), key=key)
+
+
+def test_shown_windows_are_written_where_they_are_made(spark, monkeypatch):
+    plans, keep = [], repeats.Scratch.keep
+
+    def noted(self, df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(self, df)
+
+    monkeypatch.setattr(repeats.Scratch, "keep", noted)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(1, passage + " a"), (2, "b " + passage + " " + passage), (3, " ".join(f"q{k}" for k in range(80)) * 2), (4, None)]
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"] for r in got if r["shares_passage"]} == {1, 2}
+    shown = [plan for columns, plan in plans if columns == ["doc_id", "hash"]]
+    assert len(shown) == 1 and not [x for x in shown[0].splitlines() if "Exchange" in x and "hashpartitioning" in x]
