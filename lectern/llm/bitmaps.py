@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lectern.llm.text import U64, mix, tidy
 
 #: Bits for each entry, and the largest bitmap's bits (32 MB) in powers of two. Beyond some 10^8 entries it passes nearly all.
 PER_ENTRY, MOST = 16, 28
+#: Bits of a page in powers of two (8 KB), and places of bits that a task gathers before it deals them to pages.
+PAGE, HELD = 16, 1 << 20
 #: Bytes of parities that are compared at a time.
 CHUNK_BYTES = 1 << 23
 
@@ -22,18 +23,44 @@ def _at(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def bitmap(rows: DataFrame) -> np.ndarray:
-    """Bits of all values of the one long column of ``rows``; only words of bits reach the driver."""
+    """Bits of all values of the one long column of ``rows``; only pages of bits reach the driver, which sets no bit and makes no object a word."""
     size = 1 << min(MOST, max(20, (PER_ENTRY * rows.count()).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            at = _at(batch.column(0).to_numpy(), size)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> U64(6)).astype(np.int64)), pa.array((U64(1) << (at & U64(63))).view(np.int64))], names=["word", "bits"])
-
-    table = rows.mapInArrow(tidy(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most 4 M words
-    bits = np.zeros(size >> 6, dtype=np.uint64)
-    bits[table["word"].to_numpy(dtype=np.int64)] = table["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return bits
+            held.append(_at(batch.column(0).to_numpy(), size).astype(np.uint32))
+            n += len(batch)
+            if n >= HELD:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.sort(np.concatenate(held))
+        pages, first = np.unique(at >> np.uint32(PAGE), return_index=True)
+        offsets = (at & np.uint32((1 << PAGE) - 1)).astype(np.uint16).tobytes()
+        bounds = (2 * np.append(first, len(at))).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(pages.astype(np.int32)), pa.array([offsets[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["page", "bits"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, offsets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one = np.zeros(1 << PAGE, dtype=bool)
+                one[np.frombuffer(offsets, dtype=np.uint16)] = True
+                bits = np.packbits(one, bitorder="little")
+                own[page] = own[page] | bits if page in own else bits
+        for page, bits in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["page", "bits"])
+
+    schema = "page int, bits binary"
+    whole = rows.mapInArrow(tidy(places), schema).repartition("page").mapInArrow(tidy(filled), schema).collect()  # at most 4,096 pages of 8 KB
+    out = np.zeros(size >> 3, dtype=np.uint8)
+    for page, bits in whole:
+        out[page << (PAGE - 3) : (page + 1) << (PAGE - 3)] = np.frombuffer(bits, dtype=np.uint8)
+    return out.view("<u8")
 
 
 def holds(bits: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -112,6 +112,7 @@ def pieces(docs: DataFrame, row: str, scratch: Scratch) -> DataFrame:
         F.count("*").alias("times"), (F.min("stretch") < F.max("stretch")).alias("mixed"), F.min("head").alias("id"), F.min("last").alias("last"), F.min("n").cast("long").alias("n"), place, only
     )
     kinds = scratch.keep(kinds.where("times > 1"))
+    known.destroy()
     mixed = kinds.where("mixed").select("core")
     split = spark.sparkContext.broadcast(bitmap(mixed))
 
@@ -124,6 +125,7 @@ def pieces(docs: DataFrame, row: str, scratch: Scratch) -> DataFrame:
     columns = ["core", "id", "last", "n", "times", "at", "before"]
     single = single.withColumn("last", F.col("id")).withColumn("n", F.lit(1).cast("long"))
     out = scratch.keep(kinds.where("not mixed").select(*columns).unionByName(single.select(*columns)))
+    split.destroy()
     scratch.drop(kinds)
     return out
 
