@@ -1,7 +1,7 @@
 """Files of a folder seen together: what their names share, whether they are one book's parts or several books.
 
 Each folder's files are reduced to summaries that merge (counts, least and greatest values by position), so that a folder of any
-size is combined before its rows move.
+size is combined before its rows move; but for constant tokens and clusters, whose windows hold a folder in one task, which spills.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import chunks, names, quality
-from lectern.operators.steps import Steps, kept
+from lectern.operators.steps import Steps, spread
 
 # Weights of the election between one book and many, and its bounds.
 WEIGHTS = {"prior": 6.0, "enumeration": 10.0, "pairs": 10.0, "index_titles": 10.0, "constant": 1.0, "key": 1.5, "author": 1.0, "series": 12.0, "album": 8.0}
 CONSTANTS_MOST, WHOLE_BOOK_SECONDS, ALBUM_FILES = 3, 10_800, 8
 #: Files that one task sorts, about; a larger folder stays whole and spills.
 TASK_FILES = 500_000
+#: Bytes of distinct stems, 32 more for each, whose readings are broadcast: some 40,000 stems.
+STEM_BYTES = 1 << 21
 
 
 def same(c: Column | str) -> Column:
@@ -141,44 +143,79 @@ def cluster(files: DataFrame, part: str, stem: str, order: str) -> DataFrame:
     (``single``, its files one work): a single file, a shared title with a chapter's mark in every stem, numbers glued to one
     text, names that differ by number only, or not at all. Several (``multi``, a work a file): different text, or the same title
     with more behind it and no numbers. ``unknown``: a stem without chunks, or numbers with text in chunks that not all have.
-    A work is named by the first of its files by ``order``. Null stems are empty.
+    A work is named by the first of its files by ``order``. Null stems are empty; files of no folder (null) are left out.
+
+    A folder's files are sorted together once, all its sums are windows over them; a folder stays in one task and spills.
     """
-    text = F.coalesce(F.col(stem), F.lit(""))
-    # what regular expressions find is written once: sums, places and labels all read it
-    cut = kept(files.select("*", chunks.chunks(text).alias("_c")).withColumns({"_s": F.transform("_c", chunks.signature), "_w": F.transform("_c", lambda c: F.array_join(chunks.words(c), " "))}))
-    place = lambda c: F.filter(F.sequence(F.lit(0), F.size(c)), lambda k: F.get(c, k) != "")
-    index = names.track_index(text)
-    single = F.when(F.size(index["components"]) == 1, index["components"][0])
-    residue = names.stripped(F.regexp_replace(text, "[0-9]+", ""))
-    sums = cut.groupBy(part).agg(
-        F.count("*").alias("n"), F.min(F.size("_c")).alias("least"), F.max(F.size("_c")).alias("most"), F.max(F.coalesce(F.array_max(place(F.col("_s"))), F.lit(-1))).alias("last_text"), F.bool_and(F.exists("_c", chunks.chapter_mark)).alias("chaptered"),
-        F.count(F.when(residue != "", single)).alias("numbered"), F.count_distinct(single).alias("numbers"), same(F.lower(residue)).alias("one_residue"),
-    )
-    by_place = cut.select(part, F.posexplode(F.arrays_zip("_s", "_w")).alias("_at", "x")).groupBy(part, "_at").agg(F.count("*").alias("held"), same("x._s").alias("same_text"), same("x._w").alias("same_words"), F.min("x._s").alias("text"))
-    relations = by_place.join(sums.select(part, "least"), part).where("_at < least").groupBy(part).agg(
-        F.bool_or(~F.col("same_text")).alias("different"), F.bool_or(F.col("same_text") & ~F.col("same_words")).alias("by_number"), F.bool_or((F.col("_at") == 0) & F.col("same_words") & (F.col("text") != "")).alias("titled"),
-    )
-    known = sums.join(relations, part, "left").fillna(False, ["different", "by_number", "titled"])
-    uniform = F.col("least") == F.col("most")
-    glued = (F.col("numbered") == F.col("n")) & (F.col("numbers") == F.col("n")) & F.col("one_residue")
+    read, texts = stems_read(files.where(F.col(part).isNotNull()), F.coalesce(F.col(stem), F.lit("")), part)
+    own = Window.partitionBy(part)
+    # sorted by number first, so that the windows without an order need no sort of their own
+    read = read.withColumn("_again", F.col("_number") == F.lag("_number").over(own.orderBy("_number")))
+    over = lambda **sums: {f"_{name}": c.over(own) for name, c in sums.items()}
+    known = read.withColumns(over(
+        n=F.count("*"), least=F.min(F.size("_s")), most=F.max(F.size("_s")), last_text=F.max("_last"), chaptered=F.bool_and("_marked"), headed=F.bool_and("_head"), numbered=F.count("_number"), repeated=F.bool_or(F.coalesce("_again", F.lit(False))), low_rest=F.min("_rest"), high_rest=F.max("_rest"),
+        low_words=F.min(F.get("_w", F.lit(0))), high_words=F.max(F.get("_w", F.lit(0))), first=F.min(F.struct(order)), first_glued=F.min(F.struct(order, "_glued")), first_part=F.min(F.struct(order, "_part")),
+    ))
+    # the chunks that all files have, as one value
+    shared = lambda c: F.get(c, F.col("_least") - 1)
+    known = known.withColumns(over(low_s=F.min(shared("_s")), high_s=F.max(shared("_s")), low_w=F.min(shared("_w")), high_w=F.max(shared("_w"))))
+    known = known if texts is None else known.join(F.broadcast(texts), "_stem")
+    uniform, titled = F.col("_least") == F.col("_most"), (F.col("_least") > 0) & (F.col("_low_words") == F.col("_high_words")) & F.col("_headed")
+    glued = (F.col("_numbered") == F.col("_n")) & ~F.col("_repeated") & (F.col("_low_rest") == F.col("_high_rest"))
     case = (
-        F.when(F.col("n") == 1, "file").when(F.col("least") == 0, "unparseable").when(F.col("titled") & F.col("chaptered"), "chapters").when(glued, "glued").when(F.col("different"), "titles")
-        .when(F.col("by_number"), F.when(~uniform & (F.col("last_text") >= F.col("least")), "ragged").otherwise("numbers")).when(uniform, "identical").otherwise("editions")
+        F.when(F.col("_n") == 1, "file").when(F.col("_least") == 0, "unparseable").when(titled & F.col("_chaptered"), "chapters").when(glued, "glued").when(F.col("_low_s") != F.col("_high_s"), "titles")
+        .when(F.col("_low_w") != F.col("_high_w"), F.when(~uniform & (F.col("_last_text") >= F.col("_least")), "ragged").otherwise("numbers")).when(uniform, "identical").otherwise("editions")
     )
     kind = F.when(F.col("_case").isin("unparseable", "ragged"), "unknown").when(F.col("_case").isin("titles", "editions"), "multi").otherwise("single")
     extra = F.when(F.col("_case").isin("chapters", "glued", "titles", "numbers"), 2).when(F.col("_case") == "identical", 1).otherwise(0)
     points = F.when(F.col("_case") == "file", 3).when(F.col("_case") == "unparseable", 0).otherwise(F.greatest(F.lit(0), F.when(uniform, 2).otherwise(-1) + extra))
-    judged = known.withColumn("_case", case).select(part, "_case", kind.alias("kind"), points.alias("points"))
-    title = chunks.title_chunks(text, F.col("_c"))
-    met = cut.join(judged, part).withColumn("_t", title)
-    lead, shown = F.get("_t", F.lit(0)), chunks.spaced(text)
-    alone = F.when(chunks.signature(lead) != "", chunks.spaced(lead)).otherwise(shown)
-    parts = F.when(F.col("_case") == "glued", chunks.spaced(residue)).when(lead.isNotNull(), chunks.without_number(chunks.spaced(lead))).otherwise(shown)
     several = ~F.col("_case").isin("chapters", "glued", "numbers", "identical")
-    own = met.withColumns({"_own": several, "_label": F.when(several, F.when(alone != "", alone).otherwise(shown)).otherwise(F.when(parts != "", parts).otherwise(shown)), "_ref": F.when(several & (F.size("_t") > 1), chunks.series_of(F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1)))))})
-    own = kept(own.select(*files.columns, "kind", "points", "_own", "_label", "_ref"))
-    first = own.where(~F.col("_own")).groupBy(part).agg(F.min(F.struct(order, "_label")).alias("_first"))
-    out = own.join(first, part, "left")
-    return out.select(
-        *files.columns, "kind", "points", F.coalesce(F.col(f"_first.{order}"), F.col(order)).alias("work"), F.coalesce("_first._label", "_label").alias("label"), F.col("_ref.series").alias("series"), F.col("_ref.sequence").alias("sequence"),
+    label = F.when(several, F.col("_alone")).when(F.col("_case") == "glued", F.col("_first_glued._glued")).otherwise(F.col("_first_part._part"))
+    return known.withColumn("_case", case).select(
+        *files.columns, kind.alias("kind"), points.alias("points"), F.coalesce(F.when(~several, F.col(f"_first.{order}")), F.col(order)).alias("work"), label.alias("label"),
+        F.when(several, F.col("_ref.series")).alias("series"), F.when(several, F.col("_ref.sequence")).alias("sequence"),
+    )
+
+
+def stems_read(files: DataFrame, text: Column, part: str) -> tuple[DataFrame, DataFrame | None]:
+    """``files``, a folder's in one task, with what their stems say by themselves; what only a work's text needs, by stem, if that is apart.
+
+    Files of many folders are named alike (``Chapter 01``), so each distinct stem is read once and broadcast, and numbers stand for
+    the texts that are compared; beyond ``STEM_BYTES`` of them, each file's stem is read where it is, with the same rows.
+    """
+    steps = Steps(files.sparkSession)
+    named = steps.keep(files.withColumn("_stem", text))
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-named.count() // TASK_FILES))
+    stems = steps.keep(named.select("_stem").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    if (stems.agg(F.sum(F.octet_length("_stem") + 32)).first()[0] or 0) > STEM_BYTES:
+        read = stem_readings(named, part, steps)
+        steps.drop(named, stems)
+        return read.repartition(tasks, part), None
+    read = stem_readings(stems, "_stem", steps)
+    steps.drop(stems)
+    number = lambda c: F.min("_id").over(Window.partitionBy(c))
+    of = lambda c: read.select("_id", F.posexplode(c).alias("_at", "_key")).withColumn("_key", number("_key")).groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_key"))), lambda x: x["_key"]).alias(c))
+    keys = read.select("_stem", "_id", "_last", "_marked", "_head", "_number", number("_rest").alias("_rest")).join(of("_s"), "_id", "left").join(of("_w"), "_id", "left")
+    none = F.array().cast("array<bigint>")
+    keys = steps.keep(keys.withColumns({"_s": F.coalesce("_s", none), "_w": F.coalesce("_w", none)}).drop("_id"))
+    labels = read.select("_stem", "_glued", "_part")
+    return named.repartition(tasks, part).join(F.broadcast(keys.join(labels, "_stem")), "_stem"), read.select("_stem", "_alone", "_ref")
+
+
+def stem_readings(rows: DataFrame, key: str, steps: Steps) -> DataFrame:
+    """``rows``, dealt by ``key``, with readings of ``_stem``: its first chunks' texts and words, for each number of chunks (``_s``, ``_w``), whether the first has text and which is the last that has, whether one is a chapter's mark, the only number in front, what is left without numbers, and what a work is called in each case."""
+    text, c = F.col("_stem"), F.col("_c")
+    # each step is written: what regular expressions find is read many times over
+    cut = steps.keep(spread(rows, key).withColumn("_c", chunks.chunks(text)).withColumns({"_texts": F.transform("_c", chunks.signature), "_words": F.transform("_c", lambda x: F.array_join(chunks.words(x), " ")), "_t": chunks.title_chunks(text, c)}))
+    place = F.filter(F.sequence(F.lit(0), F.size("_texts")), lambda k: F.get("_texts", k) != "")
+    heads = lambda x: F.transform(x, lambda _, k: F.slice(x, F.lit(1), k + 1))
+    index = names.track_index(text)
+    lead, shown, residue = F.get("_t", F.lit(0)), chunks.spaced(text), names.stripped(F.regexp_replace(text, "[0-9]+", ""))
+    filled = lambda x: F.when(x != "", x).otherwise(shown)
+    out = cut.select(
+        *rows.columns, heads("_texts").alias("_s"), heads("_words").alias("_w"), F.coalesce(F.get("_texts", F.lit(0)) != "", F.lit(False)).alias("_head"), F.coalesce(F.array_max(place), F.lit(-1)).alias("_last"), F.exists("_c", chunks.chapter_mark).alias("_marked"),
+        F.when((residue != "") & (F.size(index["components"]) == 1), index["components"][0]).alias("_number"), F.lower(residue).alias("_rest"),
+        filled(F.when(chunks.signature(lead) != "", chunks.spaced(lead)).otherwise(shown)).alias("_alone"), filled(chunks.spaced(residue)).alias("_glued"), filled(F.when(lead.isNotNull(), chunks.without_number(chunks.spaced(lead))).otherwise(shown)).alias("_part"),
+        F.when(F.size("_t") > 1, chunks.series_of(F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1))))).alias("_ref"),
     )
+    return steps.keep(out, cut)

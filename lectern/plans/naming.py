@@ -46,7 +46,7 @@ def template_parse(spark, d):
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(l_orderkey, l_linenumber, k, n): the distinct lines of orders as files, their place in the order and how many there are."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()  # dealt once, for the windows too
     own = Window.partitionBy("l_orderkey")
     return rows.withColumns({"k": F.row_number().over(own.orderBy("l_linenumber")), "n": F.count("*").over(own)})
 

@@ -92,6 +92,25 @@ def test_stems_are_cut_once(spark):
     assert {(r["p"], r["kind"], r["work"]) for r in found.collect()} == {("a", "single", 0), ("b", "single", 0)}
 
 
+def test_a_stem_of_many_files_is_read_once(spark):
+    rows = spark.range(0, 3000, 1, 3).selectExpr("id div 2 as p", "id as at", "concat('Dune ', id % 2 + 1, if(id % 4 < 2, ' of 2', ' x')) as name")
+    found = cohorts.cluster(rows, "p", "name", "at")
+    assert found.where("kind = 'single' and work = p * 2 and label like 'Dune%'").count() == 3000
+    read = {f.rsplit("/", 1)[0] for f in found.inputFiles()}
+    tables = [spark.read.parquet(f) for f in read]
+    assert all(t.count() == 4 for t in tables if any(c.startswith("_") and c != "_stem" for c in t.columns)) and len(tables) > 1
+
+
+def test_clusters_of_stems_beyond_the_broadcast(spark, monkeypatch):
+    named = [(p, k, v) for p, (names, *_) in CORPUS.items() for k, v in enumerate(names)] + [(None, 1, "Dune 1"), (None, 2, "Dune 2"), ("tie", 1, "Dune b 1"), ("tie", 1, "Dune a 1"), ("no order", None, "Dune 1"), ("no order", 2, "Dune 2"), ("wide", 1, "A - B - C 1"), ("wide", 2, "A - B - D 1"), ("twice", 1, "01Cujo"), ("twice", 2, "01cujo")]
+    rows = spark.createDataFrame(named, "p string, at int, name string")
+    run = lambda: sorted(map(repr, cohorts.cluster(rows, "p", "name", "at").collect()))
+    few = run()
+    assert len(few) == len(named) - 2 and sum("kind='multi'" in r and "p='wide'" in r for r in few) == 2 and sum("p='twice'" in r and "work=1" in r for r in few) == 2
+    monkeypatch.setattr(cohorts, "STEM_BYTES", 0)
+    assert run() == few
+
+
 def test_medians_against_a_bound(spark):
     cases = {
         "odd below": [1.0, 2.0, 90.0], "odd above": [1.0, 50.0, 90.0], "even below": [1.0, 8.0, 11.0, 90.0], "even at": [1.0, 8.0, 12.0, 90.0], "even above": [10.0, 11.0], "few": [1.0, 2.0, 3.0, 40.0], "at": [10.0], "ties": [10.0, 10.0, 1.0, 1.0],
