@@ -46,9 +46,11 @@ def template_parse(spark, d):
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(l_orderkey, l_linenumber, k, n): the distinct lines of orders as files, their place in the order and how many there are."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()  # dealt once, for the windows too
     own = Window.partitionBy("l_orderkey")
-    return rows.withColumns({"k": F.row_number().over(own.orderBy("l_linenumber")), "n": F.count("*").over(own)})
+    sorted_by = own.orderBy("l_linenumber")
+    # lines are dealt and sorted once: of equal ones the first is left
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").withColumns({"k": F.dense_rank().over(sorted_by), "_at": F.row_number().over(sorted_by), "_first": F.rank().over(sorted_by)})
+    return rows.where("_at = _first").drop("_at", "_first").withColumn("n", F.count("*").over(own))
 
 
 LINES_SQL = "l AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))"

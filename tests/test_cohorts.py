@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import chunks
 from lectern.operators import cohorts
+from lectern.plans import naming
 from tests.measured import shuffled
 
 
@@ -137,3 +138,11 @@ def test_grouping_takes_more_tasks_for_more_files(spark, monkeypatch):
     # sums of the folders come from 15 tasks of about 20 files, of which some meet no folder
     assert max(sum(f.split("/")[-2] == step for f in found.inputFiles()) for step in ("1", "2", "3")) > 4
     assert sorted(map(tuple, found.collect())) == few and len(few) == 51
+
+
+def test_lines_of_orders_are_dealt_once(spark, tmp_path):
+    rows = [(1, 2), (1, 1), (1, 2), (1, None), (1, None), (2, 5), (2, 5), (None, 1), (None, 1), (None, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = naming.lines(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, None, 1, 3), (1, 1, 2, 3), (1, 2, 3, 3), (2, 5, 1, 1), (None, 1, 1, 2), (None, 3, 2, 2)} and found.count() == 6
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 0 and shuffled(spark, found) == len(rows)
